@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm import sentencepiece_bpe
+from corpusjobs.llm import sentencepiece_bpe, token_records
 from corpusjobs.llm.common import table
 
 
@@ -16,7 +16,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_records.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op10_token_records": op10_token_records,
 }
 SQL: dict[str, str] = {}
