@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm import sentencepiece_bpe, token_records
+from corpusjobs.llm import language_id, quality, sentencepiece_bpe, token_records
 from corpusjobs.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model")))
@@ -21,8 +25,14 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predicted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
+    "op9_language_id": op9_language_id,
     "op10_token_records": op10_token_records,
 }
 SQL: dict[str, str] = {}
