@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm import language_id, quality, sentencepiece_bpe, token_records
+from corpusjobs.llm import language_id, mixing, quality, sentencepiece_bpe, token_records
 from corpusjobs.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -32,6 +36,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_mixing": op3_mixing,
     "op9_language_id": op9_language_id,
     "op10_token_records": op10_token_records,
 }
