@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm import embedding_dedup, html_text, language_id, mixing, quality, sentencepiece_bpe, token_records
+from corpusjobs.llm import embedding_dedup, html_text, language_id, mixing, ngram_jaccard, quality, sentencepiece_bpe, token_records
 from corpusjobs.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_mixing": op3_mixing,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_html_text": op7_html_text,
     "op9_language_id": op9_language_id,
     "op10_token_records": op10_token_records,
