@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm import embedding_dedup, html_text, language_id, mixing, ngram_jaccard, quality, sentencepiece_bpe, token_records
+from corpusjobs.llm import embedding_dedup, hidden_markov_lm, html_text, language_id, mixing, ngram_jaccard, quality, sentencepiece_bpe, token_records
 from corpusjobs.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op8_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov_lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_html_text": op7_html_text,
+    "op8_hidden_markov_lm": op8_hidden_markov_lm,
     "op9_language_id": op9_language_id,
     "op10_token_records": op10_token_records,
 }
