@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm import embedding_dedup, hidden_markov_lm, html_text, language_id, mixing, ngram_jaccard, quality, sentencepiece_bpe, token_records
+from corpusjobs.llm import embedding_dedup, hidden_markov_lm, html_text, language_id, mixing, ngram_jaccard, quality, sentencepiece_bpe, token_records, tool_calls
 from corpusjobs.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -54,10 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_mixing": op3_mixing,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_tool_calls": op5_tool_calls,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_html_text": op7_html_text,
     "op8_hidden_markov_lm": op8_hidden_markov_lm,
     "op9_language_id": op9_language_id,
     "op10_token_records": op10_token_records,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_tool_calls": tool_calls.SQL}
