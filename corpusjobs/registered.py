@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusjobs.plans import corpus, measures, merging, ranking, searching, text, translation
+from corpusjobs.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "corpus", "measures", "merging", "ranking", "searching", "text", "translation"]
