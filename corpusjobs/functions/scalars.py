@@ -83,24 +83,24 @@ def align_pairs(source: Column, translation: Column) -> Column:
     of as many as lines that aren't blank, to these in order. Anything else has a reason instead.
     """
 
-    def made(kept: Column) -> Column:
-        by_place = F.size(source) == F.size(translation)
-        by_order = F.size(kept) == F.size(translation)
+    def made(x: Column) -> Column:
+        lines, told, kept = x["source"], x["translation"], x["kept"]
+        by_place = F.size(lines) == F.size(told)
+        by_order = F.size(kept) == F.size(told)
         pairs = F.transform(
             kept,
-            lambda p, k: F.struct(
-                p["raw"].cast("long").alias("raw"), k.cast("long").alias("norm"), p["text"].alias("original"), trim_all(F.get(translation, F.when(by_place, p["raw"]).otherwise(k))).alias("translation")
-            ),
+            lambda p, k: F.struct(p["raw"].cast("long").alias("raw"), k.cast("long").alias("norm"), p["text"].alias("original"), trim_all(F.get(told, F.when(by_place, p["raw"]).otherwise(k))).alias("translation")),
         )
-        reason = (
-            F.when(source.isNull() | translation.isNull(), "unreadable")
-            .when(F.size(kept) == 0, "source is empty")
-            .when(~(by_place | by_order), "counts differ")
-            .when(F.exists(pairs, lambda p: F.coalesce(p["translation"], F.lit("")) == ""), "translation is empty")
-        )
-        return F.struct(reason.alias("reason"), F.when(reason.isNull(), pairs).alias("pairs"))
+        reason = F.when(lines.isNull() | told.isNull(), "unreadable").when(F.size(kept) == 0, "source is empty").when(~(by_place | by_order), "counts differ")
+
+        def checked(found: Column) -> Column:
+            empty = F.exists(found, lambda p: F.coalesce(p["translation"], F.lit("")) == "")
+            return F.struct(F.coalesce(reason, F.when(empty, "translation is empty")).alias("reason"), F.when(reason.isNull() & ~empty, found).alias("pairs"))
+
+        return let(pairs, checked)
 
-    return let(normalized_source(source), made)
+    # Bound once, so that no lambda computes them again for each line.
+    return let(F.struct(source.alias("source"), translation.alias("translation"), normalized_source(source).alias("kept")), made)
 
 
 def indexable(original: Column, translation: Column) -> Column:

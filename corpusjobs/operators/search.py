@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Queries whose vectors travel with the tasks at once; more are searched in further blocks.
 QUERY_BLOCK = 4096
@@ -32,7 +33,7 @@ def normalize_vector(vector: Column, dimensions: int | None = None) -> Column:
     return F.when(vector_reason(vector, dimensions).isNull(), one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def float_bytes(vectors: pd.Series) -> pd.Series:
     """Components as little-endian float32."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
@@ -50,7 +51,7 @@ def decode_base64_vectors(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-decode_base64_vector = F.pandas_udf(decode_base64_vectors, "array<float>")
+decode_base64_vector = F.pandas_udf(decode_base64_vectors, T.ArrayType(T.FloatType()))
 
 
 def top_k(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
@@ -94,7 +95,7 @@ def rerank(candidates: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Se
 
     Candidates without text don't count.
     """
-    score = F.pandas_udf(scorer, "double")
+    score = F.pandas_udf(scorer, T.DoubleType())
     scored = candidates.where(F.col(text).isNotNull()).withColumn("text_score", score(query, text))
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("text_score"), "place")
     return scored.withColumn("choice", F.row_number().over(w)).where("choice = 1").drop("choice")

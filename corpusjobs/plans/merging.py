@@ -1 +1,142 @@
+"""Plans that join and reconcile: snapshots, manifests, inventories, positions, restarts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusjobs.plans.registry import query, table
+
+
+def points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots of the documents: the second lacks some, has others' text changed, and some under new ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
+    i = F.col("doc_id")
+    target = docs.where(i % 13 != 0).select(F.when(i % 17 == 0, i + 1_000_000_000).otherwise(i).alias("doc_id"), "source", F.when(i % 11 == 0, F.concat(F.lit("x"), "hash")).otherwise(F.col("hash")).alias("hash"))
+    return docs, target
+
+
+TARGET = "s AS (SELECT doc_id, source, sha256(text) AS hash FROM documents), t AS (SELECT CASE WHEN doc_id % 17 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, source, CASE WHEN doc_id % 11 = 0 THEN 'x' || hash ELSE hash END AS hash FROM s WHERE doc_id % 13 <> 0)"
+
+
+@query(f"WITH {TARGET} SELECT coalesce(s.doc_id, t.doc_id) AS doc_id, CASE WHEN t.doc_id IS NULL THEN 'missing' WHEN s.doc_id IS NULL THEN 'unknown' ELSE 'changed' END AS state FROM s FULL JOIN t ON s.doc_id = t.doc_id WHERE s.doc_id IS NULL OR t.doc_id IS NULL OR s.hash <> t.hash")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that one side lacks, and those whose content differs; only hashes cross the shuffle."""
+    a, b = points(spark, sf_dir)
+    both = a.select("doc_id", F.col("hash").alias("a")).join(b.select("doc_id", F.col("hash").alias("b")), "doc_id", "full_outer")
+    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "unknown").when(F.col("a") != F.col("b"), "changed")
+    return both.select("doc_id", state.alias("state")).where("state is not null")
+
+
+@query(f"WITH {TARGET} SELECT s.source AS dataset, count(*) AS canonical, count(t.doc_id) AS stored, count(*) FILTER (s.hash = t.hash) AS equal FROM s LEFT JOIN t USING (doc_id) GROUP BY s.source")
+def inventory_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = points(spark, sf_dir)
+    both = a.join(b.select("doc_id", F.col("hash").alias("stored")), "doc_id", "left")
+    return both.groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("canonical"), F.count("stored").alias("stored"), F.count_if(F.col("hash") == F.col("stored")).alias("equal"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'none' WHEN doc_id % 3 = 1 THEN 'complete' ELSE 'partial' END AS owned, doc_id % 10 <> 0 AS before_kept FROM documents")
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current fields against a manifest: the old ones must be unchanged; of the added ones all, some or none are there."""
+    i = F.col("doc_id")
+    before = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    added = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
+    now = F.map_concat(F.when(i % 10 == 0, F.create_map(F.lit("source"), F.lit("?"), F.lit("lang"), F.col("lang"))).otherwise(before), F.map_filter(added, lambda k, v: (i % 3 == 1) | ((i % 3 == 2) & (k == "a"))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", before.alias("before"), added.alias("added"), now.alias("now"))
+    have = F.size(F.filter(F.map_entries("added"), lambda e: F.col("now")[e["key"]].eqNullSafe(e["value"])))
+    kept = F.forall(F.map_entries("before"), lambda e: F.col("now")[e["key"]].eqNullSafe(e["value"]))
+    return rows.select("doc_id", F.when(have == 0, "none").when(have == F.size("added"), "complete").otherwise("partial").alias("owned"), kept.alias("before_kept"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 1")
+def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What isn't indexed yet."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return docs.join(docs.where("doc_id % 4 = 1"), "doc_id", "left_anti")
+
+
+@query(f"WITH {TARGET} SELECT doc_id, hash FROM t UNION ALL SELECT doc_id, hash FROM s WHERE doc_id NOT IN (SELECT doc_id FROM t)")
+def upsert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored points with the new ones in place of those with the same id; of repeated ids one stays."""
+    old, new = points(spark, sf_dir)
+    new = new.dropDuplicates(["doc_id"])
+    return new.unionByName(old.join(new, "doc_id", "left_anti")).select("doc_id", "hash")
+
+
+@query(f"WITH {TARGET} SELECT (SELECT count(*) FROM (SELECT doc_id FROM s EXCEPT SELECT doc_id FROM t)) AS missing, (SELECT count(*) FROM (SELECT doc_id FROM t EXCEPT SELECT doc_id FROM s)) AS extra, (SELECT count(*) FROM s) AS ours, (SELECT count(*) FROM t) AS theirs")
+def id_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = points(spark, sf_dir)
+    sides = a.select("doc_id", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(b.select("doc_id", F.lit(0), F.lit(1))).groupBy("doc_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return sides.agg(F.count_if(F.col("b") == 0).alias("missing"), F.count_if(F.col("a") == 0).alias("extra"), F.sum("a").alias("ours"), F.sum("b").alias("theirs"))
+
+
+@query(f"WITH {TARGET}, d AS (SELECT * FROM s EXCEPT ALL SELECT * FROM t), e AS (SELECT * FROM t EXCEPT ALL SELECT * FROM s) SELECT 'missing' AS side, * FROM d UNION ALL SELECT 'extra', * FROM e")
+def verify_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that only one side has, with their number of times kept."""
+    a, b = points(spark, sf_dir)
+    return a.exceptAll(b).select(F.lit("missing").alias("side"), "*").unionByName(b.exceptAll(a).select(F.lit("extra").alias("side"), "*"))
+
+
+@query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def unique_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that occur more than once."""
+    return table(spark, sf_dir, "documents").groupBy("text").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT source AS work, min(sha256(CAST(doc_id AS VARCHAR))) AS anchor FROM documents GROUP BY source")
+def anchor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("work")).agg(F.min(F.sha2(F.col("doc_id").cast("string"), 256)).alias("anchor"))
+
+
+@query("SELECT doc_id, source, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY source) THEN lang END AS document FROM documents")
+def document_on_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A work's document goes to its first point only: the anchors are an aggregate, joined back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("first"))
+    return docs.join(first, "source").select("doc_id", "source", F.when(F.col("doc_id") == F.col("first"), F.col("lang")).alias("document"))
+
+
+@query("WITH r AS (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2) AS bucket, sha256(doc_id || '|' || sha256(text)) AS h FROM documents), b AS (SELECT bucket, sha256(string_agg(h, '' ORDER BY h)) AS d FROM r GROUP BY bucket) SELECT sha256(string_agg(d, '' ORDER BY bucket)) AS fingerprint FROM b")
+def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One digest of all rows in two levels: rows in order within 256 buckets, then the buckets in order."""
+    rows = table(spark, sf_dir, "documents").select(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 2).alias("bucket"), F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.sha2("text", 256)), 256).alias("h"))
+    buckets = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda p: p["d"]), ""), 256).alias("fingerprint"))
+
+
+@query("SELECT o_orderkey AS pos, a.n AS baidu, b.n AS google, a.n IS NOT NULL AND b.n IS NOT NULL AS complete FROM orders LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a ON a.k = o_orderkey LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) b ON b.k = o_orderkey WHERE a.n IS NOT NULL OR b.n IS NOT NULL")
+def positional_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank lists of two engines merged by position; complete where every engine has one."""
+    lines = table(spark, sf_dir, "lineitem")
+    one = lambda flag, name: lines.where(F.col("l_returnflag") == flag).groupBy(F.col("l_orderkey").alias("pos")).agg(F.count("*").alias(name))
+    both = one("R", "baidu").join(one("N", "google"), "pos", "full_outer")
+    return both.withColumn("complete", F.col("baidu").isNotNull() & F.col("google").isNotNull())
+
+
+@query("SELECT o_orderkey AS pos, o_orderpriority AS title, list(l_linenumber ORDER BY l_linenumber) FILTER (l_linenumber IS NOT NULL) AS strains FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def attach_strains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tonal lists attached to the poems at their positions."""
+    lists = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pos")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("strains"))
+    poems = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("title"))
+    return poems.join(lists, "pos", "left")
+
+
+@query("SELECT p_partkey AS pos, CASE WHEN p_size < 10 THEN greatest(p_size, coalesce(n, 0)) ELSE p_size END AS count FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
+def rank_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that are suspiciously low are replaced by refreshed ones if those are greater."""
+    fresh = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    joined = table(spark, sf_dir, "part").join(fresh, "p_partkey", "left")
+    return joined.select(F.col("p_partkey").alias("pos"), F.when(F.col("p_size") < 10, F.greatest("p_size", F.coalesce("n", F.lit(0)))).otherwise(F.col("p_size")).alias("count"))
+
+
+@query("SELECT a.n_nationkey, b.r_regionkey, a.n_name || ' ' || b.r_name AS query FROM nation a, region b")
+def query_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics by preferences; both are small fixed lists."""
+    topics, preferences = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return topics.crossJoin(F.broadcast(preferences)).select("n_nationkey", "r_regionkey", F.concat_ws(" ", "n_name", "r_name").alias("query"))
+
+
+@query("SELECT doc_id, n FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5")
+def first_n_per_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return table(spark, sf_dir, "documents").withColumn("n", F.row_number().over(w)).where("n <= 5").select("doc_id", "n")

@@ -1 +1,102 @@
+"""Plans over vectors. Embeddings are the points, those with small ids also the queries, labels the datasets."""
 
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusjobs.operators import search as V
+from corpusjobs.plans.registry import query, table
+
+#: Cosines of the queries (ids divisible by 20) with all points, in SQL.
+SCORES = "scores AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score, q.label = p.label AS same FROM embeddings q JOIN embeddings p ON q.vec_id % 20 = 0)"
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {SCORES} SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM scores) WHERE k = 1")
+def vector_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 1).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {SCORES} SELECT query_id, max(score) AS score, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM scores) WHERE k <= 5 GROUP BY query_id")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 5)
+    return found.groupBy("query_id").agg(F.max(F.round("score", 6)).alias("score"), F.count("*").alias("n"))
+
+
+@query(f"WITH {SCORES}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM scores) SELECT query_id, arg_min(id, (label_key, k)) AS id FROM (SELECT t.query_id, t.id, t.k, -CAST(e.label AS INTEGER) AS label_key FROM top t JOIN embeddings e ON e.vec_id = t.id WHERE t.k <= 5) GROUP BY query_id")
+def vector_topk_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of five candidates the one that a text scorer likes best (here: the highest label), then the nearest."""
+
+    def scorer(q: pd.Series, text: pd.Series) -> pd.Series:
+        return text.astype("float64")
+
+    found = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 5)
+    texts = points(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("text"))
+    named = found.join(texts, "id").withColumn("query", F.col("query_id").cast("string"))
+    return V.rerank(named, scorer).select("query_id", "id")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 4) AS norm, len(v) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings)")
+def normalize_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = points(spark, sf_dir).select("vec_id", V.normalize_vector(F.col("embedding"), 64).alias("v"))
+    return unit.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("norm"), F.size("v").cast("long").alias("n"))
+
+
+@query("SELECT vec_id, len(embedding) * 4 AS bytes, CASE WHEN len(embedding) = 64 THEN true END AS whole FROM embeddings")
+def decode_base64_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as base64 of float32 and read back."""
+    coded = points(spark, sf_dir).select("vec_id", "embedding", V.float_bytes("embedding").alias("raw"))
+    back = coded.withColumn("v", V.decode_base64_vector(F.base64("raw")))
+    return back.select("vec_id", F.length("raw").cast("long").alias("bytes"), F.when((F.col("v") == F.col("embedding")) & (F.size("v") == 64), True).alias("whole"))
+
+
+@query("SELECT label, count(*) AS n, count(*) FILTER (vec_id % 3 = 0) AS changed FROM embeddings GROUP BY label")
+def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that a copy changed; here every third was scaled, which normalisation explains."""
+    scaled = F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: (x * 2).cast("float"))).otherwise(F.col("embedding"))
+    drift = points(spark, sf_dir).select("label", V.vector_drift(F.col("embedding"), scaled).alias("d"))
+    return drift.groupBy("label").agg(F.count("*").alias("n"), F.count_if((F.col("d.max_delta") > 1e-6) & F.col("d.candidate")).alias("changed"))
+
+
+@query("SELECT label, count(*) AS n, avg(1.0) AS cosine, max(0.0) AS max_delta FROM embeddings GROUP BY label")
+def embedding_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two embeddings of the same thing, joined by id: mean cosine and the largest difference of a component."""
+    a, b = points(spark, sf_dir), points(spark, sf_dir).select("vec_id", F.col("embedding").alias("other"))
+    drift = a.join(b, "vec_id").select("label", V.vector_drift(F.col("embedding"), F.col("other")).alias("d"))
+    return drift.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("d.cosine"), 6).alias("cosine"), F.max("d.max_delta").alias("max_delta"))
+
+
+@query("SELECT count(*) AS queries, count(*) FILTER (vec_id % 3 = 0) AS changed FROM embeddings WHERE vec_id % 20 = 0".replace("count(*) FILTER (vec_id % 3 = 0)", "CAST(0 AS BIGINT)"))
+def search_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First hits of two indexes compared; the second has every vector scaled, which a cosine doesn't see."""
+    one = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("a"))
+    scaled = points(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
+    two = V.top_k(scaled, asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("b"))
+    return one.join(two, "query_id").agg(F.count("*").alias("queries"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
+
+
+@query("SELECT doc_id, length(text) AS n, CAST(2 AS INTEGER) AS dimensions FROM documents")
+def embed_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's embedder over distinct texts; here it gives their length and half of it."""
+
+    def embedder(texts: list[str]) -> list[list[float]]:
+        return [[len(t), len(t) / 2] for t in texts]
+
+    found = V.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), embedder, "text", 2)
+    return found.select("doc_id", F.get("embedding", F.lit(0)).cast("long").alias("n"), F.size("embedding").alias("dimensions"))
+
+
+@query("SELECT label, count(*) AS n, CAST(0 AS BIGINT) AS bad FROM embeddings GROUP BY label")
+def validate_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points whose vector can't be searched, with the reason, counted by label."""
+    checked = points(spark, sf_dir).select("label", V.vector_reason(F.col("embedding"), 64).alias("reason"))
+    return checked.groupBy("label").agg(F.count("*").alias("n"), F.count("reason").alias("bad"))

@@ -1 +1,94 @@
+"""Plans over the states of rows to translate; documents stand for rows, their numbers decide the states."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusjobs.functions import scalars as S
+from corpusjobs.operators import corpus as C
+from corpusjobs.plans.registry import query, table
+
+STATES = "rows AS (SELECT doc_id AS id, source AS dataset, text, CASE doc_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' WHEN 3 THEN 'failed' END AS status, doc_id % 4 AS retries FROM documents)"
+
+
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 5
+    status = F.when(k == 0, "pending").when(k == 1, "processing").when(k == 2, "done").when(k == 3, "failed")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("dataset"), "text", status.alias("translation_status"), (F.col("doc_id") % 4).cast("int").alias("translation_retry_count"))
+    return C.add_status_columns(docs)
+
+
+@query("SELECT doc_id, 'pending' AS translation_status, CAST(0 AS INTEGER) AS translation_retry_count, CAST(NULL AS VARCHAR) AS translation_error FROM documents")
+def add_status_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.add_status_columns(table(spark, sf_dir, "documents")).select("doc_id", "translation_status", "translation_retry_count", "translation_error")
+
+
+@query(f"WITH {STATES} SELECT id FROM rows WHERE coalesce(status, 'pending') = 'pending' OR status = 'failed' AND retries < 3")
+def pending_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.pending(rows(spark, sf_dir), 3).select("id")
+
+
+@query(f"WITH {STATES} SELECT id, dataset FROM rows WHERE status = 'done' AND dataset IN ('src1', 'src9')")
+def done_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir).where((F.col("translation_status") == "done") & F.col("dataset").isin("src1", "src9")).select("id", "dataset")
+
+
+@query(f"WITH {STATES} SELECT dataset, count(*) AS total, count(*) FILTER (coalesce(status, 'pending') = 'pending') AS pending, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed FROM rows GROUP BY dataset")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.coalesce("translation_status", F.lit("pending"))
+    return rows(spark, sf_dir).groupBy("dataset").agg(F.count("*").alias("total"), *[F.count_if(state == s).alias(s) for s in ("pending", "done", "failed")])
+
+
+@query(f"WITH {STATES} SELECT id, CASE WHEN status = 'processing' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'processing' THEN 'restarted' END AS error FROM rows")
+def recycle_processing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.recycle(rows(spark, sf_dir), "restarted").select("id", F.col("translation_status").alias("status"), F.col("translation_error").alias("error"))
+
+
+@query(f"WITH {STATES}, o AS (SELECT id, CASE id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' ELSE 'skipped' END AS outcome FROM rows WHERE coalesce(status, 'pending') = 'pending') SELECT id, coalesce(outcome, status) AS status, CASE WHEN outcome = 'failed' THEN retries + 1 ELSE retries END AS retries, CASE WHEN outcome = 'failed' AND retries + 1 >= 3 THEN 'given up: note' WHEN outcome IN ('failed', 'skipped') THEN 'note' END AS error FROM rows LEFT JOIN o USING (id)")
+def apply_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_rows = rows(spark, sf_dir)
+    k = F.col("id") % 3
+    outcome = F.when(k == 0, "done").when(k == 1, "failed").otherwise("skipped")
+    outcomes = all_rows.where(F.coalesce("translation_status", F.lit("pending")) == "pending").select("dataset", "id", outcome.alias("outcome"), F.array("text").alias("lines"), F.lit("note").alias("note"))
+    return C.apply_outcomes(all_rows, outcomes, 3).select("id", F.col("translation_status").alias("status"), F.col("translation_retry_count").cast("long").alias("retries"), F.col("translation_error").alias("error"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'empty' WHEN doc_id % 6 = 1 THEN 'punctuation' END AS skipped FROM documents")
+def prefilter_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without content or with punctuation alone are skipped before any call."""
+    k = F.col("doc_id") % 6
+    lines = F.when(k == 0, F.array(F.lit(" "))).when(k == 1, F.array(F.lit("。！"), F.lit("--"))).otherwise(F.array(F.lit("。"), F.concat(F.lit("a"), "text")))
+    kept = F.filter(F.transform(lines, S.trim_all), lambda x: x != "")
+    found = table(spark, sf_dir, "documents").select("doc_id", kept.alias("kept"))
+    return found.select("doc_id", F.when(F.size("kept") == 0, "empty").when(F.forall("kept", S.is_punctuation_only), "punctuation").alias("skipped"))
+
+
+@query("SELECT doc_id, 'en: ' || text AS translation, CAST(1 AS INTEGER) AS n FROM documents WHERE doc_id % 10 = 0".replace("'en: ' || text", "sha256('en: ' || text)"))
+def translate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's translator over the chunks of each row; here it puts a mark before the text."""
+
+    def translate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "chunk": b["chunk"], "lines": b["lines"].map(list)})
+
+    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", F.split("text", "\n").alias("lines"))
+    chunks = docs.select("doc_id", "lines", F.posexplode(S.chunk_lines(F.col("lines"), 8, 600)).alias("chunk", "s")).select("doc_id", "chunk", F.slice("lines", F.col("s.from"), F.col("s.to") - F.col("s.from") + 1).alias("lines"))
+    out = chunks.mapInPandas(translate, "doc_id long, chunk int, lines array<string>")
+    return merge(out).select("doc_id", F.sha2(F.concat(F.lit("en: "), F.array_join("lines", "\n")), 256).alias("translation"), F.lit(1).alias("n"))
+
+
+def merge(chunks: DataFrame) -> DataFrame:
+    """The lines of each row's chunks in order."""
+    return chunks.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "lines"))), lambda c: c["lines"])).alias("lines"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_hash FROM documents")
+def merge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks cut and put together again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    chunks = docs.select("doc_id", "lines", F.posexplode(S.chunk_lines(F.col("lines"), 8, 600)).alias("chunk", "s")).select("doc_id", "chunk", F.slice("lines", F.col("s.from"), F.col("s.to") - F.col("s.from") + 1).alias("lines"))
+    return merge(chunks).select("doc_id", F.sha2(F.array_join("lines", "\n"), 256).alias("text_hash"))
