@@ -31,7 +31,7 @@ def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def resource_summary(samples: DataFrame, by: list[str], at: str, available: str, counter: str) -> DataFrame:
     """Per window: samples, seconds, least available, the counter's growth, and its growth per second (null for no time)."""
-    seconds = F.max(at).cast("double") - F.min(at).cast("double")
+    seconds = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1e6
     grown = F.max_by(counter, at) - F.min_by(counter, at)
     return samples.groupBy(*by).agg(F.count("*").alias("samples"), seconds.alias("seconds"), F.min(available).alias("least_available"), grown.alias("grown")).withColumn("per_second", F.try_divide("grown", "seconds"))
 
@@ -47,7 +47,7 @@ def samples_in_stage(samples: DataFrame, stages: DataFrame, at: str, start: str,
 def throughput_deltas(samples: DataFrame, run: str, at: str, done: str, failed: str) -> DataFrame:
     """Rates between one sample and the next of a run; the first has rate 0, and no time counts as a millionth of a second."""
     w = Window.partitionBy(run).orderBy(at, done)
-    seconds = F.greatest(F.col(at).cast("double") - F.lag(F.col(at).cast("double")).over(w), F.lit(1e-6))
+    seconds = F.greatest((F.unix_micros(at) - F.lag(F.unix_micros(at)).over(w)) / 1e6, F.lit(1e-6))
     rate = {f"{c}_rate": F.coalesce((F.col(c) - F.lag(c).over(w)) / seconds, F.lit(0.0)) for c in (done, failed)}
     return samples.withColumns(rate)
 

@@ -10,13 +10,13 @@ from corpusjobs.plans.registry import query, table
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events")
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("""SELECT event_type, count(*) AS requests, count(*) FILTER (value < 80) AS passed, count(*) FILTER (value < 80) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6 AS rps, 1 - count(*) FILTER (value < 80) / count(*) AS error_rate,
 quantile_cont(CASE WHEN value < 80 THEN value END, 0.5) AS p50, quantile_cont(CASE WHEN value < 80 THEN value END, 0.95) AS p95, quantile_cont(CASE WHEN value < 80 THEN value END, 0.99) AS p99, quantile_cont(value, 0.95) AS all_p95, max(value) AS slowest FROM events GROUP BY event_type""")
 def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wall = F.max("ts").cast("double") - F.min("ts").cast("double")
+    wall = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6
     return M.stage_latency(events(spark, sf_dir).withColumn("ok", F.col("value") < 80), ["event_type"], "value", "ok", wall)
 
 

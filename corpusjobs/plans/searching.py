@@ -67,7 +67,7 @@ def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.groupBy("label").agg(F.count("*").alias("n"), F.count_if((F.col("d.max_delta") > 1e-6) & F.col("d.candidate")).alias("changed"))
 
 
-@query("SELECT label, count(*) AS n, avg(1.0) AS cosine, max(0.0) AS max_delta FROM embeddings GROUP BY label")
+@query("SELECT label, count(*) AS n, avg(1.0) AS cosine, CAST(0 AS DOUBLE) AS max_delta FROM embeddings GROUP BY label")
 def embedding_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two embeddings of the same thing, joined by id: mean cosine and the largest difference of a component."""
     a, b = points(spark, sf_dir), points(spark, sf_dir).select("vec_id", F.col("embedding").alias("other"))
