@@ -308,3 +308,19 @@ def work_document(work_id_: Column, dataset: Column, title: Column, author: Colu
 def first_filled(*columns: Column) -> Column:
     """The first of the columns that isn't blank."""
     return F.coalesce(*[F.when(trim_all(c) != "", trim_all(c)) for c in columns])
+
+
+#: The fields of a work's document.
+DOCUMENT_FIELDS = ("work_id", "dataset", "title", "author", "original", "translation", "interpretations")
+
+
+def document_reason(json: Column) -> Column:
+    """Why a work's document isn't valid, or null: exactly the seven fields, texts and lists, lines and translations as many."""
+    kind = F.from_json(json, "struct<work_id:string,dataset:string,title:string,author:string,original:array<string>,translation:array<string>,interpretations:array<string>>")
+    return (
+        F.when(F.try_parse_json(json).isNull(), "no JSON")
+        .when(F.coalesce(F.array_sort(F.json_object_keys(json)) != F.array(*map(F.lit, sorted(DOCUMENT_FIELDS))), F.lit(True)), "fields")
+        .when(kind["work_id"].isNull() | kind["dataset"].isNull() | kind["title"].isNull(), "missing text")
+        .when(kind["original"].isNull() | kind["translation"].isNull() | kind["interpretations"].isNull(), "missing list")
+        .when(F.size(kind["original"]) != F.size(kind["translation"]), "counts differ")
+    )

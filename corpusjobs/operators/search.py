@@ -137,3 +137,48 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], t
 
     distinct = rows.select(F.col(text).alias("own")).where("own is not null").distinct()
     return rows.join(distinct.mapInPandas(run, "own string, embedding array<float>"), F.col(text) == F.col("own"), "left").drop("own")
+
+
+def ann_top_k(points: DataFrame, queries: DataFrame, k: int, cells: int = 64, probes: int = 8, sample: int = 8_192, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
+    """(query_id, id, score, place) as top_k(), looking only into the cells nearest to each query.
+
+    The centres of the cells come from a bounded sample (`sample` points in expectation); every point is listed.
+    """
+    unit = lambda df, i, name: df.select(F.col(i).cast("long").alias(name), normalize_vector(F.col(vector)).alias("v")).where("v is not null")
+    listed, asked = unit(points, id_, "id"), unit(queries, query_id, "query_id")
+    n = listed.count()
+    if not n:
+        return asked.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)
+    chance = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / n)
+    seen = np.stack((listed.where(chance).toPandas()["v"].to_list() or [listed.first()["v"]])).astype(np.float64)
+    centres = seen[np.random.default_rng(3).choice(len(seen), min(cells, len(seen)), replace=False)]
+    for _ in range(6):
+        own = (seen @ centres.T).argmax(axis=1)
+        centres = np.stack([seen[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    sent = points.sparkSession.sparkContext.broadcast(centres)
+
+    def nearest(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = sent.value
+            m = min(most, len(c))
+            for b in batches:
+                if b.num_rows:
+                    order = np.argsort(-np.stack(b.column(1).to_numpy(zero_copy_only=False)) @ c.T, axis=1)[:, :m]
+                    at = pa.array(np.repeat(np.arange(b.num_rows), m))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(order.ravel(), pa.int32())], names=["i", "v", "cell"])
+
+        return run
+
+    kind = "i long, v array<float>, cell int"
+    homes, probing = listed.mapInArrow(nearest(1), kind), asked.mapInArrow(nearest(probes), kind)
+    pairs = probing.select(F.col("i").alias("query_id"), F.col("v").alias("q"), "cell").join(homes.select(F.col("i").alias("id"), "v", "cell"), "cell")
+    scored = pairs.select("query_id", "id", F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def batch_order(rows: DataFrame, batch: str, index: str, size: str) -> DataFrame:
+    """(batch, reason) of returned batches: an index out of range, twice, or missing; null where all are there once."""
+    g = rows.groupBy(batch).agg(F.count("*").alias("n"), F.countDistinct(index).alias("distinct"), F.min(index).alias("low"), F.max(index).alias("high"), F.max(size).alias("size"))
+    return g.select(batch, F.when((F.col("low") < 0) | (F.col("high") >= F.col("size")), "out of range").when(F.col("distinct") < F.col("n"), "twice").when(F.col("n") < F.col("size"), "missing").alias("reason"))

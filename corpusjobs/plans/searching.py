@@ -100,3 +100,18 @@ def validate_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points whose vector can't be searched, with the reason, counted by label."""
     checked = points(spark, sf_dir).select("label", V.vector_reason(F.col("embedding"), 64).alias("reason"))
     return checked.groupBy("label").agg(F.count("*").alias("n"), F.count("reason").alias("bad"))
+
+
+@query("SELECT count(*) AS queries, CAST(1 AS DOUBLE) AS recall FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the approximate search finds the exact first hit."""
+    exact = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("a"))
+    near = V.ann_top_k(points(spark, sf_dir), asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("b"))
+    return exact.join(near, "query_id", "left").agg(F.count("*").alias("queries"), F.avg((F.col("a") == F.coalesce("b", F.lit(-1))).cast("double")).alias("recall"))
+
+
+@query("SELECT l_orderkey, CASE WHEN max(l_linenumber) > 6 THEN 'out of range' WHEN count(DISTINCT l_linenumber) < count(*) THEN 'twice' WHEN count(*) < 6 THEN 'missing' END AS reason FROM lineitem GROUP BY l_orderkey")
+def restore_batch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as batches of six, their lines as what came back."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("at"), F.lit(6).alias("size"))
+    return V.batch_order(lines, "l_orderkey", "at", "size")

@@ -196,3 +196,12 @@ def sentences_per_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("dataset"), (F.col("doc_id") + 1).alias("id"), content().alias("content"), content().alias("translation"))
     marked = rows.withColumn("translation", F.transform("translation", lambda x: F.when(S.trim_all(x) != "", x).otherwise("-")))
     return C.sentences(C.aligned(marked)).groupBy("dataset").agg(F.count("*").alias("sentences"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'counts differ' WHEN 2 THEN 'fields' WHEN 3 THEN 'no JSON' END AS reason FROM documents")
+def validate_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, none = F.col("doc_id") % 4, F.lit(None).cast("array<string>")
+    lines = F.array("text")
+    whole = S.work_document(S.work_id(F.col("source"), F.col("doc_id")), F.col("source"), F.col("lang"), F.lit(None).cast("string"), lines, F.when(k == 0, lines).otherwise(none), none)
+    json = F.when(k == 2, F.to_json(F.struct("text", "lang"))).when(k == 3, F.concat(F.lit("{"), "text")).otherwise(whole)
+    return table(spark, sf_dir, "documents").select("doc_id", S.document_reason(json).alias("reason"))

@@ -61,3 +61,18 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
     pattern = r'^(\S+) - - \[([^\]]+)\] "GET (\S+) HTTP/\S+" (\d{3})'
     part = lambda k: F.regexp_extract("value", pattern, k)
     return lines.where(F.col("value").rlike(pattern)).select(part(1).alias("peer"), part(2).alias("time"), part(3).alias("path"), part(4).cast("int").alias("status"))
+
+
+def validate_schema(df: DataFrame, tag: str) -> None:
+    """Fails unless the rows have id, content, translation and status, and both split columns or neither."""
+    missing = {"id", tag, "translation", "translation_status"} - set(df.columns)
+    if missing:
+        raise ValueError(f"columns missing: {sorted(missing)}")
+    if ("content_part" in df.columns) != ("content_part_count" in df.columns):
+        raise ValueError("content_part and content_part_count go together")
+
+
+def write_works_export(works: DataFrame, metadata: DataFrame, path: str) -> None:
+    """Works and their metadata under a new path; an existing one is an error."""
+    works.write.mode("errorifexists").parquet(f"{path}/works")
+    metadata.write.mode("errorifexists").parquet(f"{path}/metadata")

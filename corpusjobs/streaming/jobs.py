@@ -40,3 +40,8 @@ def upsert(new: DataFrame, path: str) -> None:
 def stream_points(rows: DataFrame, path: str, checkpoint: str, generation: str) -> StreamingQuery:
     """Indexes rows as they come; resumes from its checkpoint."""
     return index_points(rows, generation).writeStream.foreachBatch(lambda df, _: upsert(df, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_stage_metrics(rows: DataFrame, name: str, checkpoint: str, width: str = "60 seconds", late: str = "10 seconds") -> StreamingQuery:
+    """Windowed metrics of requests as they come, told once a window is closed; rows later than the watermark are dropped by Spark."""
+    return windowed(rows, width, late).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

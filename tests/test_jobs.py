@@ -84,3 +84,32 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda df: sorted(map(tuple, df.select("point_id", "work_id", "translation_hash").collect()))
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(jobs.index_points(rows, "v1"))
     assert len(key(jobs.index_points(rows, "v1"))) == 3
+
+
+def test_streamed_windows_equal_batch(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(str(tmp_path / "in"))
+    jobs.stream_stage_metrics(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "told", str(tmp_path / "check"), "1 hour").awaitTermination()
+    key = lambda df: {(str(r["start"]), r["event_type"], r["requests"]) for r in df.collect()}
+    told, whole = key(spark.table("told")), key(jobs.windowed(events, "1 hour"))
+    assert told <= whole and len(whole) - len(told) <= 20  # the last windows are still open
+
+
+def test_schema_and_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a"], ["b"], "done")], "id int, content array<string>, translation array<string>, translation_status string")
+    files.validate_schema(df, "content")
+    for bad in (df.drop("id"), df.withColumn("content_part", F.lit(1))):
+        with pytest.raises(ValueError):
+            files.validate_schema(bad, "content")
+    files.write_works_export(df, df.select("id"), str(tmp_path / "x"))
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        files.write_works_export(df, df.select("id"), str(tmp_path / "x"))
+
+
+def test_read_points(spark, tmp_path):
+    """Points are read, checked, and unique by id."""
+    df = spark.createDataFrame([(1, [1.0]), (2, [0.0])], "id int, v array<float>")
+    df.write.parquet(str(tmp_path / "p"))
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert back.where(V.vector_reason(F.col("v"), 1).isNotNull()).count() == 1
+    assert back.groupBy("id").count().where("count > 1").count() == 0
