@@ -59,7 +59,7 @@ def repeated_words(found: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct `measures`: the base measures and the badness of the text."""
+    """docs with a struct `measures`: the base measures, base_failed and badness of the text, computed once for a row."""
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
 
     def without(value: Column, characters: str) -> Column:
@@ -68,7 +68,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     def measured(found: Column) -> Column:
         chars = F.aggregate(found, F.lit(0), lambda n, w: n + F.length(w)).cast("long")
         lines = F.filter(F.split(t, "\n"), lambda line: F.translate(line, "\t\x0b\x0c\r ", "") != "")
-        return F.struct(
+        base = F.struct(
             F.size(found).cast("long").alias("n_words"),
             chars.alias("word_chars"),
             (F.length(t) - without(t, SYMBOLS)).cast("long").alias("n_symbols"),
@@ -78,6 +78,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             (F.length(t) - without(t, "!")).cast("long").alias("n_exclamations"),
             F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
         )
+        return let(base, lambda m: F.struct(*[m[c].alias(c) for c in MEASURES], base_failed(m).alias("base_failed"), badness(m).alias("badness")))
 
     return docs.withColumn("measures", let(words(t), measured))
 
@@ -137,31 +138,31 @@ def calibrate(holdouts: DataFrame, risk: float = 0.03, error: float = 0.05) -> D
 
 
 def holdouts(measured: DataFrame, labels: DataFrame, doc_id: str, stratum: str) -> DataFrame:
-    """(stratum, badness, good) of the labelled documents that pass the base rules."""
+    """(stratum, badness, good) of the labelled documents; those that the base rules reject don't count as good."""
     graded = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("quality"))
-    own = measured.where(~base_failed(F.col("measures"))).select(F.col(f"`{doc_id}`").alias("labelled"), F.col(f"`{stratum}`").cast("string").alias("stratum"), badness(F.col("measures")).alias("badness"))
-    return own.join(graded, "labelled").select("stratum", "badness", (F.col("quality") == 1).alias("good"))
+    own = measured.select(F.col(f"`{doc_id}`").alias("labelled"), F.col(f"`{stratum}`").cast("string").alias("stratum"), F.col("measures").alias("m"))
+    return own.join(graded, "labelled").select("stratum", "m.badness", ((F.col("quality") == 1) & ~F.col("m.base_failed")).alias("good"))
 
 
 def decide(measured: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
-    """measured with base_failed, badness, cutoff (null: none) and kept. The cutoffs are a row for each stratum."""
-    m = F.col("measures")
+    """measured with cutoff (null: none) and kept. The cutoffs are a row for each stratum."""
     found = small(cutoffs.select(F.col("stratum").alias("stratum of cutoff"), F.col("cutoff")))
-    rows = measured.withColumns({"base_failed": base_failed(m), "badness": badness(m)})
-    joined = rows.join(found, F.col(f"`{stratum}`").cast("string").eqNullSafe(F.col("stratum of cutoff")), "left").drop("stratum of cutoff")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("badness") >= F.col("cutoff"), F.lit(False)))
+    joined = measured.join(found, F.col(f"`{stratum}`").cast("string").eqNullSafe(F.col("stratum of cutoff")), "left").drop("stratum of cutoff")
+    # One comparison with columns of both sides: a filter on it stays above the join, and the text is measured once.
+    limit = F.coalesce("cutoff", F.lit(float("inf")))
+    return joined.withColumn("kept", F.when(F.col("measures.base_failed"), float("inf")).otherwise(F.col("measures.badness")) < limit)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each document: the base measures, base_failed, kept, and the badness and cutoff behind it."""
     measured = checkpointed(measure(docs.select("doc_id", "lang", "text")).drop("text"))
     cutoffs = checkpointed(calibrate(holdouts(measured, labels, "doc_id", "lang")))
-    return decide(measured, cutoffs, "lang").select("doc_id", *[f"measures.{c}" for c in MEASURES], "base_failed", "kept", "badness", "cutoff")
+    return decide(measured, cutoffs, "lang").select("doc_id", *[f"measures.{c}" for c in MEASURES], "measures.base_failed", "kept", "measures.badness", "cutoff")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"))
-    labelled = row.drop("row").join(labels.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    labelled = row.drop("row").join(small(labels.where("doc_id is not null").select("doc_id").distinct()), "doc_id", "left_semi")
     cutoffs = checkpointed(calibrate(holdouts(measure(labelled).drop("text"), labels, "doc_id", "lang")))
     return decide(measure(row), cutoffs, "lang").where("kept").select("row.*")
