@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusjobs.llm.common import slices
+
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template svg math iframe object canvas head title nav aside footer form button select textarea dialog menu audio video".split())
@@ -170,7 +172,7 @@ def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> Da
     schema = pages.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias(text)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = pa.array([extract(page) for page in batch.column(len(keep)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], texts], names=[*keep, text])
 

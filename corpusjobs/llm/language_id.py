@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusjobs.llm.common import slices
+
 UNKNOWN = "und"
 #: N-grams of 4 characters down to 1; words are padded with a space on each side from 2 upwards.
 ORDERS = (4, 3, 2, 1)
@@ -149,7 +151,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scorer.predict(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, lang, score])
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import checkpointed, small
+from corpusjobs.llm.common import checkpointed, slices, small
 from corpusjobs.llm.components import components
 
 WIDTH = 5
@@ -42,7 +42,7 @@ FOLLOWED, AGAIN = 6, 2.5
 #: Shares of sampled shingles under which a class has no partner, and a pair isn't similar: chances of about 1e-5 at the threshold.
 LONELY, UNLIKE = 0.4, 0.3
 #: Words whose hashes a Python worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _words: dict[str, int] = {}
 
@@ -73,7 +73,7 @@ def shingles(text: str | None) -> tuple[bytes, np.ndarray]:
 
 def sampled(tokens: np.ndarray, amount: float) -> np.ndarray:
     """The tokens under the share of the hash range that holds `amount` of them on average."""
-    return tokens[: np.searchsorted(tokens, limit(len(tokens), amount))]
+    return tokens[: np.searchsorted(tokens, limit(len(tokens), amount))].copy()
 
 
 def limit(size: int, amount: float) -> int:
@@ -209,7 +209,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, target_recall: fl
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = [(k, len(t), sampled(t, amount)) for k, t in map(shingles, b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int64()))], names=["id", "key", "size", "pool"])
 
@@ -243,7 +243,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, target_recall: fl
     asked = checkpointed(asked)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 256):
             made = [shingles(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["key", "tokens"])
 

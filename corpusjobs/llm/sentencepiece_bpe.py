@@ -24,8 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 600_000
+from corpusjobs.llm.common import slices
+
+#: Words, and parts of words, whose ids a Python worker remembers before it forgets those not used lately.
+REMEMBERED = 80_000
 SPACE = "▁"
 
 
@@ -66,7 +68,9 @@ class PieceModel:
         #: Pieces that come back whole when merged from their characters.
         self.whole = {p for p in self.ids if self.merge(p) == [p]}
         self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}  # those of the turn before
         self.parts: dict[str, bytes] = {}
+        self.parts_before: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a text by merging the best-ranked neighbours, leftmost first."""
@@ -142,15 +146,18 @@ class PieceModel:
                 continue
             part, a = word[a:k], k
             if (ids := known.get(part)) is None:
-                found: list[int] = []
-                for piece in self.walk(part):
-                    if (i := self.ids.get(piece)) is not None:
-                        found.append(i)
-                    else:
-                        found += [self.bytes.get(b, self.unknown) for b in piece.encode()]
+                if (ids := self.parts_before.get(part)) is None:
+                    found: list[int] = []
+                    for piece in self.walk(part):
+                        if (i := self.ids.get(piece)) is not None:
+                            found.append(i)
+                        else:
+                            found += [self.bytes.get(b, self.unknown) for b in piece.encode()]
+                    ids = np.array(found, "<i4").tobytes()
                 if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[part] = np.array(found, "<i4").tobytes()
+                    self.parts_before, self.parts = known, {}
+                    known = self.parts
+                known[part] = ids
             out += ids
         return out
 
@@ -173,10 +180,11 @@ class PieceModel:
         except KeyError:
             pass
         if len(known) >= REMEMBERED:
-            known.clear()
-        for p in parts:
-            if p not in known:
-                known[p] = self.word_ids(SPACE + p.replace(" ", SPACE))
+            self.words_before, self.words = known, {}
+            known = self.words
+        before = self.words_before
+        for p in set(parts).difference(known):
+            known[p] = before[p] if p in before else self.word_ids(SPACE + p.replace(" ", SPACE))
         return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<i4")
 
     def decode(self, ids: list[int]) -> str:
@@ -235,13 +243,11 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                found = [m.encode(t) for t in batch.column(len(keep)).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(offsets, np.concatenate(found) if found else np.empty(0, "<i4"))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists, m.decode_all(lists)], names=[*keep, ids, decoded])
+        for batch in slices(batches, 256):
+            found = [m.encode(t) for t in batch.column(len(keep)).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists, m.decode_all(lists)], names=[*keep, ids, decoded])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, schema)
 
