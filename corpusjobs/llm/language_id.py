@@ -32,7 +32,7 @@ UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores a Python worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 @dataclass
@@ -143,26 +143,27 @@ def learn(rows: DataFrame, docs_per_language: int = 5_000, entries: int = 60_000
     return LanguageModel(languages, keys, values)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its score; columns of these names are replaced."""
-    keep = [c for c in docs.columns if c not in (lang, score)]
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias(lang), F.lit(0.0).alias(score)).schema
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "score", drop_text: bool = False) -> DataFrame:
+    """docs with the predicted language and its score; columns of these names are replaced, and the text is left out on demand."""
+    keep = [c for c in docs.columns if c not in (lang, score, text)]
+    back = [] if drop_text else [text]
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").cast("string").alias(c) for c in back], F.lit("").alias(lang), F.lit(0.0).alias(score)).schema
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in slices(batches):
             found = [scorer.predict(t) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, lang, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + len(back)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, *back, lang, score])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("text of a row")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(run, schema)
 
 
 def predicted(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score; learnt from the documents that aren't held out."""
     aside = held_out(F.col("doc_id"))
     model = learn(docs.where(~aside & F.col("doc_id").isNotNull()))
-    return identify(docs.select("doc_id", aside.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", aside.alias("held_out"), "text"), model, drop_text=True).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -42,7 +42,7 @@ FOLLOWED, AGAIN = 6, 2.5
 #: Shares of sampled shingles under which a class has no partner, and a pair isn't similar: chances of about 1e-5 at the threshold.
 LONELY, UNLIKE = 0.4, 0.3
 #: Words whose hashes a Python worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 
 _words: dict[str, int] = {}
 
