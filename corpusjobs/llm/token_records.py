@@ -17,11 +17,12 @@ Null text counts as empty: its record holds the end id alone.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,12 @@ from corpusjobs.llm.common import scratch
 
 MAGIC = b"CJTOKEN1"
 NO_ID = -(2**63)
-#: Words whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: New words, and new stems, in a turn of a Python worker's memory.
+WORDS, STEMS = 200_000, 120_000
+#: A word whose letters and marks the vocabulary's split takes apart.
+LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 #: Documents that are written with one call.
-TOGETHER = 512
+TOGETHER = 256
 
 
 def masked(data: bytes) -> int:
@@ -62,33 +65,66 @@ def unframe(data: memoryview, at: int) -> tuple[bytes, int]:
     return payload, end + 4
 
 
+def byte_letter(b: int) -> str:
+    """The character that byte-level vocabularies spell a byte with: itself if it prints, else one from 256 upwards."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return chr(b) if b in prints else chr(256 + sum(x not in prints for x in range(b)))
+
+
+class Remembered(dict):
+    """Values of keys as `made` gives them; those not used in the last two turns of `most` new keys are forgotten."""
+
+    def __init__(self, made: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.made, self.most, self.before = made, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        if (value := self.before.get(key)) is None:
+            value = self.made(key)
+        self[key] = value
+        return value
+
+
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, which is asked once for each word.
+    """Ids of whole texts by the tokenizers library, which is asked once for each stem that isn't remembered.
 
     The vocabulary's own steps (NFC, lower case, a split that drops white space) never reach across
-    ASCII white space, so a text's ids are those of its words, one after the other.
+    ASCII white space, so a text's ids are those of its words, one after the other. A word of Latin
+    letters, with marks behind it or not, has the ids of its letters in lower case and of the marks.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has dealt out the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kind = "<u2" if self.library.get_vocab_size() <= 65536 else "<u4"
-        self.words: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.letters = [byte_letter(b) for b in range(256)]
+        # Lower-case letters pass all steps before the model unchanged, but for the spelling of their bytes.
+        self.direct = all(self.model_ids(x) == self.text_ids(x) for x in ("the", "straße", "été", "niño", "a", "internationalisation"))
+        self.stems = Remembered(self.model_ids if self.direct else self.text_ids, STEMS)
+        self.others = Remembered(self.text_ids, WORDS)
+        self.words = Remembered(self.word_ids, WORDS)
+
+    def text_ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def model_ids(self, stem: str) -> bytes:
+        spelled = stem if stem.isascii() else "".join([self.letters[b] for b in stem.encode()])
+        return np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
+
+    def word_ids(self, word: str) -> bytes:
+        m = LATIN.fullmatch(word)
+        return self.stems[m[1].lower()] + self.others[m[2]] if m else self.others[word]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known = self.words
-        split = [ascii_split(t or "") for t in texts]
-        new = {w for ws in split for w in ws if w not in known}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = {w for ws in split for w in ws}
-            asked = list(new)
-            for w, e in zip(asked, self.library.encode_batch_fast(asked, add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, ascii_split(t or ""))) for t in texts]
 
 
 def ascii_split(text: str) -> list[str]:
