@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import checkpointed, small
+from corpusjobs.llm.common import checkpointed, let, small
 
 KEY = ["conv_id", "call_id"]
 #: For each type of a schema, what a JSON value of it is called.
@@ -34,12 +34,15 @@ def canonical(json: Column) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of each identified call; rounds go on while any call gets its level."""
+    """(conv_id, call_id, level) of each identified call; by doubling for chains, else by rounds while any call gets its level."""
     known = calls.where("conv_id is not null and call_id is not null")
     ids = checkpointed(known.select(*KEY).distinct())
     edges = known.select(*KEY, F.explode("after").alias("parent")).distinct().join(ids.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi")
     edges = checkpointed(edges)
-    waits = edges.groupBy(*KEY).agg(F.count("*").alias("waits"))
+    waits = checkpointed(edges.groupBy(*KEY).agg(F.count("*").alias("waits"), F.min("parent").alias("up")))
+    if not waits.where("waits > 1").limit(1).count():
+        return chain_levels(ids.join(waits.select(*KEY, "up"), KEY, "left"))
+    waits = waits.drop("up")
     done = checkpointed(ids.join(waits, KEY, "left_anti").withColumn("level", F.lit(0)))
     n = done.count()
     while True:
@@ -51,21 +54,39 @@ def levels(calls: DataFrame) -> DataFrame:
             return ids.join(done, KEY, "left")
 
 
+def chain_levels(ids: DataFrame) -> DataFrame:
+    """Levels where each call waits for one other at most: pointers are doubled, so that a chain of n calls takes log2(n) rounds."""
+    state = checkpointed(ids.withColumn("level", F.when(F.col("up").isNull(), 0).otherwise(1)))
+    for _ in range(state.count().bit_length() + 1):
+        moving = state.where("up is not null")
+        if not moving.limit(1).count():
+            break
+        beyond = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        moved = moving.join(beyond, ["conv_id", "up"]).select(*KEY, F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"))
+        state = checkpointed(moved.unionByName(state.where("up is null").select(*KEY, "up", "level")))
+    # What still points somewhere is in a circle, or waits for one.
+    return state.select(*KEY, F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+
+
 def problems(tool: Column, arguments: Column, params: Column) -> Column:
     """Why a call is invalid, in order; params: the schema's parameters (name, type, required), null for an unknown tool."""
     value = F.try_parse_json(arguments)
     is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT<"), F.lit(False))
     given = F.when(is_object, F.from_json(arguments, "map<string,variant>"))
     kinds = F.transform_values(given, lambda _, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
+    patterns = F.create_map(*[x for k, v in TYPES.items() for x in (F.lit(k), F.lit(f"^({v})$"))])
+
+    def judged(x: Column) -> Column:
+        def of_param(p: Column) -> Column:
+            kind = x["kinds"][p["name"]]
+            return F.when(kind.isNull(), F.when(p["required"], F.concat(F.lit("missing "), p["name"]))).when(~F.coalesce(F.regexp_like(kind, patterns[p["type"]]), F.lit(False)), F.concat(F.lit("type of "), p["name"]))
 
-    def of_param(p: Column) -> Column:
-        kind = kinds[p["name"]]
-        pattern = F.create_map(*[x for k, v in TYPES.items() for x in (F.lit(k), F.lit(f"^({v})$"))])[p["type"]]
-        return F.when(kind.isNull(), F.when(p["required"], F.concat(F.lit("missing "), p["name"]))).when(~F.coalesce(F.regexp_like(kind, pattern), F.lit(False)), F.concat(F.lit("type of "), p["name"]))
+        unknown = F.transform(F.array_sort(F.array_except(F.map_keys(x["kinds"]), F.transform(x["params"], lambda p: p["name"]))), lambda k: F.concat(F.lit("unknown "), k))
+        found = F.filter(F.concat(F.transform(x["params"], of_param), unknown), lambda y: y.isNotNull())
+        return F.when(x["params"].isNull(), F.array(F.lit("unknown tool"))).when(x["kinds"].isNull(), F.array(F.lit("not an object"))).otherwise(found)
 
-    unknown = F.transform(F.array_sort(F.array_except(F.map_keys(kinds), F.transform(params, lambda p: p["name"]))), lambda k: F.concat(F.lit("unknown "), k))
-    found = F.filter(F.concat(F.transform(params, of_param), unknown), lambda x: x.isNotNull())
-    return F.when(params.isNull(), F.array(F.lit("unknown tool"))).when(~is_object, F.array(F.lit("not an object"))).otherwise(found)
+    # Bound once, so that the arguments aren't parsed again for each parameter.
+    return let(F.struct(kinds.alias("kinds"), params.alias("params")), judged)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -75,7 +96,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     ranked = checkpointed(levels(calls).withColumn("called", F.lit(True)))
     params = schemas.groupBy("tool").agg(F.sort_array(F.collect_list(F.struct("name", "type", "required"))).alias("params"))  # as many as a schema has
     made = calls.join(ranked.hint("shuffle_hash"), KEY, "left").join(answered.hint("shuffle_hash"), KEY, "left").join(small(params), "tool", "left")
-    wrong = F.array_join(problems(F.col("tool"), F.col("arguments"), F.col("params")), ", ")
+    made = made.withColumn("wrong", F.array_join(problems(F.col("tool"), F.col("arguments"), F.col("params")), ", "))
+    wrong = F.col("wrong")
     level = F.when(F.col("called"), F.col("level")).otherwise(0)
     written = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("tool").alias("name")), {"ignoreNullFields": "false"})
     calls_out = made.select(
