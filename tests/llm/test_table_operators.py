@@ -220,3 +220,10 @@ def test_pipeline(spark, sf):
             links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
             assert {r["doc_id"] for r in at.collect()} == {i for i, c in closure(sets, links).items() if i == c}
     assert corpus_pipeline.STAGES[-1][1](spark, at, sf).count() == at.count() > 0
+
+
+def test_long_chains_and_circles(spark):
+    calls = spark.range(500).select(F.lit(1).alias("conv_id"), F.col("id").cast("string").alias("call_id"), F.array((F.col("id") - 1).cast("string")).alias("after"))
+    circle = spark.createDataFrame([(2, "a", ["b"]), (2, "b", ["a"]), (2, "c", ["a"])], "conv_id int, call_id string, after array<string>")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.levels(calls.unionAll(circle)).collect()}
+    assert got == {(1, str(k)): k for k in range(500)} | {(2, x): None for x in "abc"}
