@@ -7,10 +7,11 @@ are never expanded into pairs.
 A run samples, by the shingle's own hash, 1 / threshold shingles of each set; two sets with the
 threshold's similarity share one of them on average. `runs` follow from the target recall, since all
 of them miss such a pair with probability exp(-runs) at most. A class most of whose sampled shingles
-stand in no other class has no partner and leaves. A shingle that few classes share is a bucket. One
-that many share is split again, by a second sampled shingle of its classes; what stays large even so is
-a dense group and is cut into tiles. Each pair is looked at in one bucket only: the smallest that both
-stand in. Sizes and the sampled shingles rule most pairs out; for the rest the whole sets are read
+stand in no other class has no partner and leaves. A shingle that few classes share is a bucket. Where
+many share it, its classes are dealt anew in `splits(threshold, target_recall)` runs, each by two
+shingles of the whole set that are the smallest under fresh hashes; two sets meet in a run with their
+squared similarity. Sets of one shingle meet in it. What stays large even so is a dense group and is
+cut into tiles. Each pair is looked at in one bucket only: the smallest that both stand in. Sizes and the sampled shingles rule most pairs out; for the rest the whole sets are read
 again from the texts and the Jaccard index is computed exactly. A block of comparisons reports how many
 documents each class links to, and edges that keep linked classes connected; never all pairs.
 
@@ -37,8 +38,8 @@ from corpusjobs.llm.components import components
 WIDTH = 5
 #: Classes of a bucket that is compared at once, and of a tile of a larger one.
 BUCKET, TILE = 128, 1024
-#: Buckets of many classes that a class is followed into, and shingles that split one of them again.
-FOLLOWED, AGAIN = 6, 2.5
+#: Share of sampled shingles that many classes hold from which a class is dealt anew; below it, partners share one that few hold.
+DENSE = 0.1
 #: Shares of sampled shingles under which a class has no partner, and a pair isn't similar: chances of about 1e-5 at the threshold.
 LONELY, UNLIKE = 0.4, 0.3
 #: Words whose hashes a Python worker remembers before it starts anew.
@@ -80,6 +81,24 @@ def limit(size: int, amount: float) -> int:
     return min(2**63 - 1, int(2**63 * min(1.0, amount / max(size, 1))))
 
 
+def splits(threshold: float, target_recall: float) -> int:
+    """Runs of two smallest shingles after which a pair at the threshold has met in none with 1 - target_recall at most."""
+    return math.ceil(math.log(1 - target_recall) / math.log1p(-min(threshold**2, 1 - 1e-9)))
+
+
+def smallest(tokens: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A key of each run: two shingles, each the smallest by its factor; one key for a set of one shingle, none for none."""
+    x = tokens.view(np.uint64)
+    if len(x) < 2:
+        return tokens.copy()
+    low = np.full(len(factors), 2**64 - 1, np.uint64)
+    for at in range(0, len(x), 4096):
+        low = np.minimum(low, (factors[:, None] * x[None, at : at + 4096]).min(axis=1))
+    key = (low[::2] * np.uint64(0xBF58476D1CE4E5B9)) ^ low[1::2]
+    key = (key ^ key >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return ((key ^ key >> np.uint64(32)) >> np.uint64(1)).astype(np.int64)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Runs of rows with equal first columns, over the borders of batches."""
     rows = (row for b in batches for row in zip(*(columns(c) for c in b.columns)))
@@ -206,15 +225,17 @@ def by_group(df: DataFrame, order: list[str], keys: int, body: Callable[[list[tu
 def similar_documents(docs: DataFrame, threshold: float = 0.8, target_recall: float = 0.9999999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_links (documents linked directly) and class_id (the smallest id reachable by links)."""
     amount = math.ceil(-math.log(1 - target_recall)) / threshold
+    factors = np.random.default_rng(11).integers(0, 2**63, 2 * splits(threshold, target_recall), np.uint64) * np.uint64(2) + np.uint64(1)
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            made = [(k, len(t), sampled(t, amount)) for k, t in map(shingles, b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int64()))], names=["id", "key", "size", "pool"])
+            made = [(k, len(t), sampled(t, amount), smallest(t, factors)) for k, t in map(shingles, b.column(1).to_pylist())]
+            lists = [pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64()), *lists], names=["id", "key", "size", "pool", "runs"])
 
-    members = checkpointed(own.mapInArrow(sketch, "id long, key binary, size long, pool array<long>"))
-    classes = members.where("id is not null and size > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("pool").alias("pool"))
+    members = checkpointed(own.mapInArrow(sketch, "id long, key binary, size long, pool array<long>, runs array<long>"))
+    classes = members.where("id is not null and size > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("pool").alias("pool"), F.first("runs").alias("runs"))
     classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()))
 
     def counted(paths: DataFrame) -> DataFrame:
@@ -222,12 +243,11 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, target_recall: fl
         return paths.join(paths.groupBy("path").agg(F.count("*").alias("held")).where("held > 1"), "path")
 
     first = counted(classes.select("class", F.explode("pool").alias("path")))
-    tokens = first.groupBy("class").agg(F.collect_list(F.when(F.col("held") <= BUCKET, F.col("path"))).alias("light"), F.sort_array(F.collect_list(F.when(F.col("held") > BUCKET, F.col("path")))).alias("heavy"))
-    at_hand = checkpointed(classes.join(tokens, "class").where((F.size("light") + F.size("heavy")) >= LONELY * F.size("pool")).select("class", "size", "pool", "light", "heavy"))
-    # What a class shares with many it is followed into only if the rest may not lead to its partners.
-    followed = at_hand.where(F.size("heavy") >= 4).select("class", "pool", F.explode(F.slice("heavy", 1, FOLLOWED)).alias("at"))
-    again = F.explode(F.filter("pool", lambda t: F.pmod(F.xxhash64("at", t), F.lit(1_000_000)) < F.lit(1_000_000 * AGAIN) / F.size("pool")))
-    split = followed.select("class", "at", again.alias("token")).where("token != at").select("class", F.shiftrightunsigned(F.xxhash64("at", "token"), 1).alias("path"))
+    tokens = first.groupBy("class").agg(F.collect_list(F.when(F.col("held") <= BUCKET, F.col("path"))).alias("light"), F.count_if(F.col("held") > BUCKET).alias("heavy"))
+    at_hand = checkpointed(classes.join(tokens, "class").where((F.size("light") + F.col("heavy")) >= LONELY * F.size("pool")).select("class", "size", "pool", "runs", "light", "heavy"))
+    # A class is dealt anew only if what it shares with few may not lead to its partners.
+    dense = at_hand.where((F.col("heavy") > 0) & (F.col("heavy") >= DENSE * F.size("pool")))
+    split = dense.select("class", F.explode(F.array_distinct("runs")).alias("path"))
     light = at_hand.select("class", F.explode("light").alias("path"))
     buckets = checkpointed(counted(light.unionByName(split)))
     mine = buckets.groupBy("class").agg(F.collect_list("path").alias("buckets"))

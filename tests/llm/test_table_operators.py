@@ -166,6 +166,43 @@ def test_ngram_join_equals_brute_force(spark, odd):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+def test_ngram_join_of_dense_groups(spark):
+    """Over 1,000 near copies, over 128 lengths of one repeated word or two, and small sets that many texts hold."""
+    pick = np.random.default_rng(8)
+    base = [f"d{k}" for k in range(80)]
+    texts = [" ".join(f"x{pick.integers(10**9)}" if pick.random() < 0.012 else w for w in base) for _ in range(1300)]
+    texts += [" ".join(base[: pick.integers(60, 81)]) + f" e{k}" for k in range(200)]
+    texts += [" ".join(["ha"] * k) for k in range(1, 160)] + [" ".join(["ho", "hi"] * k) for k in range(1, 160)] + [" ".join(["a", "b", "c"] * k) for k in range(1, 160)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in ngram_jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    column = {x: k for k, x in enumerate(sorted(set().union(*sets.values())))}
+    marked = np.zeros((len(rows), len(column)), np.float32)
+    for i, own in sets.items():
+        marked[i, [column[x] for x in own]] = 1
+    both, size = marked @ marked.T, marked.sum(axis=1)
+    near = (both >= 0.8 * (size[:, None] + size[None, :] - both)) & ~np.eye(len(rows), dtype=bool)
+    names = closure(sets, [(int(a), int(b)) for a, b in np.argwhere(np.triu(near))])
+    assert {i: n for i, (n, _) in got.items()} == {i: int(n) for i, n in enumerate(near.sum(axis=1))}
+    assert {i: c for i, (_, c) in got.items()} == names
+
+
+def test_ngram_splits_meet_their_recall():
+    """Pairs of similarity 0.8, of equal size or one within the other: a run finds the square of it, all runs what is asked."""
+    pick = np.random.default_rng(3)
+    n = ngram_jaccard.splits(0.8, 0.9999999)
+    assert (1 - 0.8**2) ** n <= 1e-7 < (1 - 0.8**2) ** (n - 1) and ngram_jaccard.splits(0.8, 0.99) == 5
+    factors = pick.integers(0, 2**63, 2 * n, np.uint64) * np.uint64(2) + np.uint64(1)
+    for shared, a, b in ((800, 100, 100), (800, 0, 200)):
+        met = np.zeros((2000, n), bool)
+        for k in range(len(met)):
+            x = pick.integers(0, 2**63, shared + a + b)
+            met[k] = ngram_jaccard.smallest(x[: shared + a], factors) == ngram_jaccard.smallest(np.concatenate([x[:shared], x[shared + a :]]), factors)
+        assert abs(met.mean() - 0.64) < 0.02 and met.any(axis=1).all()
+        five = 1 - met[:, :5].any(axis=1).mean()
+        assert abs(five - 0.36**5) < 0.005
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [(1, 0, "a", "add", '{"y": 2, "x": {"b":1,"a":[1, 2]}}', None), (1, 1, "b", "add", '{"x": 1}', ["a"]), (1, 2, "c", "add", "[1]", ["b", "a", "gone"]), (1, 3, "d", "no", "{}", ["e"]), (1, 4, "e", "add", '{"x":{},"y":"z","q":1}', ["d"]), (None, 5, "f", "add", None, None), (1, 6, None, "add", '{"x":{},"y":1}', ["a"]), (1, 0, "a", "add", '{"x":{},"y":1}', None)],
