@@ -76,7 +76,17 @@ def dedup_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, line - 1 AS line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE source IN ('src1', 'src3'))")
 def body_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src3"))
+    """Two sources, as its SQL has them; body_extract_all has them all."""
+    return bodies(table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src3")))
+
+
+@query()
+def body_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every source."""
+    return bodies(table(spark, sf_dir, "documents"))
+
+
+def bodies(docs: DataFrame) -> DataFrame:
     return C.body_lines(docs.withColumn("lines", F.split("text", "\n")), "lines", "doc_id").withColumn("line", F.col("line").cast("long"))
 
 
@@ -219,8 +229,19 @@ def link_split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SENTENCES} SELECT f.dataset, f.source_row_id, f.raw_index, f.normalized_index, sha256(f.original) AS original_sha256, 'doc ' || f.source_row_id AS title FROM found f WHERE f.source_row_id % 10 = 3 AND f.normalized_index < 3")
 def lookup_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a search, as its SQL has them; lookup_hits_all takes every sentence as a hit."""
+    return looked_up(spark, sf_dir, found(spark, sf_dir).where("source_row_id % 10 = 3 and normalized_index < 3"))
+
+
+@query()
+def lookup_hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence looked up."""
+    return looked_up(spark, sf_dir, found(spark, sf_dir))
+
+
+def looked_up(spark: SparkSession, sf_dir: str, sentences: DataFrame) -> DataFrame:
     """Hits of a search, looked up again in the rows: the pair at the normalised place must have the hit's raw place."""
-    hits = found(spark, sf_dir).where("source_row_id % 10 = 3 and normalized_index < 3").select("dataset", F.col("source_row_id").alias("id"), "raw_index", "normalized_index")
+    hits = sentences.select("dataset", F.col("source_row_id").alias("id"), "raw_index", "normalized_index")
     own = C.aligned(rows(spark, sf_dir)).where("reason is null").select("dataset", "id", "pairs")
     joined = hits.join(own, ["dataset", "id"]).withColumn("pair", F.get("pairs", F.col("normalized_index").cast("int")))
     return joined.where("pair.raw = raw_index").select("dataset", F.col("id").alias("source_row_id"), "raw_index", "normalized_index", F.sha2("pair.original", 256).alias("original_sha256"), F.concat(F.lit("doc "), F.col("id").cast("string")).alias("title"))
@@ -228,10 +249,22 @@ def lookup_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SENTENCES}, keyed AS (SELECT work_id, source_row_id || ':' || raw_index || ':' || normalized_index AS k, original FROM found) SELECT work_id, k AS locator, sha256(original) AS original_sha256 FROM keyed WHERE k LIKE '%:0'")
 def resolve_original(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Originals of hits, by the locator maps of their works."""
+    """Originals of first sentences, as its SQL has them; resolve_original_all has those of every sentence."""
     s = found(spark, sf_dir)
+    return resolved(s, s.where("normalized_index = 0"))
+
+
+@query()
+def resolve_original_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The original of every sentence."""
+    s = found(spark, sf_dir)
+    return resolved(s, s)
+
+
+def resolved(s: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Originals of hits, by the locator maps of their works."""
     key = S.locator_key(F.col("source_row_id"), F.col("raw_index"), F.col("normalized_index"))
-    hits = s.where("normalized_index = 0").select("work_id", key.alias("locator"))
+    hits = sentences.select("work_id", key.alias("locator"))
     return hits.join(C.work_locators(s), "work_id").select("work_id", "locator", F.sha2(F.element_at("locators", F.col("locator")), 256).alias("original_sha256"))
 
 
@@ -258,8 +291,19 @@ def validate_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, lang, doc_id % 2 = 0 AS second FROM documents WHERE lang IN ('de', 'fr') UNION ALL SELECT item_id, NULL, NULL FROM benchmark")
 def union_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two languages and the benchmark, as its SQL has them; union_datasets_all has all of them."""
+    return united(spark, sf_dir, table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr")))
+
+
+@query()
+def union_datasets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language and the benchmark."""
+    return united(spark, sf_dir, table(spark, sf_dir, "documents"))
+
+
+def united(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     """One stream over datasets with different columns."""
-    docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr")).select("doc_id", "lang", (F.col("doc_id") % 2 == 0).alias("second"))
+    docs = docs.select("doc_id", "lang", (F.col("doc_id") % 2 == 0).alias("second"))
     return docs.unionByName(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), allowMissingColumns=True)
 
 

@@ -38,8 +38,19 @@ def low_count_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents WHERE lang = 'en') WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 100")
 def frequency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred most frequent words of English texts, as its SQL has them; frequency_topk_all counts all languages."""
+    return counted(table(spark, sf_dir, "documents").where("lang = 'en'"), "[^a-z]+")
+
+
+@query()
+def frequency_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred most frequent words of all texts, of letters of any script."""
+    return counted(table(spark, sf_dir, "documents"), r"[^\p{L}]+")
+
+
+def counted(docs: DataFrame, apart: str) -> DataFrame:
     """The hundred most frequent words."""
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word != ''")
+    words = docs.select(F.explode(F.split(F.lower("text"), apart)).alias("word")).where("word != ''")
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
 
 

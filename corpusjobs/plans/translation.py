@@ -67,20 +67,31 @@ def prefilter_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.when(F.size("kept") == 0, "empty").when(F.forall("kept", S.is_punctuation_only), "punctuation").alias("skipped"))
 
 
-@query("SELECT doc_id, 'en: ' || text AS translation, CAST(1 AS INTEGER) AS n FROM documents WHERE doc_id % 10 = 0".replace("'en: ' || text", "sha256('en: ' || text)"))
-def translate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+def translated(docs: DataFrame) -> DataFrame:
     """A caller's translator over the chunks of each row; here it puts a mark before the text."""
 
     def translate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "chunk": b["chunk"], "lines": b["lines"].map(list)})
 
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", F.split("text", "\n").alias("lines"))
-    chunks = docs.select("doc_id", "lines", F.posexplode(S.chunk_lines(F.col("lines"), 8, 600)).alias("chunk", "s")).select("doc_id", "chunk", F.slice("lines", F.col("s.from"), F.col("s.to") - F.col("s.from") + 1).alias("lines"))
+    lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    chunks = lines.select("doc_id", "lines", F.posexplode(S.chunk_lines(F.col("lines"), 8, 600)).alias("chunk", "s")).select("doc_id", "chunk", F.slice("lines", F.col("s.from"), F.col("s.to") - F.col("s.from") + 1).alias("lines"))
     out = chunks.mapInPandas(translate, "doc_id long, chunk int, lines array<string>")
     return merge(out).select("doc_id", F.sha2(F.concat(F.lit("en: "), F.array_join("lines", "\n")), 256).alias("translation"), F.lit(1).alias("n"))
 
 
+@query("SELECT doc_id, 'en: ' || text AS translation, CAST(1 AS INTEGER) AS n FROM documents WHERE doc_id % 10 = 0".replace("'en: ' || text", "sha256('en: ' || text)"))
+def translate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth row, as its SQL has it; translate_all has them all."""
+    return translated(table(spark, sf_dir, "documents").where("doc_id % 10 = 0"))
+
+
+@query()
+def translate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row translated."""
+    return translated(table(spark, sf_dir, "documents"))
+
+
 def merge(chunks: DataFrame) -> DataFrame:
     """The lines of each row's chunks in order."""
     return chunks.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "lines"))), lambda c: c["lines"])).alias("lines"))

@@ -74,3 +74,23 @@ def test_batches(spark, sf):
     rows = QUERIES["byte_bounded_batches"](spark, sf).toPandas()
     sums = rows.groupby(["bucket", "batch"])["bytes"].agg(["sum", "count"])
     assert (sums["sum"] <= 1_048_576).all() and (sums["count"] <= 128).all()
+
+
+def test_whole_tables(spark, sf, duck):
+    """Every document, sentence, source and language is in the queries named _all."""
+    import collections
+    import hashlib
+    import re
+
+    docs = duck.execute("select doc_id, lang, text from documents").fetchall()
+    told = lambda name, *c: sorted(map(str, (tuple(r[x] for x in c) for r in QUERIES[name](spark, sf).collect())))
+    assert told("translate_all", "doc_id", "translation") == sorted(str((i, hashlib.sha256(f"en: {t}".encode()).hexdigest())) for i, _, t in docs)
+    assert told("body_extract_all", "doc_id", "line", "text") == sorted(str((i, k, x)) for i, _, t in docs for k, x in enumerate(t.split("\n")))
+    assert told("union_datasets_all", "doc_id", "lang", "second") == sorted([*(str((i, lang, i % 2 == 0)) for i, lang, _ in docs), *(str((i, None, None)) for (i,) in duck.execute("select item_id from benchmark").fetchall())])
+    words = collections.Counter(w for _, _, t in docs for w in re.findall(r"[^\W\d_]+", t.lower()))
+    assert told("frequency_topk_all", "word", "n") == sorted(map(str, sorted(words.items(), key=lambda x: (-x[1], x[0]))[:100]))
+    whole = {"lookup_hits": (" WHERE f.source_row_id % 10 = 3 AND f.normalized_index < 3", ""), "resolve_original": (" WHERE k LIKE '%:0'", "")}
+    for name, (cut, rest) in whole.items():
+        assert cut in SQL[name]
+        found = duck.execute(SQL[name].replace(cut, rest))
+        assert told(f"{name}_all", *(names := [d[0] for d in found.description])) == sorted(map(str, found.fetchall())), names
