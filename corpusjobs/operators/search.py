@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Queries whose vectors travel with the tasks at once; more are searched in further blocks.
 QUERY_BLOCK = 4096
+#: Queries that approximate search also searches exactly, to learn how many cells it must look into.
+MEASURED = 512
 
 
 def vector_reason(vector: Column, dimensions: int | None = None) -> Column:
@@ -139,21 +142,25 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], t
     return rows.join(distinct.mapInPandas(run, "own string, embedding array<float>"), F.col(text) == F.col("own"), "left").drop("own")
 
 
-def ann_top_k(points: DataFrame, queries: DataFrame, k: int, cells: int = 64, probes: int = 8, sample: int = 8_192, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
+def ann_top_k(points: DataFrame, queries: DataFrame, k: int, recall: float = 0.95, others: bool = False, cells: int | None = None, probes: int | None = None, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """(query_id, id, score, place) as top_k(), looking only into the cells nearest to each query.
 
-    The centres of the cells come from a bounded sample (`sample` points in expectation); every point is listed.
+    There are about as many cells as the root of the count of points; their centres come from a bounded
+    sample of 64 points a cell (8,192 at least, in expectation); every point is listed. Where the caller gives no probes,
+    about MEASURED queries are searched exactly too, and as many cells are looked into as hold the share
+    `recall` of what these find besides themselves. others leaves out the point of the query's own id.
     """
     unit = lambda df, i, name: df.select(F.col(i).cast("long").alias(name), normalize_vector(F.col(vector)).alias("v")).where("v is not null")
     listed, asked = unit(points, id_, "id"), unit(queries, query_id, "query_id")
     n = listed.count()
     if not n:
         return asked.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)
-    chance = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / n)
+    cells = cells or max(1, round(n**0.5))
+    chance = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, max(8_192, 64 * cells) / n)
     seen = np.stack((listed.where(chance).toPandas()["v"].to_list() or [listed.first()["v"]])).astype(np.float64)
     centres = seen[np.random.default_rng(3).choice(len(seen), min(cells, len(seen)), replace=False)]
     for _ in range(6):
-        own = (seen @ centres.T).argmax(axis=1)
+        own = np.concatenate([(seen[at : at + 4096] @ centres.T).argmax(axis=1) for at in range(0, len(seen), 4096)])
         centres = np.stack([seen[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     sent = points.sparkSession.sparkContext.broadcast(centres)
@@ -164,20 +171,63 @@ def ann_top_k(points: DataFrame, queries: DataFrame, k: int, cells: int = 64, pr
             m = min(most, len(c))
             for b in batches:
                 if b.num_rows:
-                    order = np.argsort(-np.stack(b.column(1).to_numpy(zero_copy_only=False)) @ c.T, axis=1)[:, :m]
+                    order = np.argsort(-np.stack(b.column(1).to_numpy(zero_copy_only=False)) @ c.T, axis=1, kind="stable")[:, :m]
                     at = pa.array(np.repeat(np.arange(b.num_rows), m))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(order.ravel(), pa.int32())], names=["i", "v", "cell"])
 
         return run
 
     kind = "i long, v array<float>, cell int"
-    homes, probing = listed.mapInArrow(nearest(1), kind), asked.mapInArrow(nearest(probes), kind)
-    pairs = probing.select(F.col("i").alias("query_id"), F.col("v").alias("q"), "cell").join(homes.select(F.col("i").alias("id"), "v", "cell"), "cell")
-    scored = pairs.select("query_id", "id", F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x).alias("score"))
+    homes = listed.mapInArrow(nearest(1), kind)
+    if not probes:
+        probes = measured_probes(listed, asked, homes, centres, k, recall)
+    probing = asked.mapInArrow(nearest(probes), kind)
+
+    def dealt(df: DataFrame, rows: int, name: str) -> DataFrame:
+        """df with the number of its part of a cell, parts having about so many rows, and how many parts the cell has."""
+        parts = df.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(f"{name}s"))
+        return df.join(F.broadcast(parts), "cell").withColumn(name, F.pmod(F.xxhash64("i"), F.col(f"{name}s")).cast("int"))
+
+    def spread(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        """df once for each part that the other side has of its cell."""
+        parts = other.select("cell", f"{name}s").distinct()
+        return df.join(F.broadcast(parts), "cell").withColumn(name, F.explode(F.sequence(F.lit(0), F.col(f"{name}s") - 1)))
+
+    def best(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+        if not ours.num_rows or not theirs.num_rows:
+            return out.empty_table()
+        q, x = (np.stack(t.column("v").to_numpy()).astype(np.float64) for t in (ours, theirs))
+        asking, ids = ours.column("i").to_numpy(), theirs.column("i").to_numpy()
+        scores = q @ x.T
+        if others:
+            scores[asking[:, None] == ids[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+        score = np.take_along_axis(scores, order, 1).ravel()
+        use = score > -np.inf
+        return pa.Table.from_arrays([pa.array(c[use]) for c in (np.repeat(asking, order.shape[1]), ids[order].ravel(), score)], schema=out)
+
+    p, q = dealt(homes, 2048, "block"), dealt(probing, 512, "part")
+    keys = ["cell", "block", "part"]
+    left, right = spread(q.drop("parts"), p, "block"), spread(p.drop("blocks"), q, "part")
+    scored = left.select("i", "v", *keys).groupBy(*keys).cogroup(right.select("i", "v", *keys).groupBy(*keys)).applyInArrow(best, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def measured_probes(listed: DataFrame, asked: DataFrame, homes: DataFrame, centres: np.ndarray, k: int, recall: float) -> int:
+    """How many cells nearest to a query hold the share `recall` of its k nearest other points, measured exactly on about MEASURED queries."""
+    n = asked.count()
+    some = asked.where(F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(1_000_000)) < 1_000_000 * min(1.0, MEASURED / max(n, 1)))
+    exact = top_k(listed, some, k + 1, "id", "v").where("id != query_id").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where(F.col("place") <= k)
+    rows = exact.select("query_id", "id").join(homes.select(F.col("i").alias("id"), "cell"), "id").join(some, "query_id").select("v", "cell").toPandas()
+    if not len(rows):
+        return len(centres)
+    scores = np.stack(rows["v"].to_list()).astype(np.float64) @ centres.T
+    places = (scores > np.take_along_axis(scores, rows["cell"].to_numpy()[:, None].astype(int), 1)).sum(axis=1)
+    return int(np.sort(places)[math.ceil(recall * len(places)) - 1]) + 1
+
+
 def batch_order(rows: DataFrame, batch: str, index: str, size: str) -> DataFrame:
     """(batch, reason) of returned batches: an index out of range, twice, or missing; null where all are there once."""
     g = rows.groupBy(batch).agg(F.count("*").alias("n"), F.countDistinct(index).alias("distinct"), F.min(index).alias("low"), F.max(index).alias("high"), F.max(size).alias("size"))

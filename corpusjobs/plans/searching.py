@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusjobs.operators import search as V
@@ -110,6 +110,29 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(near, "query_id", "left").agg(F.count("*").alias("queries"), F.avg((F.col("a") == F.coalesce("b", F.lit(-1))).cast("double")).alias("recall"))
 
 
+def others(found: DataFrame, k: int) -> DataFrame:
+    """Of k + 1 hits the first k that aren't the query's own id."""
+    w = Window.partitionBy("query_id").orderBy("place")
+    return found.where("id != query_id").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+@query()
+def ann_recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the ten nearest other points, by exact search, that the approximate search finds."""
+    exact = others(V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 11), 10).select("query_id", "id")
+    near = V.ann_top_k(points(spark, sf_dir), asked(spark, sf_dir), 10, others=True).select("query_id", "id", F.lit(1.0).alias("hit"))
+    return exact.join(near, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+
+
+@query()
+def search_parity_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other points in two indexes, of which the second has every vector scaled."""
+    hits = lambda df: others(V.top_k(df, asked(spark, sf_dir), 11), 10).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "id")))["id"].alias("ids"))
+    scaled = points(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
+    one, two = hits(points(spark, sf_dir)), hits(scaled).withColumnRenamed("ids", "other")
+    return one.join(two, "query_id", "full_outer").agg(F.count("*").alias("queries"), F.count_if(~F.col("ids").eqNullSafe(F.col("other"))).alias("changed"))
+
+
 @query("SELECT l_orderkey, CASE WHEN max(l_linenumber) > 6 THEN 'out of range' WHEN count(DISTINCT l_linenumber) < count(*) THEN 'twice' WHEN count(*) < 6 THEN 'missing' END AS reason FROM lineitem GROUP BY l_orderkey")
 def restore_batch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as batches of six, their lines as what came back."""

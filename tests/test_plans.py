@@ -94,3 +94,32 @@ def test_whole_tables(spark, sf, duck):
         assert cut in SQL[name]
         found = duck.execute(SQL[name].replace(cut, rest))
         assert told(f"{name}_all", *(names := [d[0] for d in found.description])) == sorted(map(str, found.fetchall())), names
+
+
+def test_approximate_search(spark, sf, duck):
+    """Recall of the ten nearest other points, also of vectors without clusters, where many cells must be looked into."""
+    import numpy as np
+
+    from corpusjobs.operators import search
+
+    (got,) = QUERIES["ann_recall_at_10"](spark, sf).collect()
+    n = duck.execute("select count(*) from embeddings where vec_id % 20 = 0").fetchone()[0]
+    assert got["queries"] == n and got["neighbours"] == 10 * n and 0.9 <= got["recall"] <= 1
+    (same,) = QUERIES["search_parity_at_10"](spark, sf).collect()
+    assert (same["queries"], same["changed"]) == (n, 0)
+    x = np.random.default_rng(4).normal(size=(6000, 24)).astype(np.float32)
+    x[3000:] = x[3000] + x[3000:] * 0.3  # half of the points in one place, so that a cell has several parts
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = points.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    unit = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    scores = unit[::10] @ unit.T
+    scores[np.arange(600), np.arange(0, 6000, 10)] = -2
+    want = np.argsort(-scores, axis=1)[:, :10]
+    for cells, least, most in ((None, 0.9, 1.0), (4, 0.9, 1.0)):
+        found = {}
+        for r in search.ann_top_k(points, asked, 10, others=True, cells=cells).collect():
+            found.setdefault(r["query_id"], set()).add(r["id"])
+        assert all(len(f) == 10 and q not in f for q, f in found.items())
+        assert least <= np.mean([len(found[10 * k] & set(w)) / 10 for k, w in enumerate(want.tolist())]) <= most
+    few = search.ann_top_k(points, asked, 10, probes=1).where("place = 1").where("id = query_id").count()
+    assert few == 600
