@@ -64,7 +64,7 @@ def is_placeholder_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, doc_id % 6 = 0 AS refuses, doc_id % 4 = 0 AS refuses_to_explain FROM documents")
 def refusal_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    lines = F.array(F.substring("text", 1, 30), F.when(i % 6 == 0, F.lit("（无法翻译）。")).otherwise(F.lit("无法翻译吗")))
+    lines = F.array(F.col("text"), F.when(i % 6 == 0, F.lit("（无法翻译）。")).otherwise(F.lit("无法翻译吗")))
     told = F.when(i % 4 == 0, F.lit("抱歉，无法解读")).otherwise(F.concat(F.lit("无法解读"), F.repeat("source", 40)))
     return table(spark, sf_dir, "documents").select("doc_id", S.refuses(lines).alias("refuses"), S.interpretation_refuses(told).alias("refuses_to_explain"))
 
@@ -78,12 +78,23 @@ def extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE list_filter(list_transform([lang, source, '', {TRIM.format('left(text, 20)')}], lambda x: x), lambda x: x <> '') END AS lines FROM documents")
 def normalize_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text the first twenty characters, as its SQL has them; normalize_whole_translation has all of it."""
+    return normalized(table(spark, sf_dir, "documents"), F.substring("text", 1, 20))
+
+
+@query()
+def normalize_whole_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalized(table(spark, sf_dir, "documents"), F.col("text"))
+
+
+def normalized(docs: DataFrame, text: Column) -> DataFrame:
+    """Lines of answers given as a list, by number or in a wrong form."""
     i = F.col("doc_id")
-    values = [F.col("lang"), F.col("source"), F.lit(""), F.substring("text", 1, 20)]
+    values = [F.col("lang"), F.col("source"), F.lit(""), text]
     by_key = F.to_json(F.create_map(*[x for k, v in [(4, values[3]), (2, values[1]), (1, values[0]), (3, values[2])] for x in (F.lit(str(k)), v)]))
     wrong = F.to_json(F.create_map(F.lit("2"), F.col("lang")))
     json = F.when(i % 3 == 0, F.to_json(F.array(*values))).when(i % 3 == 1, by_key).otherwise(wrong)
-    return table(spark, sf_dir, "documents").select("doc_id", S.normalize_translation(json).alias("lines"))
+    return docs.select("doc_id", S.normalize_translation(json).alias("lines"))
 
 
 @query(rf"""WITH d AS (SELECT doc_id, list_filter(list_transform({CONTENT}, lambda x: {TRIM.format('x')}), lambda x: x <> '') AS s FROM documents),

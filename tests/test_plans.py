@@ -123,3 +123,20 @@ def test_approximate_search(spark, sf, duck):
         assert least <= np.mean([len(found[10 * k] & set(w)) / 10 for k, w in enumerate(want.tolist())]) <= most
     few = search.ann_top_k(points, asked, 10, probes=1).where("place = 1").where("id = query_id").count()
     assert few == 600
+
+
+def test_whole_texts(spark, sf, duck, tmp_path):
+    """What stands behind the first characters is parsed, trimmed and checked for refusals too."""
+    cut = "left(text, 20)"
+    assert cut in SQL["normalize_translation"]
+    found = duck.execute(SQL["normalize_translation"].replace(cut, "text"))
+    assert sorted(str((r["doc_id"], r["lines"])) for r in QUERIES["normalize_whole_translation"](spark, sf).collect()) == sorted(str((i, lines)) for i, lines in found.fetchall())
+    long = "x" * 40
+    rows = [(0, f'{long} "a\\b"\n\tc  ', "en", "s"), (6, f"{long} \\u0041 ", "en", "s"), (1, "y" * 30 + " z ", "en", "s"), (12, "（无法翻译）。" + "x" * 60000 + "!", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    lines = {r["doc_id"]: r["lines"] for r in QUERIES["normalize_whole_translation"](spark, str(tmp_path)).collect()}
+    assert lines == {i: [lang, source, text.strip()] for i, text, lang, source in rows}
+    refusals = [(1, "。" * 40 + "无法翻译", "s"), (2, "无法翻译" + "。" * 40 + "x", "s"), (6, long, "s")]
+    spark.createDataFrame(refusals, "doc_id long, text string, source string").write.mode("overwrite").parquet(f"{tmp_path}/refusals/documents.parquet")
+    assert {r["doc_id"]: r["refuses"] for r in QUERIES["refusal_flags"](spark, f"{tmp_path}/refusals").collect()} == {1: True, 2: False, 6: True}
