@@ -14,6 +14,10 @@ order at every depth and no white space.
 Nulls: a call or result without conversation or identifier is linked with nothing and has level 0.
 Repeated rows give repeated results; an id that several calls have links all of them to the results of
 this id. Every call and every result gives one row; empty tables give none.
+
+linked_conversations() has the turns of users and assistants, as SQL does; whole_conversations() adds
+each other turn (role system, null or any other) as a row of kind turn: level 0, not linked, not valid,
+with the reason 'no call or result'.
 """
 
 from __future__ import annotations
@@ -133,6 +137,16 @@ def linked_conversations(conversations: DataFrame) -> DataFrame:
     return link(calls, results, schemas)
 
 
+def whole_conversations(conversations: DataFrame) -> DataFrame:
+    """linked_conversations() and a row for each turn that is neither call nor result."""
+    told = F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"})
+    rest = conversations.where("role is null or role not in ('user', 'assistant')").select(
+        "conv_id", "turn", F.lit("turn").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(0).alias("level"), F.lit(False).alias("linked"), F.lit(False).alias("valid"),
+        F.lit("no call or result").alias("problems"), canonical(told).alias("message"),
+    )
+    return linked_conversations(conversations).unionByName(rest)
+
+
 SQL = """
 WITH calls AS (
   SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id FROM conversations WHERE role = 'user'

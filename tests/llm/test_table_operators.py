@@ -240,6 +240,20 @@ def test_conversations_equal_sql(spark, sf):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows.fetchall()))
 
 
+def test_every_turn_has_a_row(spark, sf):
+    from corpusjobs.llm.queries import QUERIES
+
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (1, 3, None, None), (None, None, "tool", 'a "b"'), (2, 0, "", ""), (2, 0, "", "")]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = collections.Counter((r["conv_id"], r["turn"], r["call_id"], r["level"], r["linked"], r["valid"], r["problems"], r["message"]) for r in tool_calls.whole_conversations(chats).where("kind = 'turn'").collect())
+    other = (None, 0, False, False, "no call or result")
+    assert got == collections.Counter({(1, 0, *other, '{"content":"be brief","role":"system"}'): 1, (1, 3, *other, '{"content":null,"role":null}'): 1, (None, None, *other, '{"content":"a \\"b\\"","role":"tool"}'): 1, (2, 0, *other, '{"content":"","role":""}'): 2})
+    assert tool_calls.whole_conversations(chats).count() == len(rows)
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    turns = lambda df: collections.Counter(map(tuple, df.select("conv_id", "turn").collect()))
+    assert turns(QUERIES["op5_every_turn"](spark, sf)) == turns(table) and table.where("role = 'system'").count() > 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
