@@ -14,6 +14,8 @@ repeated results; columns other than the text are passed through whatever their
 from __future__ import annotations
 
 import heapq
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,8 +29,12 @@ from pyspark.sql import functions as F
 from corpusjobs.llm.common import slices
 
 #: Words, and parts of words, whose ids a Python worker remembers before it forgets those not used lately.
-REMEMBERED = 80_000
+REMEMBERED = 160_000
+#: Pairs of neighbours of which a worker remembers whether they fit.
+PAIRS = 100_000
 SPACE = "▁"
+#: A word with marks behind it.
+MARKED = re.compile(r"(▁?[^\W_]+)([^\w▁]+)")
 
 
 class PieceModel:
@@ -45,11 +51,6 @@ class PieceModel:
         normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in normal}
         self.rank = {p: (-sp.get_score(i)) for p, i in self.ids.items()}
-        self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            if len(p) > 1:
-                self.automaton.add_word(p, len(p))
-        self.automaton.make_automaton()
         #: Characters that stand side by side in some piece; between others no piece reaches across.
         self.joins = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         if any(pair[1] == SPACE != pair[0] for pair in self.joins):
@@ -65,8 +66,15 @@ class PieceModel:
         self.table = pa.array([chr(self.value[i]) if self.value.get(i, 128) < 128 else x for i, x in enumerate(self.said)], pa.string())
         self.hard = np.array([self.value.get(i, 0) >= 128 or sp.is_control(i) for i in range(n)])
         self.fits: dict[tuple[str, str], bool] = {}
+        self.fits_before: dict[tuple[str, str], bool] = {}
         #: Pieces that come back whole when merged from their characters.
         self.whole = {p for p in self.ids if self.merge(p) == [p]}
+        self.longest = ahocorasick.Automaton()
+        for p in self.whole:
+            self.longest.add_word(p, len(p))
+        self.longest.make_automaton()
+        #: The next shorter piece that begins a piece; in the end its first character, piece or not.
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 1, -1) if p[:k] in self.whole), p[0]) for p in self.whole if len(p) > 1}
         self.words: dict[str, bytes] = {}
         self.words_before: dict[str, bytes] = {}  # those of the turn before
         self.parts: dict[str, bytes] = {}
@@ -93,78 +101,91 @@ class PieceModel:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether two pieces stay as they are when their characters are merged again."""
-        if len(self.fits) >= REMEMBERED:
-            self.fits.clear()
-        found = self.fits[left, right] = self.merge(left + right) == [left, right]
+        if (found := self.fits_before.get((left, right))) is None:
+            found = self.merge(left + right) == [left, right]
+        if len(self.fits) >= PAIRS:
+            self.fits_before, self.fits = self.fits, {}
+        self.fits[left, right] = found
         return found
 
     def walk(self, text: str) -> list[str]:
         """The pieces of a text by longest matches with backtracking; the merge itself for tied spaces."""
         if SPACE * 2 in text:
             return self.merge(text)
-        n, fits = len(text), self.fits
+        n = len(text)
         if n == 1 or text in self.whole:
             return [text]
-        # Ends of the matches from each position, shortest first; a single character always counts, piece or not.
-        matches = [[k] for k in range(1, n + 1)]
-        for end, size in self.automaton.iter(text):
-            matches[end - size + 1].append(end + 1)
-        failed = 0  # bit k: no way on from position k
+        fits, shorter, matches = self.fits, self.shorter, self.longest.iter_long
         done: list[str] = []
-        tries: list[int] = []
-        at, pick, last = 0, len(matches[0]), ""
+        failed = 0  # bit k: no way on from position k
+        at, last, ahead = 0, "", matches(text)
         while at < n:
-            own = matches[at]
-            while pick:
-                pick -= 1
-                end = own[pick]
-                if failed >> end & 1:
-                    continue
-                piece = text[at:end]
-                if not last:
-                    break
-                if (fit := fits.get((last, piece))) is None:
-                    fit = self.compatible(last, piece)
-                if fit:
-                    break
-            else:
-                failed |= 1 << at
-                at, pick = at - len(done.pop()), tries.pop()
-                last = done[-1] if done else ""
-                continue
+            end, size = next(ahead, (n, 0))
+            piece: str | None = text[at : end + 1] if end + 1 - size == at else text[at]
+            while True:
+                if piece is None:  # nothing fits here: a shorter piece before it
+                    failed |= 1 << at
+                    piece = done.pop()
+                    at -= len(piece)
+                    last = done[-1] if done else ""
+                elif not failed >> at + len(piece) & 1:
+                    if not last:
+                        break
+                    if (fit := fits.get((last, piece))) is None:
+                        fit = self.compatible(last, piece)
+                    if fit:
+                        break
+                piece = shorter.get(piece)
             done.append(piece)
-            tries.append(pick)
-            at, last = end, piece
-            pick = len(matches[at]) if at < n else 0
+            at += len(piece)
+            last = piece
+            if end + 1 != at < n:  # not where the matches went on
+                ahead = matches(text, at)
         return done
 
+    def cut(self, word: str) -> list[str]:
+        """The word in parts between which no piece reaches."""
+        joins = self.joins
+        if (m := MARKED.fullmatch(word)) and word[m.end(1) - 1 : m.end(1) + 1] not in joins:
+            return [m[1], m[2]]
+        if word.isalpha() or word[1:].isalpha():
+            return [word]
+        out, a = [], 0
+        for k in range(1, len(word)):
+            if word[k - 1 : k + 1] not in joins:
+                out.append(word[a:k])
+                a = k
+        return [*out, word[a:]]
+
+    def part_ids(self, part: str) -> bytes:
+        found: list[int] = []
+        for piece in self.walk(part):
+            if (i := self.ids.get(piece)) is not None:
+                found.append(i)
+            else:
+                found += [self.bytes.get(b, self.unknown) for b in piece.encode()]
+        return array("i", found).tobytes()
+
     def word_ids(self, word: str) -> bytes:
-        """The ids of a word, as bytes; parts between which no piece reaches are encoded apart."""
-        joins, known, out, a = self.joins, self.parts, b"", 0
-        for k in range(1, len(word) + 1):
-            if k < len(word) and word[k - 1 : k + 1] in joins:
-                continue
-            part, a = word[a:k], k
-            if (ids := known.get(part)) is None:
+        """The ids of a word, as bytes."""
+        out = b""
+        for part in self.cut(word):
+            if (ids := self.parts.get(part)) is None:
                 if (ids := self.parts_before.get(part)) is None:
-                    found: list[int] = []
-                    for piece in self.walk(part):
-                        if (i := self.ids.get(piece)) is not None:
-                            found.append(i)
-                        else:
-                            found += [self.bytes.get(b, self.unknown) for b in piece.encode()]
-                    ids = np.array(found, "<i4").tobytes()
-                if len(known) >= REMEMBERED:
-                    self.parts_before, self.parts = known, {}
-                    known = self.parts
-                known[part] = ids
+                    ids = self.part_ids(part)
+                if len(self.parts) >= REMEMBERED // 2:
+                    self.parts_before, self.parts = self.parts, {}
+                self.parts[part] = ids
             out += ids
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        """All ids of a text; a space is put before it, and each word is encoded with the space before it."""
+        return np.frombuffer(self.encoded(text), np.int32)
+
+    def encoded(self, text: str | None) -> bytes:
+        """All ids of a text, as bytes; a space is put before it, and each word is encoded with the space before it."""
         if not text:
-            return np.empty(0, "<i4")
+            return b""
         known, parts = self.words, (" " + text).replace(SPACE, " ").split(" ")[1:]
         if "" in parts:  # runs of spaces belong to the word after them
             joined, gap = [], ""
@@ -176,7 +197,7 @@ class PieceModel:
                     gap += " "
             parts = [*joined, gap + parts[-1]]
         try:
-            return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<i4")
+            return b"".join(map(known.__getitem__, parts))
         except KeyError:
             pass
         if len(known) >= REMEMBERED:
@@ -185,7 +206,7 @@ class PieceModel:
         before = self.words_before
         for p in set(parts).difference(known):
             known[p] = before[p] if p in before else self.word_ids(SPACE + p.replace(" ", SPACE))
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<i4")
+        return b"".join(map(known.__getitem__, parts))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: without the space before it, and with bytes read as UTF-8."""
@@ -244,9 +265,9 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for batch in slices(batches, 256):
-            found = [m.encode(t) for t in batch.column(len(keep)).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, np.concatenate(found))
+            found = [m.encoded(t) for t in batch.column(len(keep)).to_pylist()]
+            offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(found), np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists, m.decode_all(lists)], names=[*keep, ids, decoded])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, schema)
