@@ -22,7 +22,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,10 @@ from corpusjobs.llm.common import scratch
 
 MAGIC = b"CJTOKEN1"
 NO_ID = -(2**63)
-#: New words, and new stems, in a turn of a Python worker's memory.
+#: New words, and new stems, in a turn of a Python worker's memory; those not used in the last two turns are forgotten.
 WORDS, STEMS = 200_000, 120_000
-#: A word whose letters and marks the vocabulary's split takes apart.
-LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: A word whose letters and ASCII marks the vocabulary's split takes apart.
+LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 #: Documents that are written with one call.
 TOGETHER = 256
 
@@ -71,29 +72,13 @@ def byte_letter(b: int) -> str:
     return chr(b) if b in prints else chr(256 + sum(x not in prints for x in range(b)))
 
 
-class Remembered(dict):
-    """Values of keys as `made` gives them; those not used in the last two turns of `most` new keys are forgotten."""
-
-    def __init__(self, made: Callable[[str], bytes], most: int):
-        super().__init__()
-        self.made, self.most, self.before = made, most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.before = dict(self)
-            self.clear()
-        if (value := self.before.get(key)) is None:
-            value = self.made(key)
-        self[key] = value
-        return value
-
-
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, which is asked once for each stem that isn't remembered.
 
     The vocabulary's own steps (NFC, lower case, a split that drops white space) never reach across
     ASCII white space, so a text's ids are those of its words, one after the other. A word of Latin
     letters, with marks behind it or not, has the ids of its letters in lower case and of the marks.
+    A text that holds one of the vocabulary's special tokens goes to the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -101,30 +86,62 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.kind = "<u2" if self.library.get_vocab_size() <= 65536 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.model = self.library.model
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = [byte_letter(b) for b in range(256)]
         # Lower-case letters pass all steps before the model unchanged, but for the spelling of their bytes.
         self.direct = all(self.model_ids(x) == self.text_ids(x) for x in ("the", "straße", "été", "niño", "a", "internationalisation"))
-        self.stems = Remembered(self.model_ids if self.direct else self.text_ids, STEMS)
-        self.others = Remembered(self.text_ids, WORDS)
-        self.words = Remembered(self.word_ids, WORDS)
+        self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}  # those of the turn before
+        self.stems: dict[str, bytes] = {}
+        self.stems_before: dict[str, bytes] = {}
 
     def text_ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def model_ids(self, stem: str) -> bytes:
         spelled = stem if stem.isascii() else "".join([self.letters[b] for b in stem.encode()])
-        return np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
-
-    def word_ids(self, word: str) -> bytes:
-        m = LATIN.fullmatch(word)
-        return self.stems[m[1].lower()] + self.others[m[2]] if m else self.others[word]
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of new words into the memory."""
+        if len(self.stems) >= STEMS:
+            self.stems_before, self.stems = self.stems, {}
+        known, before, stems, stems_before = self.words, self.words_before, self.stems, self.stems_before
+        made = self.model_ids if self.direct else self.text_ids
+        for word in words:
+            if (ids := before.get(word)) is None:
+                if (m := LATIN.fullmatch(word)) is None:
+                    ids = self.text_ids(word)
+                else:
+                    stem, marks = m[1].lower(), m[2]
+                    if (ids := stems.get(stem)) is None:
+                        if (ids := stems_before.get(stem)) is None:
+                            ids = made(stem)
+                        stems[stem] = ids
+                    if marks:
+                        if (end := stems.get(marks)) is None:
+                            end = stems[marks] = self.text_ids(marks)
+                        ids = ids + end
+            known[word] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, ascii_split(t or ""))) for t in texts]
+        out = []
+        for t in texts:
+            if t and any(x in t for x in self.special):
+                out.append(self.text_ids(t))
+                continue
+            parts = ascii_split(t or "")
+            try:
+                out.append(b"".join(map(self.words.__getitem__, parts)))
+            except KeyError:
+                if len(self.words) >= WORDS:
+                    self.words_before, self.words = self.words, {}
+                self.learn(set(parts).difference(self.words))
+                out.append(b"".join(map(self.words.__getitem__, parts)))
+        return out
 
 
 def ascii_split(text: str) -> list[str]:
