@@ -9,14 +9,16 @@ Learning takes a bounded sample: of each language about `docs_per_language` docu
 of their id and text, and keeps at most `entries` words and as many n-grams of each order, shared out
 among the languages, the most frequent first (whole counts of equal size are kept or left together).
 
-Words are runs of letters in lower case. A text that is null or has no letter is `und` with score 0;
-so is every text if nothing could be learnt. Rows whose language or text is null teach nothing.
-Repeated rows get repeated results.
+Words are runs of letters (Unicode's L) in lower case. A text that is null or has no letter is `und`
+with score 0; so is every text if nothing could be learnt. Of languages with equal sums the first in
+code point order is told. Rows whose language or text is null teach nothing. Repeated rows get repeated
+results, an empty table none.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import slices
+from corpusjobs.llm.common import slices, small
 
 UNKNOWN = "und"
 #: N-grams of 4 characters down to 1; words are padded with a space on each side from 2 upwards.
 ORDERS = (4, 3, 2, 1)
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters by Unicode: what counts as a word character but is a number of another kind (½, ², Ⅷ) isn't one.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 #: Unseen words whose scores a Python worker remembers before it starts anew.
 REMEMBERED = 100_000
 
@@ -109,26 +113,22 @@ def learn(rows: DataFrame, docs_per_language: int = 5_000, entries: int = 60_000
     sample = own.where(chance < share[F.col("lang")])
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     words = sample.select("lang", word.alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
-    words = words.select("lang", F.lit(0).alias("order"), "key", "n")
     padded = F.concat(F.lit(" "), F.col("key"), F.lit(" "))
 
-    def grams(n: int) -> DataFrame:
+    def grams(n: int) -> Column:
         spread = F.col("key") if n == 1 else padded
         places = F.sequence(F.lit(1), F.greatest(F.length(spread) - (n - 1), F.lit(1)))
-        pieces = F.transform(places, lambda k: F.substring(spread, k, F.lit(n)))
-        return words.select("lang", F.lit(n).alias("order"), F.explode(pieces).alias("key"), "n").where(F.length("key") == n)
+        return F.filter(F.transform(places, lambda k: F.struct(F.lit(n).alias("order"), F.substring(spread, k, F.lit(n)).alias("key"))), lambda g: F.length(g["key"]) == n)
 
-    counts = words
-    for n in ORDERS:
-        counts = counts.unionByName(grams(n))
-    counts = counts.groupBy("lang", "order", "key").agg(F.sum("n").alias("n")).cache()
+    every = F.concat(F.array(F.struct(F.lit(0).alias("order"), "key")), *[grams(n) for n in ORDERS])
+    counts = words.select("lang", "n", F.explode(every).alias("of")).groupBy("lang", "of.order", "of.key").agg(F.sum("n").alias("n")).cache()
     # The least count that keeps a language's table within its share, from the number of keys with each count.
     each = max(1, entries // len(languages))
     sizes_by_count = counts.groupBy("lang", "order", "n").agg(F.count("*").alias("keys"))
     running = F.sum("keys").over(Window.partitionBy("lang", "order").orderBy(F.desc("n")))
     least = sizes_by_count.withColumn("running", running).where(F.col("running") <= each).groupBy("lang", "order").agg(F.min("n").alias("least"))
     totals = {(r["lang"], r["order"]): (r["total"], r["distinct"]) for r in counts.groupBy("lang", "order").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).collect()}
-    kept = counts.join(F.broadcast(least), ["lang", "order"]).where("n >= least").select("order", "key").distinct()
+    kept = counts.join(small(least), ["lang", "order"]).where("n >= least").select("order", "key").distinct()
     found = counts.join(kept, ["order", "key"]).groupBy("order", "key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     keys: dict[int, list[str]] = {}
     rows_of: dict[int, list[list[int]]] = {}
