@@ -22,15 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-        return named.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The folder that driver and executors share: the one the session names, else one in the warehouse.
+
+    Only where driver and executors are one process (local mode) and no folder is named, it is a temporary one.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        local = context.master == "local" or context.master.startswith("local[")
+        named = tempfile.mkdtemp(prefix="spark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
