@@ -42,6 +42,17 @@ def test_pieces_equal_the_library(pieces):
         assert pieces.decode(ids) == sp.decode(ids)
 
 
+def test_pieces_of_documents_equal_the_library(pieces, sf):
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in pq.read_table(f"{sf.replace('0.001', '0.01')}/documents.parquet", columns=["text"]).column(0).to_pylist():
+        ids = sp.encode(text or "")
+        assert pieces.encode(text).tolist() == ids
+        assert pieces.decode(ids) == sp.decode(ids)
+
+
 def test_encoding_of_odd_rows(spark, odd):
     import sentencepiece
 
@@ -59,10 +70,11 @@ def test_records_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    got = sorted(token_records.round_trip(odd, WORDS).collect(), key=lambda r: r["start"])
+    special = [(100, "hello <|endoftext|> world"), (101, "<|startoftext|>a<|endoftext|><|endoftext|"), (102, "<|ENDOFTEXT|> it's a'b rock'# x_!? don't' é́! ½²")]
+    more = spark.createDataFrame(special, "doc_id long, text string")
+    got = sorted(token_records.round_trip(odd.select("doc_id", "text").union(more), WORDS).collect(), key=lambda r: r["start"])
     start, want = 0, {}
-    for i, x in [*enumerate(TEXTS), (None, "a b"), (3, "a  b ")]:
+    for i, x in [*enumerate(TEXTS), (None, "a b"), (3, "a  b "), *special]:
         ids = t.encode(x or "", add_special_tokens=False).ids + [1]
         want.setdefault(i, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     for r in got:
@@ -72,6 +84,35 @@ def test_records_round_trip(spark, odd):
     assert token_records.round_trip(odd.limit(0), WORDS).count() == 0
 
 
+def test_token_ids_of_documents_equal_the_library(sf):
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = pq.read_table(f"{sf.replace('0.001', '0.01')}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    library, code = Tokenizer.from_file(WORDS), token_records.encoder(WORDS)
+    pick, letters = random.Random(2), list("abThe  \n\t.,!'#_<|>$019éüñß梦\x00́　½²") + ["'s", "'ll", "<|endoftext|>", "endoftext"]
+    texts += ["".join(pick.choice(letters) for _ in range(pick.randint(0, 30))) for _ in range(3000)]
+    for text, ids in zip(texts, code.encode(texts)):
+        assert np.frombuffer(ids, code.kind).tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_records_are_read_in_any_order(spark, odd, tmp_path):
+    """A reader that jumps to shuffled places of the index finds each record there."""
+    folder = f"file://{tmp_path}/records"
+    manifest = token_records.write_records(odd, folder, WORDS).collect()
+    library, found = token_records.encoder(WORDS), []
+    for shard in manifest:
+        data, index = (open(f"{tmp_path}/records/{shard['path']}{end}", "rb").read() for end in ("", ".idx"))
+        places = np.frombuffer(index, "<u8").reshape(-1, 2).tolist()
+        random.Random(5).shuffle(places)
+        for at, _ in places:
+            payload, _ = token_records.unframe(memoryview(data), at)
+            found.append((int.from_bytes(payload[:8], "little", signed=True), payload[9:]))
+    end = np.array([1], library.kind).tobytes()
+    want = [(token_records.NO_ID if r["doc_id"] is None else r["doc_id"], library.encode([r["text"]])[0] + end) for r in odd.collect()]
+    assert sorted(found) == sorted(want)
+
+
 def test_damaged_records_are_refused():
     data = bytearray(token_records.frame(b"payload"))
     assert token_records.unframe(memoryview(data), 0) == (b"payload", len(data))
@@ -96,6 +137,45 @@ def test_language_of_odd_rows(spark, odd):
     assert language_id.predicted(odd.limit(0)).count() == 0
 
 
+def test_numbers_are_no_letters(spark):
+    """Letters are Unicode's L in prediction as in learning; ties go to the first language."""
+    rows = [(1, "½ ² Ⅷ", "de"), (2, "①②③ 12 _", "de"), (3, "ab½cd", "de"), (4, "ab½cd", "en"), (5, "ª", "en")]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.keys[0]) == {"ab", "cd", "ª"}
+    scorer = language_id.Scorer(model)
+    assert scorer.predict("½ ² Ⅷ") == scorer.predict("①②③") == ("und", 0.0)
+    same = language_id.LanguageModel(["de", "en"], {0: ["a"]}, {0: np.zeros((1, 2))})
+    assert language_id.Scorer(same).predict("a") == ("de", 0.5)
+
+
+def plain_language(model, text):
+    """The prediction by the definition: sums over words, backing off for each unseen one."""
+    import regex
+
+    total = np.zeros(len(model.languages))
+    for w in regex.findall(r"\p{L}+", text.lower()):
+        if w in (own := dict(zip(model.keys[0], model.values[0]))):
+            total += own[w]
+            continue
+        for n in (4, 3, 2, 1):
+            spread, known = (f" {w} " if n > 1 else w), dict(zip(model.keys.get(n, []), model.values.get(n, [])))
+            if found := [known[spread[k : k + n]] for k in range(len(spread) - n + 1) if spread[k : k + n] in known]:
+                total += np.mean(found, axis=0)
+                break
+    return model.languages[int(total.argmax())], 1 / np.exp(total - total.max()).sum()
+
+
+def test_predictions_equal_the_definition(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").where("text is not null").limit(12)
+    model = language_id.learn(docs, entries=400)
+    scorer = language_id.Scorer(model)
+    for r in docs.collect():
+        text = " ".join(r["text"].split()[:60])
+        lang, score = scorer.predict(text)
+        want = plain_language(model, text)
+        assert (lang == want[0] or "und" == lang) and score == pytest.approx(want[1] if lang != "und" else 0)
+
+
 PAGE = """<html><head><title>t</title><script>var a="</p>"</script></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a><a href=/x>News</a></nav>
 <div class="cookie-notice">We use cookies, and this sentence about them is long enough to look like text.</div>
 <div id="main-content"><h2>A title</h2><p>First &amp; long paragraph of the text, with a <b>bold</b>   word and more words to make it a real one.<p>Second paragraph, which is also long enough to be taken for content by its ratio.</p><p>Short.</p>
