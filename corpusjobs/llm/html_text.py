@@ -1,17 +1,24 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clusters.
 
 The standard library's parser reads a page as a stream of events. Block-level tags cut it into lines;
-a line keeps its text, the number of tags in it, and the sectioning elements around it. What stands in
-navigation, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments (by element, role, or a whole word of class or id) makes no line. Each line's ratio of
-characters to tags is smoothed with a Gaussian over its neighbours; lines at or over a share of the
-standard deviation form clusters. The element that holds most of the clustered text (an article or
-main element where there is one) is the content region, and all its lines from the first cluster to
-the last, or all of them in an article or main element, are the text.
+a line keeps its text, the number of tags in it, its characters in links, and the sectioning elements
+around it. What stands in navigation, page headers, footers, sidebars, forms, scripts and styles (by
+element or role) makes no line, nor do elements whose class or id says that they hold notices, adverts,
+reader comments and the like (MARKS; all words of the name must be such or say nothing, so
+`cookie-notice` counts and `menu-of-the-day` doesn't). Within an article or main element a paragraph,
+heading or list item with such a name is only in doubt.
+
+Each line's ratio of characters to tags is smoothed with a Gaussian over its neighbours; lines at or
+over a share of the standard deviation form clusters. The element that holds most of the clustered text
+is the content region: an article or main element where one holds a good part of it, else the innermost
+element with nearly all of it, from its first cluster to its last. In the region, a line that is in
+doubt, or that is one of several lines of links, stays only if it is in a cluster; of links in a row it
+is their own ratio that counts, since the text beside them would lift them.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by one
 line feed. A null or empty page, and a page without text, gives the empty text. Pages that break off
-in the middle give what was read. Repeated rows give repeated results.
+in the middle give what was read. Pages of any length are read whole. Repeated rows give repeated
+results, an empty table none; columns with clashing names are kept, but for those of the new names.
 """
 
 from __future__ import annotations
@@ -32,36 +39,52 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("script style noscript template svg math iframe object canvas head title nav aside footer form button select textarea dialog menu audio video".split())
 SECTIONS = frozenset("article main section div td body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-#: Whole words of class or id that mark what isn't part of the article.
+#: Words of class or id that mark what isn't part of the article, and words beside them that say nothing.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer"
     " dropdown footer header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion"
     " related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar tags widget".split()
 )
+BESIDE = frozenset("area bar block body bottom box button buttons container content form global group holder icons inner item items js left links list main message outer page panel placement posts primary right secondary section site slot stories top unit wrap wrapper".split())
 COMMENT_MARKS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Elements that hold a paragraph's worth of text; in an article their class or id raises no more than doubt.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th caption figcaption".split())
 SIGMA = 1.0
 SHARE = 0.3
 
 
+def marked(value: str) -> set[str]:
+    """The marks of a class or id attribute."""
+    found: set[str] = set()
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        if words & MARKS and words <= MARKS | BESIDE:
+            found |= words & MARKS
+    return found
+
+
 class Lines(HTMLParser):
-    """Collects lines: text, tags, and the numbers of the sectioning elements around them, outermost first."""
+    """Collects lines: text, tags, characters in links, doubt, and the numbers of the sectioning elements around, outermost first."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
         self.kinds: list[str] = []  # the tag of each sectioning element
         self.open: list[tuple[str, int]] = []  # sectioning elements around: tag, number
         self.inside: tuple[int, ...] = ()
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
+        self.in_link = False
+        self.doubt = ""  # the tag of the paragraph in doubt that is open
         self.dropping = ""  # the tag of the dropped element that is open
         self.depth = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.inside))
+            self.lines.append((text, self.tags, self.linked, bool(self.doubt), self.inside))
             self.tags = 0
+        self.linked = 0
         self.parts.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -75,6 +98,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
+            if tag in PARAGRAPHS:
+                self.doubt = ""
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -82,6 +107,7 @@ class Lines(HTMLParser):
         if self.unwanted(tag, attrs):
             self.dropping, self.depth = tag, 1
             return
+        self.in_link = self.in_link or tag == "a"
         if tag in SECTIONS:
             self.open.append((tag, len(self.kinds)))
             self.kinds.append(tag)
@@ -93,14 +119,20 @@ class Lines(HTMLParser):
             return True
         if tag in ("html", "body", "main", "header") or not attrs:
             return False
-        words: set[str] = set()
+        marks: set[str] = set()
         for name, value in attrs:
             if name in ("class", "id") and value:
-                words.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                marks |= marked(value)
             elif name == "role" and value and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-        self.comments = bool(words & COMMENT_MARKS)
-        return self.comments or tag != "article" and not words.isdisjoint(MARKS)
+        self.comments = bool(marks & COMMENT_MARKS)
+        if self.comments or not marks or tag == "article":
+            return self.comments
+        if not any(t in ("article", "main") for t, _ in self.open):
+            return True
+        if tag in PARAGRAPHS:
+            self.doubt = tag
+        return tag in BLOCKS and tag not in PARAGRAPHS
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -117,6 +149,10 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
+        if tag == self.doubt:
+            self.doubt = ""
+        elif tag == "a":
+            self.in_link = False
         if tag in SECTIONS and any(t == tag for t, _ in self.open):
             while self.open and self.open.pop()[0] != tag:
                 pass
@@ -125,6 +161,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.dropping:
             self.parts.append(data)
+            if self.in_link:
+                self.linked += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -134,6 +172,12 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
+def clustered(ratios: np.ndarray, smooth: bool = True) -> np.ndarray:
+    """Which lines are in clusters: those whose ratio, smoothed or their own, is at or over a share of the smoothed ratios' deviation."""
+    even = smoothed(ratios)
+    return (even if smooth else ratios) >= min(SHARE * float(even.std()), float(even.max()))
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
@@ -145,25 +189,29 @@ def extract(page: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    sizes = np.array([len(t) for t, _, _ in lines], np.float64)
-    ratios = smoothed(sizes / np.maximum([n for _, n, _ in lines], 1))
-    chosen = ratios >= min(SHARE * float(ratios.std()), float(ratios.max()))
+    sizes = np.array([len(line[0]) for line in lines], np.float64)
+    own = sizes / np.maximum([line[1] for line in lines], 1)
+    chosen = clustered(own)
+    links = np.array([line[2] >= 0.9 * len(line[0]) for line in lines])
+    row = links & (np.r_[False, links[:-1]] | np.r_[links[1:], False])
+    chosen &= ~row | clustered(own, smooth=False)
+    stays = chosen | ~(row | np.array([line[3] for line in lines]))
     held: dict[int, float] = {}  # clustered characters in each sectioning element
     for k in np.flatnonzero(chosen):
-        for n in lines[k][2]:
+        for n in lines[k][4]:
             held[n] = held.get(n, 0.0) + sizes[k]
     most = float(sizes[chosen].sum())
     named = [n for n in held if parser.kinds[n] in ("article", "main") and held[n] >= 0.3 * most]
     if named:  # the largest; of nested ones the innermost that has most of the outer one's text
         best = max(named, key=lambda n: held[n])
         for n in sorted(named):
-            if n > best and held[n] >= 0.6 * held[best] and any(best in line[2] and n in line[2] for line in lines):
+            if n > best and held[n] >= 0.6 * held[best] and any(best in line[4] and n in line[4] for line in lines):
                 best = n
-        return "\n".join(t for t, _, inside in lines if best in inside)
+        return "\n".join(line[0] for k, line in enumerate(lines) if best in line[4] and stays[k])
     best = max((n for n in held if held[n] >= 0.8 * most), default=None)  # the innermost with nearly all of it
-    region = [k for k in range(len(lines)) if best is None or best in lines[k][2]]
-    kept = [k for k in region if chosen[k]]
-    return "\n".join(lines[k][0] for k in region if kept[0] <= k <= kept[-1])
+    region = [k for k in range(len(lines)) if best is None or best in lines[k][4]]
+    kept = [k for k in region if chosen[k]] or region
+    return "\n".join(lines[k][0] for k in region if kept[0] <= k <= kept[-1] and stays[k])
 
 
 def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -188,6 +188,44 @@ def test_main_text_of_a_page():
     assert html_text.extract(PAGE) == want
 
 
+LONG = "A paragraph of the article with quite a number of words in it, so that its ratio of text to tags is high. " * 3
+LINKS = "".join(f"<li><a href=/{k}>link {k}</a></li>" for k in range(8))
+
+
+def test_ratios_decide(monkeypatch):
+    """Without an article element, and for doubtful lines in one, it is the clusters that choose."""
+    page = f"<body><ul>{LINKS}</ul><p>{LONG}</p><p>Short.</p><p>{LONG}</p><ul>{LINKS}</ul></body>"
+    want = "\n".join([LONG.strip(), "Short.", LONG.strip()])
+    article = f"<article><h1>Title</h1><p>{LONG}</p><ul>{LINKS}</ul></article>"
+    assert html_text.extract(page) == want
+    assert html_text.extract(article) == "Title\n" + LONG.strip()
+    monkeypatch.setattr(html_text, "clustered", lambda ratios, smooth=True: np.ones(len(ratios), bool))
+    assert html_text.extract(page) != want and "link 3" in html_text.extract(article)
+
+
+def test_names_drop_no_paragraph_of_an_article():
+    page = f'<article><p>{LONG}</p><p class="search">We search for truth</p><div class="menu-of-the-day"><p>Soup</p></div><p id="share">{LONG}</p><div class="ad-slot">Buy</div><p>{LONG}</p></article><div class="cookie-notice">{LONG}</div>'
+    assert html_text.extract(page).split("\n") == [LONG.strip(), "We search for truth", "Soup", LONG.strip(), LONG.strip()]
+
+
+def test_main_text_of_pages_is_their_article(spark, sf):
+    import html
+    import re
+
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect()}
+    for r in html_text.main_texts(spark.createDataFrame(list(pages.values()))).collect():
+        body = re.search(r"<article>(.*?)</article>", pages[r["page_id"]]["html"], re.S)[1]
+        blocks = re.split(r"</?(?:p|h\d|ul|ol|li|div|table|tr|td|th|blockquote|pre)\b[^>]*>", re.sub(r"<!--.*?-->|<(script|style|form|aside|nav)\b.*?</\1>", "", body, flags=re.S))
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br[^>]*>", " ", b))).split()) for b in blocks]
+        assert r["text"] == "\n".join(b for b in plain if b) and r["n_chars"] == len(r["text"])
+
+
+def test_main_text_of_a_very_long_page(spark):
+    page = "<main>" + "".join(f"<p>{LONG} {k}</p>" for k in range(3000)) + "</main>"
+    assert html_text.extract(page).count("\n") == 2999
+    assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_main_text_of_odd_pages(spark):
     assert [html_text.extract(p) for p in (None, "", "<p>", "plain", "<article><p>cut &am", "<nav>a<article>b</article>")] == ["", "", "", "plain", "cut &am", "b"]
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a</p>", "x"), (None, None, "<p>a</p>", None)], "page_id long, url string, html string, text string")
