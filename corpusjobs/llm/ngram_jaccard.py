@@ -4,16 +4,24 @@ A document is the set of its shingles (five words, lower case; a text of fewer w
 Documents with the same words in the same order are one class; classes are what is joined, so copies
 are never expanded into pairs.
 
-A run samples, by the shingle's own hash, 1 / threshold shingles of each set; two sets with the
-threshold's similarity share one of them on average. `runs` follow from the target recall, since all
-of them miss such a pair with probability exp(-runs) at most. A class most of whose sampled shingles
-stand in no other class has no partner and leaves. A shingle that few classes share is a bucket. Where
-many share it, its classes are dealt anew in `splits(threshold, target_recall)` runs, each by two
-shingles of the whole set that are the smallest under fresh hashes; two sets meet in a run with their
-squared similarity. Sets of one shingle meet in it. What stays large even so is a dense group and is
-cut into tiles. Each pair is looked at in one bucket only: the smallest that both stand in. Sizes and the sampled shingles rule most pairs out; for the rest the whole sets are read
-again from the texts and the Jaccard index is computed exactly. A block of comparisons reports how many
-documents each class links to, and edges that keep linked classes connected; never all pairs.
+First level: a run samples, by the shingle's own hash, 1 / threshold shingles of each set; two sets with
+the threshold's similarity share one of them on average. `runs` follow from the target recall, since all
+of them miss such a pair with probability exp(-runs) at most; together they sample `amount` shingles.
+The classes that share a shingle are a bucket.
+
+Recursion: classes whose partners may share only shingles that many classes hold are dealt anew in runs of
+paths: a run's path is the shingles of the whole set that are the smallest under `depth` fresh hashes, so
+two sets meet in a run with their similarity to the power `depth`. Again the number of runs follows from
+the target recall (`splits`). Classes in buckets that are still large go on to paths of twice the depth, as
+long as this halves the pairs to look at; a crowd that no longer splits is one of similar texts and is cut
+into tiles, in which all pairs are looked at. So whatever the sampling leaves large is compared in full.
+
+Two tests rule classes and pairs out before the exact comparison, both by the number of sampled shingles
+that are shared: it is below `least_shared` for a pair at the threshold with probability 1 - target_recall
+at most (the exact binomial tail). Each pair is looked at in one bucket only: the smallest that both stand
+in. For what is left, the whole sets are read again from the texts and the Jaccard index is computed
+exactly. A block of comparisons reports how many documents each class links to, and edges that keep linked
+classes connected; never all pairs.
 
 Nulls and texts without words link with nothing, nor do rows with a null id. Every row of the input
 gives one row. An empty table gives an empty result. Columns other than id and text aren't read.
@@ -36,12 +44,12 @@ from corpusjobs.llm.common import checkpointed, slices, small
 from corpusjobs.llm.components import components
 
 WIDTH = 5
-#: Classes of a bucket that is compared at once, and of a tile of a larger one.
-BUCKET, TILE = 128, 1024
-#: Share of sampled shingles that many classes hold from which a class is dealt anew; below it, partners share one that few hold.
-DENSE = 0.1
-#: Shares of sampled shingles under which a class has no partner, and a pair isn't similar: chances of about 1e-5 at the threshold.
-LONELY, UNLIKE = 0.4, 0.3
+#: Classes of a bucket of the first level that is compared at once.
+BUCKET = 128
+#: Classes, and shingles, of a tile of a larger bucket.
+TILE, TOKENS = 512, 1_000_000
+#: Runs of paths beyond which no deeper level is tried.
+MOST_RUNS = 128
 #: Words whose hashes a Python worker remembers before it starts anew.
 REMEMBERED = 80_000
 
@@ -81,21 +89,41 @@ def limit(size: int, amount: float) -> int:
     return min(2**63 - 1, int(2**63 * min(1.0, amount / max(size, 1))))
 
 
-def splits(threshold: float, target_recall: float) -> int:
-    """Runs of two smallest shingles after which a pair at the threshold has met in none with 1 - target_recall at most."""
-    return math.ceil(math.log(1 - target_recall) / math.log1p(-min(threshold**2, 1 - 1e-9)))
+def least_shared(threshold: float, target_recall: float, most: int = 256) -> list[int]:
+    """For 0 to `most` sampled shingles of the union of two sets at the threshold: how many both hold, but for a chance of 1 - target_recall."""
+    out = []
+    for n in range(most + 1):
+        tail, k = 0.0, 0
+        while k < n and (tail := tail + math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k)) <= 1 - target_recall:
+            k += 1
+        out.append(k)
+    return out
+
+
+def splits(threshold: float, target_recall: float, depth: int) -> int:
+    """Runs of paths of this depth after which a pair at the threshold has met in none with 1 - target_recall at most."""
+    return math.ceil(math.log(1 - target_recall) / math.log1p(-min(threshold**depth, 1 - 1e-9)))
+
+
+def hashes(runs: int, depth: int) -> np.ndarray:
+    """Odd factors: a fresh hash for each step of each run's path."""
+    return np.random.default_rng([runs, depth]).integers(0, 2**63, (runs, depth), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def smallest(tokens: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """A key of each run: two shingles, each the smallest by its factor; one key for a set of one shingle, none for none."""
+def paths(tokens: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A key of each run's path, the smallest shingles by its factors; one key for a set of one shingle, none for none."""
     x = tokens.view(np.uint64)
     if len(x) < 2:
         return tokens.copy()
-    low = np.full(len(factors), 2**64 - 1, np.uint64)
-    for at in range(0, len(x), 4096):
-        low = np.minimum(low, (factors[:, None] * x[None, at : at + 4096]).min(axis=1))
-    key = (low[::2] * np.uint64(0xBF58476D1CE4E5B9)) ^ low[1::2]
-    key = (key ^ key >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    flat = factors.ravel()
+    low = np.full(len(flat), 2**64 - 1, np.uint64)
+    for at in range(0, len(x), 1024):
+        low = np.minimum(low, (flat[:, None] * x[None, at : at + 1024]).min(axis=1))
+    key = np.full(len(factors), factors.shape[1], np.uint64)
+    for step in low.reshape(factors.shape).T:
+        key = (key ^ step) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    key = (key ^ key >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
     return ((key ^ key >> np.uint64(32)) >> np.uint64(1)).astype(np.int64)
 
 
@@ -114,7 +142,7 @@ def columns(c: pa.Array) -> list:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def candidates(rows: list[tuple], amount: float, threshold: float) -> Iterator[tuple[int, int, list[int]]]:
+def candidates(rows: list[tuple], amount: float, threshold: float, least: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
     """(block, class, partners) of one bucket or tile; rows: bucket, x, y, chunk, class, size, pool, buckets."""
     bucket, x, y = rows[0][:3]
     rows = sorted(rows, key=lambda r: (r[5], r[4]))
@@ -127,7 +155,7 @@ def candidates(rows: list[tuple], amount: float, threshold: float) -> Iterator[t
                 continue
             top = limit(int(sizes[j]), amount)
             union = sum(t < top for t in pools[i] | pools[j])
-            if not union or sum(t < top for t in pools[i] & pools[j]) >= UNLIKE * union:
+            if sum(t < top for t in pools[i] & pools[j]) >= least[min(union, len(least) - 1)]:
                 found.setdefault(i, []).append(j)
     else:
         # A bucket before this one that both stand in, and the sampled shingles they share, as matrix products.
@@ -144,7 +172,7 @@ def candidates(rows: list[tuple], amount: float, threshold: float) -> Iterator[t
             both = shared[i] @ shared.T  # the larger set's pool lies under its own limit, so what is shared does
             under = np.stack([np.searchsorted(pools[k], tops) for k in i])
             held = np.array([len(p) for p in pools])[None, :]
-            fit &= both >= UNLIKE * (under + held - both)
+            fit &= both >= least[np.minimum(under + held - both, len(least) - 1).astype(np.int64)]
             for a, b in zip(*np.nonzero(fit)):
                 found.setdefault(int(i[a]), []).append(int(b))
     if found:
@@ -225,50 +253,76 @@ def by_group(df: DataFrame, order: list[str], keys: int, body: Callable[[list[tu
 def similar_documents(docs: DataFrame, threshold: float = 0.8, target_recall: float = 0.9999999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_links (documents linked directly) and class_id (the smallest id reachable by links)."""
     amount = math.ceil(-math.log(1 - target_recall)) / threshold
-    factors = np.random.default_rng(11).integers(0, 2**63, 2 * splits(threshold, target_recall), np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.array(least_shared(threshold, target_recall))
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            made = [(k, len(t), sampled(t, amount), smallest(t, factors)) for k, t in map(shingles, b.column(1).to_pylist())]
-            lists = [pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (2, 3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64()), *lists], names=["id", "key", "size", "pool", "runs"])
+            made = [(k, len(t), sampled(t, amount)) for k, t in map(shingles, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int64()))], names=["id", "key", "size", "pool"])
 
-    members = checkpointed(own.mapInArrow(sketch, "id long, key binary, size long, pool array<long>, runs array<long>"))
-    classes = members.where("id is not null and size > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("pool").alias("pool"), F.first("runs").alias("runs"))
+    members = checkpointed(own.mapInArrow(sketch, "id long, key binary, size long, pool array<long>"))
+    classes = members.where("id is not null and size > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("pool").alias("pool"))
     classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()))
 
-    def counted(paths: DataFrame) -> DataFrame:
-        """(path, class) with the number of its classes, for paths of two and more."""
-        return paths.join(paths.groupBy("path").agg(F.count("*").alias("held")).where("held > 1"), "path")
-
-    first = counted(classes.select("class", F.explode("pool").alias("path")))
-    tokens = first.groupBy("class").agg(F.collect_list(F.when(F.col("held") <= BUCKET, F.col("path"))).alias("light"), F.count_if(F.col("held") > BUCKET).alias("heavy"))
-    at_hand = checkpointed(classes.join(tokens, "class").where((F.size("light") + F.col("heavy")) >= LONELY * F.size("pool")).select("class", "size", "pool", "runs", "light", "heavy"))
-    # A class is dealt anew only if what it shares with few may not lead to its partners.
-    dense = at_hand.where((F.col("heavy") > 0) & (F.col("heavy") >= DENSE * F.size("pool")))
-    split = dense.select("class", F.explode(F.array_distinct("runs")).alias("path"))
-    light = at_hand.select("class", F.explode("light").alias("path"))
-    buckets = checkpointed(counted(light.unionByName(split)))
+    def again(who: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What is made of the texts of some classes (with key and rep), with the class: one row for each."""
+        texts = own.join(small(who.select(F.col("rep").alias("id")).distinct()), "id", "left_semi").select("text").mapInArrow(made, schema)
+        return who.select("class", "key").join(texts.dropDuplicates(["key"]), "key").drop("key")
+
+    def counted(placed: DataFrame) -> DataFrame:
+        """(path, class, size) with the number of its classes and of all their shingles, for paths of two classes and more."""
+        return placed.join(placed.groupBy("path").agg(F.count("*").alias("held"), F.sum("size").alias("weight")).where("held > 1"), "path")
+
+    def deeper(who: DataFrame, depth: int) -> DataFrame:
+        factors = hashes(splits(threshold, target_recall, depth), depth)
+
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 256):
+                made = [(k, paths(t, factors)) for k, t in map(shingles, b.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["key", "runs"])
+
+        found = again(who, keys, "key binary, runs array<long>").select("class", F.explode(F.array_distinct("runs")).alias("path"))
+        return checkpointed(counted(found.join(who.select("class", "size"), "class")))
+
+    first = counted(classes.select("class", "size", F.explode("pool").alias("path")))
+    tokens = first.groupBy("class").agg(F.collect_list(F.when(F.col("held") <= BUCKET, F.struct("path", "held", "weight"))).alias("light"), F.count_if(F.col("held") > BUCKET).alias("heavy"))
+    needed = F.greatest(F.lit(1), F.element_at(F.array(*map(F.lit, least.tolist())), F.least(F.size("pool") + 1, F.lit(len(least)))))
+    at_hand = checkpointed(classes.join(tokens, "class").where((F.size("light") + F.col("heavy")) >= needed).select("class", "key", "rep", "size", "pool", "light", (F.col("heavy") >= needed).alias("dense")))
+    columns_ = ["path", "class", "held", "weight"]
+    placed = at_hand.select("class", F.explode("light").alias("of")).select("of.path", "class", "of.held", "of.weight")
+    # Partners of a class that isn't dense share a shingle that few hold.
+    crowd, depth, before, pairs = at_hand.where("dense").select("class", "key", "rep", "size"), 2, None, 0
+    while crowd.limit(1).count():
+        now = deeper(crowd, depth)
+        large = now.where(F.col("held") > TILE)
+        left = large.agg(F.sum("held")).first()[0] or 0
+        if before is not None and 2 * left > pairs:
+            placed = placed.unionByName(before.select(*columns_))
+            break
+        placed, before, pairs, depth = placed.unionByName(now.where(F.col("held") <= TILE).select(*columns_)), large, left, 2 * depth
+        if splits(threshold, target_recall, depth) > MOST_RUNS:
+            placed = placed.unionByName(large.select(*columns_))
+            break
+        crowd = checkpointed(crowd.join(large.select("class").distinct(), "class", "left_semi"))
+    buckets = checkpointed(placed)
     mine = buckets.groupBy("class").agg(F.collect_list("path").alias("buckets"))
     placed = buckets.join(at_hand.select("class", "size", "pool").join(mine, "class"), "class")
-    chunks = F.ceil(F.col("held") / TILE).cast("int")
+    chunks = F.greatest(F.ceil(F.col("held") / TILE), F.ceil(F.col("weight") / TOKENS)).cast("int")
     placed = placed.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("class"), "chunks").cast("long"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))
     placed = placed.withColumn("other", other).withColumns({"x": F.least("chunk", "other"), "y": F.greatest("chunk", "other")})
-    blocks = by_group(placed, ["path", "x", "y"], 3, lambda rows: candidates(rows, amount, threshold), ["path", "x", "y", "chunk", "class", "size", "pool", "buckets"], "block long, class long, partners array<long>")
+    blocks = by_group(placed, ["path", "x", "y"], 3, lambda rows: candidates(rows, amount, threshold, least), ["path", "x", "y", "chunk", "class", "size", "pool", "buckets"], "block long, class long, partners array<long>")
     blocks = checkpointed(blocks)
 
-    asked = classes.join(blocks.select("class").distinct(), "class", "left_semi").select("class", "key", F.col("rep").alias("asked"))
-    asked = checkpointed(asked)
+    asked = checkpointed(classes.join(blocks.select("class").distinct(), "class", "left_semi").select("class", "key", "rep"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             made = [shingles(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["key", "tokens"])
 
-    texts = own.join(small(asked.select(F.col("asked").alias("id")).distinct()), "id", "left_semi").select("text").mapInArrow(sets, "key binary, tokens array<long>")
-    whole = texts.join(small(asked.select("class", "key")), "key").groupBy("class").agg(F.first("tokens").alias("tokens"))
+    whole = again(asked, sets, "key binary, tokens array<long>")
     rows = blocks.join(classes.select("class", "n"), "class").join(whole, "class")
     links = checkpointed(by_group(rows, ["block"], 1, lambda rows: compared(rows, threshold), ["block", "class", "n", "partners", "tokens"], "a long, b long, n long"))
 

@@ -187,20 +187,72 @@ def test_ngram_join_of_dense_groups(spark):
     assert {i: c for i, (_, c) in got.items()} == names
 
 
-def test_ngram_splits_meet_their_recall():
-    """Pairs of similarity 0.8, of equal size or one within the other: a run finds the square of it, all runs what is asked."""
+def test_ngram_join_of_short_crowded_texts(spark):
+    """Sets of a few shingles that many texts share: 4 of 5 is the threshold itself, and nothing may be missed there."""
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(8)]
+        texts += [" ".join(base)] + [" ".join([*base, f"e{g}x{k}"]) for k in range(150)] + [" ".join([f"f{g}x{k}", *base]) for k in range(150)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in ngram_jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (300 if i % 301 == 0 else 1, i // 301 * 301) for i in range(len(rows))}
+
+
+def test_ngram_join_recurses(spark, monkeypatch):
+    """Texts that share half their shingles are split by deeper paths; those of a crowd of similar texts go to tiles."""
+    monkeypatch.setattr(ngram_jaccard, "TILE", 24)
+    monkeypatch.setattr(ngram_jaccard, "BUCKET", 8)
+    asked = []
+    plain = ngram_jaccard.hashes
+    monkeypatch.setattr(ngram_jaccard, "hashes", lambda runs, depth: asked.append(depth) or plain(runs, depth))
+    pick = np.random.default_rng(12)
+    passage = [f"p{k}" for k in range(80)]
+    texts = [" ".join(passage + [f"q{x}" for x in pick.integers(0, 10**6, 40)]) for _ in range(150)]
+    texts += [t + " end" for t in texts[:40]] + [" ".join(w if pick.random() > 0.01 else "zz" for w in texts[0].split()) for _ in range(120)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in ngram_jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    count, names = collections.Counter(x for p in links for x in p), closure(sets, links)
+    assert got == {i: (count[i], names[i]) for i in sets} and len(asked) > 1
+
+
+def test_ngram_join_of_documents(spark, sf):
+    """Recall, measured over the documents of sf0.01: no link is missed and none is added."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in ngram_jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    shared = collections.Counter()
+    holders = collections.defaultdict(list)
+    for i, own in sets.items():
+        for x in own:
+            holders[x].append(i)
+    for who in holders.values():
+        shared.update(itertools.combinations(who, 2))
+    links = [p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    count, names = collections.Counter(x for p in links for x in p), closure(sets, links)
+    assert got == {i: (count[i], names[i]) for i in sets} and len(links) > 50
+
+
+def test_ngram_paths_meet_their_recall():
+    """Pairs of similarity 0.8, of equal size or one within the other: a run finds its power, all runs what is asked."""
     pick = np.random.default_rng(3)
-    n = ngram_jaccard.splits(0.8, 0.9999999)
-    assert (1 - 0.8**2) ** n <= 1e-7 < (1 - 0.8**2) ** (n - 1) and ngram_jaccard.splits(0.8, 0.99) == 5
-    factors = pick.integers(0, 2**63, 2 * n, np.uint64) * np.uint64(2) + np.uint64(1)
-    for shared, a, b in ((800, 100, 100), (800, 0, 200)):
-        met = np.zeros((2000, n), bool)
-        for k in range(len(met)):
-            x = pick.integers(0, 2**63, shared + a + b)
-            met[k] = ngram_jaccard.smallest(x[: shared + a], factors) == ngram_jaccard.smallest(np.concatenate([x[:shared], x[shared + a :]]), factors)
-        assert abs(met.mean() - 0.64) < 0.02 and met.any(axis=1).all()
-        five = 1 - met[:, :5].any(axis=1).mean()
-        assert abs(five - 0.36**5) < 0.005
+    for depth in (2, 4):
+        n = ngram_jaccard.splits(0.8, 0.9999999, depth)
+        assert (1 - 0.8**depth) ** n <= 1e-7 < (1 - 0.8**depth) ** (n - 1)
+        factors = ngram_jaccard.hashes(n, depth)
+        for shared, a, b in ((400, 50, 50), (400, 0, 100)):
+            met = np.zeros((1000, n), bool)
+            for k in range(len(met)):
+                x = pick.integers(0, 2**63, shared + a + b)
+                met[k] = ngram_jaccard.paths(x[: shared + a], factors) == ngram_jaccard.paths(np.concatenate([x[:shared], x[shared + a :]]), factors)
+            assert abs(met.mean() - 0.8**depth) < 0.03 and met.any(axis=1).all()
+
+
+def test_least_shared_is_the_exact_tail():
+    for n, k in enumerate(ngram_jaccard.least_shared(0.8, 0.999, 40)):
+        below = sum(math.comb(n, j) * 0.8**j * 0.2 ** (n - j) for j in range(k))
+        assert below <= 0.001 and (k == n or below + math.comb(n, k) * 0.8**k * 0.2 ** (n - k) > 0.001)
 
 
 def test_tool_calls(spark):
