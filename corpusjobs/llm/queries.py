@@ -34,11 +34,6 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.linked_conversations(table(spark, sf_dir, "conversations"))
-
-
-def op5_every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5_tool_calls and a row for each turn that is neither call nor result; its SQL has none for these."""
     return tool_calls.whole_conversations(table(spark, sf_dir, "conversations"))
 
 
@@ -69,6 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hidden_markov_lm": op8_hidden_markov_lm,
     "op9_language_id": op9_language_id,
     "op10_token_records": op10_token_records,
-    "op5_every_turn": op5_every_turn,
+    "op5_every_turn": op5_tool_calls,
 }
-SQL: dict[str, str] = {"op5_tool_calls": tool_calls.SQL}
+SQL: dict[str, str] = {"op5_tool_calls": tool_calls.SQL, "op5_every_turn": tool_calls.SQL}

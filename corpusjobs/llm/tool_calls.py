@@ -6,7 +6,10 @@ call_id, content). `schemas` has (tool, name, type, required), a row for each pa
 string, integer, number, boolean, array, object.
 
 Calls and results meet in a hash join on (conv_id, call_id). A call's level is 0 if it waits for no known
-call, else one more than the highest level it waits for; calls in a circle have none (null). Arguments
+call, else one more than the highest level it waits for; calls in a circle have none (null). In
+conversations where each call waits for one other at most, levels come from doubled pointers; in others of
+up to IN_ROW calls from one pass over the calls by turn; what these leave (longer conversations, calls that
+wait for later turns, circles) from rounds in which calls whose parents all have levels get theirs. Arguments
 that aren't a JSON object, lack a required parameter, have one of another type or one that the schema
 doesn't name, and calls of unknown tools, are invalid, with the reasons. Canonical JSON has its keys in
 order at every depth and no white space.
@@ -15,9 +18,11 @@ Nulls: a call or result without conversation or identifier is linked with nothin
 Repeated rows give repeated results; an id that several calls have links all of them to the results of
 this id. Every call and every result gives one row; empty tables give none.
 
-linked_conversations() has the turns of users and assistants, as SQL does; whole_conversations() adds
-each other turn (role system, null or any other) as a row of kind turn: level 0, not linked, not valid,
-with the reason 'no call or result'.
+Very long arguments are parsed whole; columns other than those named aren't read, whatever their names.
+
+linked_conversations() has the turns of users and assistants; whole_conversations() adds each other turn
+(role system, null or any other) as a row of kind turn: level 0, not linked, not valid, with the reason
+'no call or result'. The query has all of them.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 from corpusjobs.llm.common import checkpointed, let, small
 
 KEY = ["conv_id", "call_id"]
+#: Calls of a conversation that are ordered within one row; beyond it, and for what one pass leaves, rounds do it.
+IN_ROW = 1_000
 #: For each type of a schema, what a JSON value of it is called.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY<.*", "object": "OBJECT<.*"}
 
@@ -38,24 +45,49 @@ def canonical(json: Column) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of each identified call; by doubling for chains, else by rounds while any call gets its level."""
+    """(conv_id, call_id, level) of each identified call: of conv_id, call_id, after and, where there is one, turn."""
+    turn = F.col("turn") if "turn" in calls.columns else F.lit(0)
     known = calls.where("conv_id is not null and call_id is not null")
-    ids = checkpointed(known.select(*KEY).distinct())
+    ids = checkpointed(known.groupBy(*KEY).agg(F.min(turn).alias("turn")))
     edges = known.select(*KEY, F.explode("after").alias("parent")).distinct().join(ids.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi")
     edges = checkpointed(edges)
-    waits = checkpointed(edges.groupBy(*KEY).agg(F.count("*").alias("waits"), F.min("parent").alias("up")))
-    if not waits.where("waits > 1").limit(1).count():
-        return chain_levels(ids.join(waits.select(*KEY, "up"), KEY, "left"))
-    waits = waits.drop("up")
-    done = checkpointed(ids.join(waits, KEY, "left_anti").withColumn("level", F.lit(0)))
-    n = done.count()
-    while True:
-        resolved = edges.join(done.select("conv_id", F.col("call_id").alias("parent"), "level"), ["conv_id", "parent"]).groupBy(*KEY).agg(F.count("*").alias("came"), F.max("level").alias("highest"))
-        ready = resolved.join(waits, KEY).where("came = waits").join(done.select(*KEY), KEY, "left_anti").select(*KEY, (F.col("highest") + 1).alias("level"))
-        done = checkpointed(done.unionAll(ready))
-        before, n = n, done.count()
-        if n == before:
-            return ids.join(done, KEY, "left")
+    waits = edges.groupBy(*KEY).agg(F.count("*").alias("waits"), F.min("parent").alias("up"))
+    nodes = ids.join(waits, KEY, "left")
+    kinds = nodes.groupBy("conv_id").agg(F.coalesce(F.max("waits"), F.lit(0)).alias("most"), F.count("*").alias("calls"))
+    nodes = checkpointed(nodes.join(kinds, "conv_id"))
+    found = chain_levels(nodes.where("most <= 1").select(*KEY, "up"))
+    several = nodes.where("most > 1")
+    if not several.limit(1).count():
+        return found
+    inside = several.where(F.col("calls") <= IN_ROW).select(*KEY, "turn")
+    beyond = several.where(F.col("calls") > IN_ROW).select(*KEY, F.when(F.col("waits").isNull(), 0).alias("level"))
+    state = checkpointed(row_levels(inside, edges).unionByName(beyond))
+    left = state.where("level is null").count()
+    while left:
+        parents = state.select("conv_id", F.col("call_id").alias("parent"), F.col("level").alias("above"))
+        waiting = edges.join(state.where("level is null").select(*KEY), KEY, "left_semi").join(parents, ["conv_id", "parent"])
+        ready = waiting.groupBy(*KEY).agg(F.max("above").alias("highest"), F.count_if(F.col("above").isNull()).alias("open")).where("open = 0")
+        state = checkpointed(state.join(ready, KEY, "left").select(*KEY, F.coalesce("level", F.col("highest") + 1).alias("level")))
+        before, left = left, state.where("level is null").count()
+        if left == before:
+            break
+    return found.unionByName(state)
+
+
+def row_levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels by one pass over the calls of a conversation by turn; null for calls that wait, at whatever remove, for a later one."""
+    parents = edges.groupBy(*KEY).agg(F.collect_list("parent").alias("parents"))
+    call = F.struct("turn", "call_id", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
+    rows = ids.join(parents, KEY, "left").groupBy("conv_id").agg(F.sort_array(F.collect_list(call)).alias("calls"))
+    names = rows.select("conv_id", "calls", F.transform("calls", lambda c: c["call_id"]).alias("names"))
+    waits = F.transform("calls", lambda c: F.transform(c["parents"], lambda p: F.array_position("names", p) - 1))
+
+    def appended(found: Column, parents: Column) -> Column:
+        above = F.transform(parents, lambda k: F.get(found, k.cast("int")))
+        return F.concat(found, F.array(F.when(F.exists(above, lambda x: x.isNull()), F.lit(None).cast("int")).otherwise(F.coalesce(F.array_max(above) + 1, F.lit(0)))))
+
+    passed = let(waits, lambda w: F.aggregate(w, F.array().cast("array<int>"), appended))
+    return names.select("conv_id", F.explode(F.arrays_zip(F.col("names"), passed.alias("level"))).alias("of")).select("conv_id", F.col("of.names").alias("call_id"), "of.level")
 
 
 def chain_levels(ids: DataFrame) -> DataFrame:
@@ -96,6 +128,7 @@ def problems(tool: Column, arguments: Column, params: Column) -> Column:
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """A row for each call and each result: conv_id, turn, kind, call_id, level, linked, valid, problems, message (canonical JSON)."""
     calls = calls.select("conv_id", "turn", "call_id", "tool", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"))
+    results = results.select("conv_id", "turn", "call_id", "content")
     answered = results.where("conv_id is not null and call_id is not null").select(*KEY).distinct().withColumn("answered", F.lit(True))
     ranked = checkpointed(levels(calls).withColumn("called", F.lit(True)))
     params = schemas.groupBy("tool").agg(F.sort_array(F.collect_list(F.struct("name", "type", "required"))).alias("params"))  # as many as a schema has
@@ -166,4 +199,8 @@ SELECT r.conv_id, r.turn, 'result', r.call_id, CAST(coalesce(k.level, 0) AS INTE
   CASE WHEN k.level IS NULL THEN 'no call' ELSE '' END,
   '{"call_id":"' || r.call_id || '","content":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}'
 FROM results r LEFT JOIN ranked k ON k.conv_id = r.conv_id AND k.turn = r.turn - 1
+UNION ALL
+SELECT conv_id, turn, 'turn', NULL, 0, false, false, 'no call or result',
+  '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
