@@ -3,40 +3,49 @@
 Tokens are words in lower case (A-Z) and one end for each text. Counts of all tokens come from all
 training texts. The `own` most frequent words are symbols of the hidden model; every other word belongs
 to one of `shared` symbols by its beginning and its last byte, and has its share of that symbol:
-(c + 0.1) / (the symbol's sum of c + 0.1, and 0.1 for unknown words). The hidden states are started from
-clusters of a bounded sample (`sample` texts in expectation, of at most `sample_words` words) and improved
-on it by Baum-Welch steps; then `rounds` steps run over all training texts, whose expected counts are
-summed in each partition and then across partitions. The score is the log10 probability of the whole
-text: the scaled forward recursion over its symbols, and the words' shares.
+(c + 0.1) / (the symbol's sum of c + 0.1, and 0.1 for unknown words). Each text is taken apart once; its
+symbols are written to the shared folder, which the rounds and the scoring read.
+
+Training: every Baum-Welch round runs over all training texts, whose expected counts are summed in each
+partition and then across partitions. Rounds go on until the log likelihood grows by less than `settled`
+of itself, or to `rounds`. Only the start comes from a sample: clusters of the symbol counts of about
+`sample` whole texts. The score is the log10 probability of the whole text: the scaled forward recursion
+over its symbols, and the words' shares.
 
 Counts of the `frequent` most frequent words travel with the tasks; the rest of the words of each text
 are joined with the count table. Null text counts as empty (its end is scored). A null id is never held
-out and teaches nothing. Repeated rows get repeated results. Learning, not scoring, takes texts of more
-than `PIECE` words apart into sequences of that length.
+out and teaches nothing. Repeated rows get repeated results. Texts of any length are one sequence. An
+empty table gives an empty result; columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import scratch
+from corpusjobs.llm.common import scratch, slices
 
-PIECE = 65_536
-#: Tokens of padded texts that are worked on at once.
-AT_ONCE = 150_000
+#: Tokens of padded texts that are worked on at once: in training, so that they stay in a core's cache, and in scoring.
+IN_CACHE, AT_ONCE = 40_000, 150_000
 SMOOTH = 0.1
 
 
+class Places(dict):
+    """Places of words; -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 @dataclass
 class WordTable:
     """The frequent words with their counts, and the symbols of all words."""
@@ -58,7 +67,7 @@ class WordTable:
 
     def prepare(self) -> WordTable:
         if not hasattr(self, "places"):
-            self.places = {w: k for k, w in enumerate(self.words)}
+            self.places = Places((w, k) for k, w in enumerate(self.words))
             self.symbol = np.array([k if k < self.own else self.symbol_of(w) for k, w in enumerate(self.words)], np.int32)
             self.share = np.array([0.0 if k < self.own else np.log10((c + SMOOTH) / self.sums[s - self.own]) for k, (c, s) in enumerate(zip(self.counts, self.symbol))])
         return self
@@ -83,28 +92,36 @@ class HiddenModel:
     emit: np.ndarray  # symbols x states
 
     def step(self, found: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts of symbol sequences of similar length: log likelihood, starts, moves, emissions."""
+        """Baum-Welch counts of symbol sequences, the longest first: log likelihood, starts, moves, emissions."""
         seen, there = padded(found)
-        length, n = seen.shape
-        e = self.emit[seen]
-        e[~there] = 1
-        a, c = np.empty((length, n, len(self.start))), np.ones((length, n))
-        for t in range(length):
-            now = (self.start if t == 0 else a[t - 1] @ self.move) * e[t]
-            c[t] = np.where(there[t], now.sum(axis=1), 1)
-            a[t] = np.where(there[t][:, None], now / c[t][:, None], a[t - 1] if t else now)
-        b = np.ones_like(a[0])
-        after = np.zeros_like(a)  # what a move into t gains, by state
-        gamma = np.empty_like(a)
+        at_work = there.sum(axis=1).tolist()  # the first so many sequences reach this far
+        length, n, states = *seen.shape, len(self.start)
+        move, one = self.move.astype(np.float32), np.ones(states, np.float32)
+        e = self.emit.astype(np.float32)[seen]
+        a, c = np.empty((length, n, states), np.float32), np.ones((length, n), np.float32)
+        for t, k in enumerate(at_work):
+            now = a[t, :k]
+            if t:
+                np.matmul(a[t - 1, :k], move, out=now)
+            else:
+                now[:] = self.start
+            now *= e[t, :k]
+            c[t, :k] = now @ one
+            now /= c[t, :k, None]
+        b, moves, back = np.ones((n, states), np.float32), np.zeros((states, states)), move.T.copy()
         for t in range(length - 1, -1, -1):
-            gamma[t] = a[t] * b
-            after[t] = e[t] * b / c[t][:, None] * there[t][:, None]
-            b = np.where(there[t][:, None], after[t] @ self.move.T, b) if t else b
-        gamma *= there[:, :, None]
-        moves = (a[:-1].reshape(-1, a.shape[2]).T @ after[1:].reshape(-1, a.shape[2])) * self.move
-        flat = seen.ravel()
-        emissions = np.stack([np.bincount(flat, gamma[:, :, s].ravel(), len(self.emit)) for s in range(len(self.start))], axis=1)
-        return float(np.log(c).sum()), gamma[0].sum(axis=0), moves, emissions
+            k = at_work[t]
+            w = e[t, :k]  # becomes what a move into t gains, by state
+            w *= b[:k]
+            w /= c[t, :k, None]
+            gamma = a[t, :k] * b[:k]
+            if t:
+                moves += a[t - 1, :k].T @ w
+                np.matmul(w, back, out=b[:k])
+            a[t, :k] = gamma
+        flat, gamma = seen[there], a[there]
+        emissions = np.stack([np.bincount(flat, gamma[:, s], len(self.emit)) for s in range(states)], axis=1)
+        return float(np.log(c, dtype=np.float64).sum()), a[0].sum(axis=0, dtype=np.float64), moves * self.move, emissions
 
     def likelihood(self, found: list[np.ndarray]) -> np.ndarray:
         """log10 of the probability of each sequence, by the scaled forward recursion."""
@@ -135,22 +152,23 @@ def padded(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return seen, np.arange(lengths.max())[:, None] < lengths
 
 
-def similar(found: list[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def similar(found: list[np.ndarray], at_once: int = AT_ONCE) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """The sequences in groups of similar length, the longest first, with their places."""
     order = sorted(range(len(found)), key=lambda k: -len(found[k]))
     at = 0
     while at < len(order):
-        n = max(1, min(1024, AT_ONCE // len(found[order[at]])))
+        n = max(1, min(1024, at_once // len(found[order[at]])))
         yield order[at : at + n], [found[k] for k in order[at : at + n]]
         at += n
 
 
-def started(found: list[np.ndarray], symbols: int, states: int, rounds: int) -> HiddenModel:
-    """States from clusters of the sample's texts, improved by Baum-Welch steps over the sample."""
-    if not found:
+def started(counts: np.ndarray, states: int) -> HiddenModel:
+    """States from clusters of texts, given the symbol counts of each (texts x symbols)."""
+    symbols = counts.shape[1]
+    if not len(counts):
         return HiddenModel(np.ones(1), np.ones((1, 1)), np.full((symbols, 1), 1 / symbols))
     pick = np.random.default_rng(5)
-    x = np.sqrt(np.stack([np.bincount(f, minlength=symbols).astype(np.float32) for f in found]))
+    x = np.sqrt(counts)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     centres = [x[pick.integers(len(x))]]
     while len(centres) < min(states, len(x)):  # the farther from all centres, the likelier the next one
@@ -160,34 +178,22 @@ def started(found: list[np.ndarray], symbols: int, states: int, rounds: int) ->
     for _ in range(8):
         own = (x @ c.T).argmax(axis=1)
         c = np.array([v / max(float(np.linalg.norm(v)), 1e-9) for v in (x[own == k].sum(axis=0) if (own == k).any() else c[k] for k in range(len(c)))])
-    emissions = np.stack([sum((np.bincount(found[k], minlength=symbols) for k in np.flatnonzero(own == s)), np.zeros(symbols)) for s in range(len(c))], axis=1)
     n = len(c)
-    model = HiddenModel.of(np.bincount(own, minlength=n).astype(float), np.full((n, n), 0.1 / n) + 0.9 * np.eye(n), emissions + 0.02 * emissions.sum(axis=1, keepdims=True))
-    for _ in range(rounds):
-        model = HiddenModel.of(*summed(model, found))
-    return model
-
+    emissions = np.stack([counts[own == s].sum(axis=0, dtype=np.float64) for s in range(n)], axis=1)
+    return HiddenModel.of(np.bincount(own, minlength=n).astype(float), np.full((n, n), 0.1 / n) + 0.9 * np.eye(n), emissions + 0.02 * emissions.sum(axis=1, keepdims=True))
 
-def summed(model: HiddenModel, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts, moves, emissions = np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)
-    for _, group in similar(found):
-        _, s, m, e = model.step(group)
-        starts, moves, emissions = starts + s, moves + m, emissions + e
-    return starts, moves, emissions
 
+def summed(model: HiddenModel, found: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    total, starts, moves, emissions = 0.0, np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)
+    for _, group in similar(found, IN_CACHE):
+        ll, s, m, e = model.step(group)
+        total, starts, moves, emissions = total + ll, starts + s, moves + m, emissions + e
+    return total, starts, moves, emissions
 
-def symbols_of(table: WordTable, words: list[bytes], ended: bool = True) -> np.ndarray:
-    places, own = table.places, table.own
-    at = np.fromiter((places.get(w, -1) for w in words), np.int64, len(words))
-    out = np.full(len(words) + ended, table.end, np.int32)
-    out[: len(words)] = table.symbol[at] if len(table.words) else own
-    for k in np.flatnonzero(at < 0).tolist():
-        out[k] = table.symbol_of(words[k])
-    return out
 
-
-def pieces(found: np.ndarray) -> list[np.ndarray]:
-    return [found[k : k + PIECE] for k in range(0, len(found), PIECE)]
+def sequences(column: pa.Array) -> list[np.ndarray]:
+    """The symbols of texts from their bytes."""
+    return [np.frombuffer(x, "<i4") for x in column.to_pylist()]
 
 
 def aside(doc_id: Column) -> Column:
@@ -238,88 +244,119 @@ def learn_words(counts: DataFrame, texts: int, frequent: int, own: int, shared:
     return WordTable(words, c, own, shared, np.maximum(sums, SMOOTH), int(total["n"]) + texts, int(total["v"]) + (texts > 0), texts), least
 
 
-def score_documents(docs: DataFrame, states: int = 8, frequent: int = 200_000, own: int = 3_000, shared: int = 512, sample: int = 1_500, sample_words: int = 1_000, sample_rounds: int = 6, rounds: int = 1) -> DataFrame:
+def take_apart(rows: DataFrame, sent: Broadcast) -> DataFrame:
+    """rows (doc_id, h, held_out, teaches, text) with the text's symbols, what its frequent words give, and the rest of its words."""
+    parts = "symbols binary, n_tokens long, n_known long, base double, shares double, rest array<struct<word:binary,tf:int>>"
+    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value.prepare()
+        logs = np.log10(table.counts + SMOOTH) if len(table.words) else np.zeros(1)
+        share = table.share if len(table.words) else np.zeros(1)
+        symbol = table.symbol if len(table.words) else np.zeros(1, np.int32)
+        ends, below = np.log10(table.texts + SMOOTH), np.log10(table.tokens + SMOOTH * (table.distinct + 1))
+        missing = np.log10(table.sums)
+        for b in slices(batches):
+            split = [tokens_of(t) for t in b.column(4).to_pylist()]
+            n, lengths = len(split), np.array([len(w) for w in split], np.int64)
+            at = np.fromiter(chain.from_iterable(map(table.places.__getitem__, w) for w in split), np.int64, int(lengths.sum()))
+            whose, known = np.repeat(np.arange(n), lengths), at >= 0
+            own = symbol[at]
+            mine, base = (np.bincount(whose[known], x[at[known]], n).astype(float) for x in (share, logs))
+            told = np.bincount(whose[known], minlength=n)
+            words = list(chain.from_iterable(split))
+            rest: list[Counter[bytes]] = [Counter() for _ in range(n)]
+            for k in np.flatnonzero(~known).tolist():
+                w = words[k]
+                own[k] = s = table.symbol_of(w)
+                rest[whose[k]][w] += 1
+                mine[whose[k]] -= missing[s - table.own]
+            flat = np.full(len(at) + n, table.end, "<i4")
+            flat[np.arange(len(at)) + whose] = own  # each text's end stands behind its words
+            offsets = np.concatenate([[0], np.cumsum(4 * (lengths + 1))]).astype(np.int32)
+            symbols = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            sizes = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array([w for r in rest for w in r], pa.binary()), pa.array([c for r in rest for c in r.values()], pa.int32())], names=["word", "tf"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:4], symbols, pa.array(lengths + 1), pa.array(told + (table.texts > 0)), pa.array(base + ends - below * (lengths + 1)), pa.array(mine), pa.ListArray.from_arrays(sizes, pairs).cast(rest_type)],
+                names=["doc_id", "h", "held_out", "teaches", *(p.split()[0] for p in parts.split(", "))],
+            )
+
+    return rows.mapInArrow(run, f"doc_id long, h long, held_out boolean, teaches boolean, {parts}")
+
+
+def improved(model: HiddenModel, training: DataFrame, symbols: int) -> tuple[HiddenModel, float]:
+    """One Baum-Welch round over all training texts: the better model, and the log likelihood of the one before."""
+    sent = training.sparkSession.sparkContext.broadcast(model)
+    states = len(model.start)
+
+    def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, total = sent.value, None
+        for b in slices(batches, 2048):
+            now = summed(m, sequences(b.column(0)))
+            total = list(now) if total is None else [x + y for x, y in zip(total, now)]
+        if total is not None:
+            flat = np.concatenate([np.ravel(x) for x in total])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat, pa.float64())], names=["k", "v"])
+
+    sums = training.select("symbols").mapInArrow(expected, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()  # the model's size
+    flat = np.zeros(1 + states * (1 + states + symbols))
+    flat[sums["k"].to_numpy()] = sums["v"].to_numpy()
+    starts, moves, emissions = np.split(flat[1:], [states, states + states**2])
+    return HiddenModel.of(starts, moves.reshape(states, states), emissions.reshape(-1, states)), float(flat[0])
+
+
+def symbol_counts(training: DataFrame, symbols: int) -> np.ndarray:
+    """The counts of all symbols in each text; a row takes no more than there are symbols, however long its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [np.bincount(x, minlength=symbols).astype("<f4").tobytes() for x in sequences(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["counts"])
+
+    rows = training.select("symbols").mapInArrow(run, "counts binary").toPandas()["counts"]
+    return np.array([np.frombuffer(x, "<f4") for x in rows]).reshape(-1, symbols)
+
+
+def score_documents(docs: DataFrame, states: int = 8, frequent: int = 200_000, own: int = 3_000, shared: int = 512, sample: int = 1_500, rounds: int = 4, settled: float = 0.002) -> DataFrame:
     """A row for each document, with the columns of the contract."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), aside(F.col("doc_id")).alias("held_out"))
-    training = rows.where("not held_out and doc_id is not null")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), aside(F.col("doc_id")).alias("held_out"), (~aside(F.col("doc_id")) & F.col("doc_id").isNotNull()).alias("teaches"), text.alias("text"))
     place = scratch(spark, "word-counts")
-    count_words(training.select("text")).write.parquet(place)
+    count_words(rows.where("teaches").select("text")).write.parquet(place)
     counts = spark.read.schema("word binary, c long").parquet(place)
-    texts = training.select("doc_id").count()
+    texts = rows.where("teaches").count()
     table, least = learn_words(counts, texts, frequent, own, shared)
-    sent = spark.sparkContext.broadcast(table)
-
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 1_000_000 * min(1.0, 1.0 * sample / max(texts, 1))
-    seed = training.where(chance).select("text").toPandas()["text"]
-    table.prepare()
-    found = [symbols_of(table, w) for w in map(tokens_of, seed) if len(w) <= sample_words]
-    model = started(found, table.symbols, states, sample_rounds)
-
-    def expected(sent_model) -> object:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, m = sent.value.prepare(), sent_model.value
-            total: list[np.ndarray] | None = None
-            for b in batches:
-                for k in range(0, b.num_rows, 2048):
-                    batch = [p for t in b.column(0).slice(k, 2048).to_pylist() for p in pieces(symbols_of(words, tokens_of(t)))]
-                    now = summed(m, batch)
-                    total = list(now) if total is None else [x + y for x, y in zip(total, now)]
-            if total is not None:
-                flat = np.concatenate([x.ravel() for x in total])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat, pa.float64())], names=["k", "v"])
-
-        return run
-
+    place = scratch(spark, "symbols")
+    take_apart(rows, spark.sparkContext.broadcast(table)).write.parquet(place)
+    apart = spark.read.parquet(place)
+    training = apart.where("teaches")
+    chance = F.pmod(F.xxhash64("doc_id", "h"), F.lit(1_000_000)) < 1_000_000 * min(1.0, 1.0 * sample / max(texts, 1))
+    model, last = started(symbol_counts(training.where(chance), table.symbols), states), -np.inf
     for _ in range(rounds if texts else 0):
-        sent_model = spark.sparkContext.broadcast(model)
-        sums = training.select("text").mapInArrow(expected(sent_model), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()  # the model's size
-        n, flat = len(model.start), np.zeros(len(model.start) * (1 + len(model.start) + table.symbols))
-        flat[sums["k"].to_numpy()] = sums["v"].to_numpy()
-        model = HiddenModel.of(flat[:n], flat[n : n + n * n].reshape(n, n), flat[n + n * n :].reshape(-1, n))
+        model, now = improved(model, training, table.symbols)
+        if now - last <= settled * abs(now):
+            break
+        last = now
     final = spark.sparkContext.broadcast(model)
-    below = np.log10(table.tokens + SMOOTH * (table.distinct + 1))
-    schema = pa.schema([("word", pa.binary()), ("doc_id", pa.int64()), ("h", pa.int64()), ("tf", pa.int32()), ("doc", pa.struct([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text a row with what the frequent words give, under a key that is no word, and a row for each other word."""
-        words, m = sent.value.prepare(), final.value
-        places, logs = words.places, np.log10(words.counts + SMOOTH)
-        ends = np.log10(words.texts + SMOOTH)
-        for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                part = b.slice(k, 2048)
-                ids, texts_, held = (c.to_pylist() for c in part.columns)
-                split = [tokens_of(t) for t in texts_]
-                found = [symbols_of(words, w) for w in split]
-                likely = np.zeros(len(found))
-                for where, group in similar(found):
-                    likely[where] = m.likelihood(group)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for i, t, ho, w, f, ll in zip(ids, texts_, held, split, found, likely.tolist()):
-                    h = struct.unpack("<q", struct.pack("<Q", xxhash.xxh3_64_intdigest((t or "").encode())))[0]
-                    at = np.fromiter((places.get(x, -1) for x in w), np.int64, len(w))
-                    known = at[at >= 0]
-                    rest = Counter(w[j] for j in np.flatnonzero(at < 0).tolist())
-                    base = float(logs[known].sum() + ends - below * (len(w) + 1)) if len(logs) else ends - below * (len(w) + 1)
-                    mine = ll + (float(words.share[known].sum()) if len(known) else 0.0)
-                    for x, n in rest.items():
-                        mine -= n * np.log10(words.sums[words.symbol_of(x) - words.own])
-                    for column, value in zip(out, (b" " + struct.pack("<qq", i or 0, h), i, h, 0, (ho, len(w) + 1, len(known) + (words.texts > 0), base, mine))):
-                        column.append(value)
-                    for x, n in rest.items():
-                        for column, value in zip(out, (x, i, h, n, None)):
-                            column.append(value)
-                docs_ = [None if v is None else dict(zip(("held_out", "n_tokens", "n_known", "base", "score"), v)) for v in out[4]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((*out[:4], docs_), schema)], schema=schema)
-
-    told = rows.select("doc_id", "text", "held_out").mapInArrow(score, "word binary, doc_id long, h long, tf int, doc struct<held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>")
-    rare = counts.where(F.col("c") < least)
-    joined = told.join(rare, "word", "left")
-    more = F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH))
-    by_text = joined.groupBy("doc_id", "h").agg(
-        F.count("doc").alias("rows"), F.first("doc", ignorenulls=True).alias("doc"), more.alias("rest"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known")
-    )  # rows that are equal have told the same words: all sums are so many times too large
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = final.value
+        for b in slices(batches, 2048):
+            found = sequences(b.column(b.num_columns - 1))
+            out = np.zeros(len(found))
+            for where, group in similar(found):
+                out[where] = m.likelihood(group)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], names=[*told, "likely"])
+
+    told = ["doc_id", "h", "held_out", "n_tokens", "n_known", "base", "shares"]
+    scored = apart.select(*told, "symbols").mapInArrow(likely, "doc_id long, h long, held_out boolean, n_tokens long, n_known long, base double, shares double, likely double")
+    scored = scored.select("doc_id", "h", F.struct("held_out", "n_tokens", "n_known", "base", (F.col("likely") + F.col("shares")).alias("score")).alias("doc"), F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("known"))
+    rare = apart.select("doc_id", "h", F.explode("rest").alias("of")).select("doc_id", "h", "of.word", "of.tf").join(counts.where(F.col("c") < least), "word", "left")
+    rare = rare.select("doc_id", "h", F.lit(None).cast(dict(scored.dtypes)["doc"]).alias("doc"), (F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("more"), F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0).cast("long").alias("known"))
+    by_text = scored.unionByName(rare).groupBy("doc_id", "h").agg(F.count("doc").alias("rows"), F.first("doc", ignorenulls=True).alias("doc"), F.sum("more").alias("rest"), F.sum("known").alias("known"))
+    # Rows that are equal have told the same words: all sums are so many times too large.
     rest, known = (F.col(k) / F.col("rows") for k in ("rest", "known"))
     return by_text.select(
         "doc_id", "doc.held_out", "doc.n_tokens", (F.col("doc.n_known") + known.cast("long")).alias("n_known"), F.lit(table.tokens).cast("long").alias("train_tokens"),
