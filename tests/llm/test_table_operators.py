@@ -288,7 +288,7 @@ def test_conversations_equal_sql(spark, sf):
     con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
     rows = con.execute(tool_calls.SQL)
     names = [d[0] for d in rows.description]
-    got = tool_calls.linked_conversations(spark.read.parquet(f"{sf}/conversations.parquet")).select(*names).collect()
+    got = tool_calls.whole_conversations(spark.read.parquet(f"{sf}/conversations.parquet")).select(*names).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows.fetchall()))
 
 
@@ -325,6 +325,52 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, at, sf).count() == at.count() > 0
 
 
+def plain_levels(after):
+    """Levels of one conversation's calls, from the ids each waits for; None in circles and behind them."""
+    done = {}
+    while ready := [c for c, up in after.items() if c not in done and all(done.get(p) is not None for p in up if p in after)]:
+        done |= {c: max((done[p] + 1 for p in after[c] if p in after), default=0) for c in ready}
+    return {c: done.get(c) for c in after}
+
+
+@pytest.mark.parametrize("in_row", [1000, 8])
+def test_levels_of_random_chats(spark, monkeypatch, in_row):
+    """Chains, several parents, calls that wait for later turns, circles and unknown ids, against a plain loop."""
+    monkeypatch.setattr(tool_calls, "IN_ROW", in_row)
+    pick = np.random.default_rng(9)
+    rows = []
+    for conv in range(60):
+        n = int(pick.integers(1, 14))
+        for k in range(n):
+            most = 1 if conv % 3 == 0 else 3
+            up = [f"c{x}" for x in pick.integers(max(0, k - 4), k + (conv % 5 == 4) * 2 + (k == 0), int(pick.integers(0, most + 1)))] if k or conv % 5 == 4 else None
+            rows.append((conv, k, f"c{k}", [*(up or []), None, "gone"] if k % 7 == 1 else up))
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.levels(spark.createDataFrame(rows, "conv_id long, turn long, call_id string, after array<string>")).collect()}
+    want = {}
+    for conv in range(60):
+        for c, level in plain_levels({c: [p for p in up or [] if p] for i, _, c, up in rows if i == conv}).items():
+            want[conv, c] = level
+    assert got == want and None in want.values()
+
+
+def test_levels_of_a_deep_chat_need_few_jobs(spark):
+    calls = spark.createDataFrame([(1, k, f"c{k}", [f"c{k - 1}", f"c{k // 2}"] if k else None) for k in range(300)], "conv_id long, turn long, call_id string, after array<string>")
+    spark.sparkContext.setJobGroup("deep", "")
+    assert {r["call_id"]: r["level"] for r in tool_calls.levels(calls).collect()} == {f"c{k}": k for k in range(300)}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("deep"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs < 60
+
+
+def test_calls_with_long_arguments_and_clashing_columns(spark):
+    long = '{"x":{"a":"' + "y" * 300_000 + '"},"y":1.5}'
+    calls = spark.createDataFrame([(1, 0, "a", "add", long, None, 9, "?", True)], "conv_id long, turn long, call_id string, tool string, arguments string, after array<string>, level int, wrong string, linked boolean")
+    results = spark.createDataFrame([(1, 1, "a", "ok", 3, False)], "conv_id long, turn long, call_id string, content string, level int, called boolean")
+    schemas = spark.createDataFrame([("add", "x", "object", True), ("add", "y", "number", True)], "tool string, name string, type string, required boolean")
+    got = {r["kind"]: r for r in tool_calls.link(calls, results, schemas).collect()}
+    assert got["call"]["valid"] and got["call"]["linked"] and got["call"]["level"] == 0 and len(got["call"]["message"]) > 300_000 and got["result"]["linked"]
+
+
 def test_long_chains_and_circles(spark):
     calls = spark.range(500).select(F.lit(1).alias("conv_id"), F.col("id").cast("string").alias("call_id"), F.array((F.col("id") - 1).cast("string")).alias("after"))
     circle = spark.createDataFrame([(2, "a", ["b"]), (2, "b", ["a"]), (2, "c", ["a"])], "conv_id int, call_id string, after array<string>")

@@ -243,14 +243,56 @@ def test_forward_recursion_equals_the_sum_over_paths():
             assert ll == pytest.approx(math.log10(total))
 
 
-def test_baum_welch_steps_never_lose():
+def test_baum_welch_counts_equal_the_sum_over_paths():
+    pick = np.random.default_rng(8)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    m = H.HiddenModel(norm(pick.random(2), 0), norm(pick.random((2, 2)), 1), norm(pick.random((3, 2)), 0))
+    found = [pick.integers(0, 3, n).astype(np.int32) for n in (5, 4, 1)]
+    starts, moves, emissions, total = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)), 0.0
+    for x in found:
+        paths = list(itertools.product(range(2), repeat=len(x)))
+        p = np.array([m.start[q[0]] * math.prod(m.emit[s, k] for s, k in zip(x, q)) * math.prod(m.move[a, b] for a, b in zip(q, q[1:])) for q in paths])
+        total += math.log(p.sum())
+        for q, weight in zip(paths, p / p.sum()):
+            starts[q[0]] += weight
+            np.add.at(moves, (list(q[:-1]), list(q[1:])), weight)
+            np.add.at(emissions, (x, list(q)), weight)
+    got = H.summed(m, found)
+    assert got[0] == pytest.approx(total, rel=1e-5)
+    for g, w in zip(got[1:], (starts, moves, emissions)):
+        assert np.allclose(g, w, rtol=1e-4, atol=1e-6)
+
+
+def test_baum_welch_rounds_never_lose():
     pick = np.random.default_rng(4)
     found = [pick.integers(0, 6, n).astype(np.int32) for n in pick.integers(1, 40, 50)]
-    model, last = H.started(found, 6, 3, 0), -np.inf
+    model, last = H.started(np.array([np.bincount(x, minlength=6) for x in found], np.float32), 3), -np.inf
     for _ in range(6):
-        now = sum(H.HiddenModel.step(model, g)[0] for _, g in H.similar(found))
+        now, *counts = H.summed(model, found)
         assert now >= last - 0.5
-        model, last = H.HiddenModel.of(*H.summed(model, found)), now
+        model, last = H.HiddenModel.of(*counts), now
+
+
+def base_scores(rows):
+    """held_out, n_tokens, n_known, train_tokens and base_score by the contract's formula."""
+    import collections
+    import re
+
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")), None]
+    out = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    c = collections.Counter(w for (i, t), ho in zip(rows, out) if not ho and i is not None for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    return [(i, ho, len(w := tokens(t)), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for (i, t), ho in zip(rows, out)]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"frequent": 300, "own": 100, "shared": 16}])
+def test_base_scores_equal_the_formula(spark, sf, bounds):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(900, None), (901, ""), (None, "Some words"), (902, "ÄB ab AB"), (902, "ÄB ab AB"), (903, "long " * 70_000 + "unseen"), (910, "neverseen neverseen x"), (917, "neverseen"), (921, "neverseen")]
+    got = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in H.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), **bounds).collect()), key=str)
+    want = sorted(base_scores(rows), key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9)
 
 
 def test_scores_of_held_out_documents(spark, sf):
