@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from corpusjobs.llm.common import scratch, slices
 
-#: Tokens of padded texts that are worked on at once: in training, so that they stay in a core's cache, and in scoring.
-IN_CACHE, AT_ONCE = 40_000, 150_000
+#: Tokens of padded texts, and texts, that are worked on at once: many, since each place of all texts is one step.
+AT_ONCE, TEXTS = 250_000, 2_048
 SMOOTH = 0.1
 
 
@@ -152,12 +152,12 @@ def padded(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return seen, np.arange(lengths.max())[:, None] < lengths
 
 
-def similar(found: list[np.ndarray], at_once: int = AT_ONCE) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def similar(found: list[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """The sequences in groups of similar length, the longest first, with their places."""
     order = sorted(range(len(found)), key=lambda k: -len(found[k]))
     at = 0
     while at < len(order):
-        n = max(1, min(1024, at_once // len(found[order[at]])))
+        n = max(1, min(TEXTS, AT_ONCE // len(found[order[at]])))
         yield order[at : at + n], [found[k] for k in order[at : at + n]]
         at += n
 
@@ -185,7 +185,7 @@ def started(counts: np.ndarray, states: int) -> HiddenModel:
 
 def summed(model: HiddenModel, found: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     total, starts, moves, emissions = 0.0, np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)
-    for _, group in similar(found, IN_CACHE):
+    for _, group in similar(found):
         ll, s, m, e = model.step(group)
         total, starts, moves, emissions = total + ll, starts + s, moves + m, emissions + e
     return total, starts, moves, emissions
@@ -292,7 +292,7 @@ def improved(model: HiddenModel, training: DataFrame, symbols: int) -> tuple[Hid
 
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = sent.value, None
-        for b in slices(batches, 2048):
+        for b in slices(batches, 2 * TEXTS):
             now = summed(m, sequences(b.column(0)))
             total = list(now) if total is None else [x + y for x, y in zip(total, now)]
         if total is not None:
@@ -343,7 +343,7 @@ def score_documents(docs: DataFrame, states: int = 8, frequent: int = 200_000, o
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = final.value
-        for b in slices(batches, 2048):
+        for b in slices(batches, 2 * TEXTS):
             found = sequences(b.column(b.num_columns - 1))
             out = np.zeros(len(found))
             for where, group in similar(found):
