@@ -13,8 +13,10 @@ Recursion: classes whose partners may share only shingles that many classes hold
 paths: a run's path is the shingles of the whole set that are the smallest under `depth` fresh hashes, so
 two sets meet in a run with their similarity to the power `depth`. Again the number of runs follows from
 the target recall (`splits`). Classes in buckets that are still large go on to paths of twice the depth, as
-long as this halves the pairs to look at; a crowd that no longer splits is one of similar texts and is cut
-into tiles, in which all pairs are looked at. So whatever the sampling leaves large is compared in full.
+long as this halves the pairs to look at. A crowd that no longer splits is one of similar texts: the classes
+that its large buckets connect become one bucket, where that is less work than the buckets of all runs, and
+large buckets are cut into tiles, in which all pairs are looked at. So what the sampling leaves large is
+compared in full.
 
 Two tests rule classes and pairs out before the exact comparison, both by the number of sampled shingles
 that are shared: it is below `least_shared` for a pair at the threshold with probability 1 - target_recall
@@ -274,6 +276,14 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, target_recall: fl
         """(path, class, size) with the number of its classes and of all their shingles, for paths of two classes and more."""
         return placed.join(placed.groupBy("path").agg(F.count("*").alias("held"), F.sum("size").alias("weight")).where("held > 1"), "path")
 
+    def crowds(large: DataFrame) -> DataFrame:
+        """The large buckets of several runs as one for each set of classes that they connect, if that leaves fewer pairs."""
+        ties = large.join(large.groupBy("path").agg(F.min("class").alias("to")), "path").select(F.col("class").alias("a"), F.col("to").alias("b"))
+        named = large.select("class", "size").distinct().join(components(ties), F.col("class") == F.col("node"))
+        whole = checkpointed(counted(named.select("class", "size", (-1 - F.col("component")).alias("path"))))
+        one, several = (df.agg(F.sum("held")).first()[0] or 0 for df in (whole, large))
+        return whole if one <= several else large
+
     def deeper(who: DataFrame, depth: int) -> DataFrame:
         factors = hashes(splits(threshold, target_recall, depth), depth)
 
@@ -298,11 +308,11 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, target_recall: fl
         large = now.where(F.col("held") > TILE)
         left = large.agg(F.sum("held")).first()[0] or 0
         if before is not None and 2 * left > pairs:
-            placed = placed.unionByName(before.select(*columns_))
+            placed = placed.unionByName(crowds(before).select(*columns_))
             break
         placed, before, pairs, depth = placed.unionByName(now.where(F.col("held") <= TILE).select(*columns_)), large, left, 2 * depth
         if splits(threshold, target_recall, depth) > MOST_RUNS:
-            placed = placed.unionByName(large.select(*columns_))
+            placed = placed.unionByName(crowds(large).select(*columns_))
             break
         crowd = checkpointed(crowd.join(large.select("class").distinct(), "class", "left_semi"))
     buckets = checkpointed(placed)
