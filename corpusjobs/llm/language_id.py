@@ -18,7 +18,6 @@ results, an empty table none.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +31,8 @@ from corpusjobs.llm.common import slices, small
 UNKNOWN = "und"
 #: N-grams of 4 characters down to 1; words are padded with a space on each side from 2 upwards.
 ORDERS = (4, 3, 2, 1)
-#: Letters by Unicode: what counts as a word character but is a number of another kind (½, ², Ⅷ) isn't one.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+#: Runs of letters, among which other numbers (½, ², Ⅷ) may stand; letters() takes these out.
+RUNS = re.compile(r"[^\W\d_]+")
 #: Unseen words whose scores a Python worker remembers before it starts anew.
 REMEMBERED = 100_000
 
@@ -48,6 +46,14 @@ class LanguageModel:
     values: dict[int, np.ndarray]
 
 
+def letters(text: str) -> list[str]:
+    """The words of a text: runs of letters by Unicode (L), in lower case."""
+    found = RUNS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 class Scorer:
     """Predictions with a model; keeps the scores of words it has met in one matrix."""
 
@@ -74,7 +80,7 @@ class Scorer:
         return 0.0
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = LETTERS.findall(text.lower()) if text else []
+        found = letters(text) if text else []
         if not found or not self.model.languages:
             return UNKNOWN, 0.0
         try:
