@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from corpusjobs.llm.common import slices
 
 #: Words, and parts of words, whose ids a Python worker remembers before it forgets those not used lately.
-REMEMBERED = 160_000
+REMEMBERED = 110_000
 #: Pairs of neighbours of which a worker remembers whether they fit.
-PAIRS = 100_000
+PAIRS = 60_000
 SPACE = "▁"
 #: A word with marks behind it.
 MARKED = re.compile(r"(▁?[^\W_]+)([^\w▁]+)")
