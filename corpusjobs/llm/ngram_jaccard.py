@@ -13,7 +13,7 @@ Recursion: classes whose partners may share only shingles that many classes hold
 paths: a run's path is the shingles of the whole set that are the smallest under `depth` fresh hashes, so
 two sets meet in a run with their similarity to the power `depth`. Again the number of runs follows from
 the target recall (`splits`). Classes in buckets that are still large go on to paths of twice the depth, as
-long as this halves the pairs to look at. A crowd that no longer splits is one of similar texts: the classes
+long as this halves the pairs to look at, which two of the deeper runs tell first. A crowd that no longer splits is one of similar texts: the classes
 that its large buckets connect become one bucket, where that is less work than the buckets of all runs, and
 large buckets are cut into tiles, in which all pairs are looked at. So what the sampling leaves large is
 compared in full.
@@ -52,6 +52,8 @@ BUCKET = 128
 TILE, TOKENS = 512, 1_000_000
 #: Runs of paths beyond which no deeper level is tried.
 MOST_RUNS = 128
+#: Runs of a deeper level that tell whether it is worth its other ones.
+TRIED = 2
 #: Words whose hashes a Python worker remembers before it starts anew.
 REMEMBERED = 80_000
 
@@ -284,8 +286,8 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, target_recall: fl
         one, several = (df.agg(F.sum("held")).first()[0] or 0 for df in (whole, large))
         return whole if one <= several else large
 
-    def deeper(who: DataFrame, depth: int) -> DataFrame:
-        factors = hashes(splits(threshold, target_recall, depth), depth)
+    def deeper(who: DataFrame, depth: int, runs: int) -> DataFrame:
+        factors = hashes(runs, depth)
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 256):
@@ -304,12 +306,15 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, target_recall: fl
     # Partners of a class that isn't dense share a shingle that few hold.
     crowd, depth, before, pairs = at_hand.where("dense").select("class", "key", "rep", "size"), 2, None, 0
     while crowd.limit(1).count():
-        now = deeper(crowd, depth)
+        runs = splits(threshold, target_recall, depth)
+        if before is not None:
+            tried = deeper(crowd, depth, TRIED).where(F.col("held") > TILE).agg(F.sum("held")).first()[0] or 0
+            if 2 * tried * runs / TRIED > pairs:
+                placed = placed.unionByName(crowds(before).select(*columns_))
+                break
+        now = deeper(crowd, depth, runs)
         large = now.where(F.col("held") > TILE)
         left = large.agg(F.sum("held")).first()[0] or 0
-        if before is not None and 2 * left > pairs:
-            placed = placed.unionByName(crowds(before).select(*columns_))
-            break
         placed, before, pairs, depth = placed.unionByName(now.where(F.col("held") <= TILE).select(*columns_)), large, left, 2 * depth
         if splits(threshold, target_recall, depth) > MOST_RUNS:
             placed = placed.unionByName(crowds(large).select(*columns_))
