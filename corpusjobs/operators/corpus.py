@@ -129,7 +129,9 @@ def sentences(rows: DataFrame, first_row: Column | None = None) -> DataFrame:
     Pairs without a letter or number go after the places are given.
     """
     first = F.col("id") if first_row is None else first_row
-    pairs = rows.where("reason is null").select("dataset", F.col("id").alias("source_row_id"), S.work_id(F.col("dataset"), first).alias("work_id"), F.inline("pairs"))
+    # No filter before the rows are made (and none inferred from an inner inline): it would align the lines again.
+    told = F.inline_outer(F.when(F.col("reason").isNull(), F.col("pairs")))
+    pairs = rows.select("dataset", F.col("id").alias("source_row_id"), S.work_id(F.col("dataset"), first).alias("work_id"), told)
     return pairs.where(S.indexable(F.col("original"), F.col("translation"))).select("dataset", "source_row_id", F.col("raw").alias("raw_index"), F.col("norm").alias("normalized_index"), "work_id", "original", "translation")
 
 

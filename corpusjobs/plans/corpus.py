@@ -74,10 +74,10 @@ def dedup_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).groupBy("original", "translation").agg(F.count("*").alias("uses"), F.min("source_row_id").alias("first_row")).where("uses > 1")
 
 
-@query("SELECT doc_id, line - 1 AS line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE source IN ('src1', 'src3'))")
+@query("SELECT doc_id, line - 1 AS line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)")
 def body_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sources, as its SQL has them; body_extract_all has them all."""
-    return bodies(table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src3")))
+    """The lines of every source."""
+    return bodies(table(spark, sf_dir, "documents"))
 
 
 @query()
@@ -227,10 +227,10 @@ def link_split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works.join(counts, "work", "left").select("work", F.coalesce("parts", F.lit(0)).cast("long").alias("parts"), "status")
 
 
-@query(f"{SENTENCES} SELECT f.dataset, f.source_row_id, f.raw_index, f.normalized_index, sha256(f.original) AS original_sha256, 'doc ' || f.source_row_id AS title FROM found f WHERE f.source_row_id % 10 = 3 AND f.normalized_index < 3")
+@query(f"{SENTENCES} SELECT f.dataset, f.source_row_id, f.raw_index, f.normalized_index, sha256(f.original) AS original_sha256, 'doc ' || f.source_row_id AS title FROM found f")
 def lookup_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of a search, as its SQL has them; lookup_hits_all takes every sentence as a hit."""
-    return looked_up(spark, sf_dir, found(spark, sf_dir).where("source_row_id % 10 = 3 and normalized_index < 3"))
+    """Every sentence as a hit."""
+    return looked_up(spark, sf_dir, found(spark, sf_dir))
 
 
 @query()
@@ -247,11 +247,11 @@ def looked_up(spark: SparkSession, sf_dir: str, sentences: DataFrame) -> DataFra
     return joined.where("pair.raw = raw_index").select("dataset", F.col("id").alias("source_row_id"), "raw_index", "normalized_index", F.sha2("pair.original", 256).alias("original_sha256"), F.concat(F.lit("doc "), F.col("id").cast("string")).alias("title"))
 
 
-@query(f"{SENTENCES}, keyed AS (SELECT work_id, source_row_id || ':' || raw_index || ':' || normalized_index AS k, original FROM found) SELECT work_id, k AS locator, sha256(original) AS original_sha256 FROM keyed WHERE k LIKE '%:0'")
+@query(f"{SENTENCES}, keyed AS (SELECT work_id, source_row_id || ':' || raw_index || ':' || normalized_index AS k, original FROM found) SELECT work_id, k AS locator, sha256(original) AS original_sha256 FROM keyed")
 def resolve_original(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Originals of first sentences, as its SQL has them; resolve_original_all has those of every sentence."""
+    """The original of every sentence."""
     s = found(spark, sf_dir)
-    return resolved(s, s.where("normalized_index = 0"))
+    return resolved(s, s)
 
 
 @query()
@@ -289,10 +289,10 @@ def validate_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).groupBy("dataset", valid.alias("valid")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, lang, doc_id % 2 = 0 AS second FROM documents WHERE lang IN ('de', 'fr') UNION ALL SELECT item_id, NULL, NULL FROM benchmark")
+@query("SELECT doc_id, lang, doc_id % 2 = 0 AS second FROM documents UNION ALL SELECT item_id, NULL, NULL FROM benchmark")
 def union_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two languages and the benchmark, as its SQL has them; union_datasets_all has all of them."""
-    return united(spark, sf_dir, table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr")))
+    """All documents and the benchmark as one stream."""
+    return united(spark, sf_dir, table(spark, sf_dir, "documents"))
 
 
 @query()
