@@ -325,6 +325,30 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, at, sf).count() == at.count() > 0
 
 
+def test_pipeline_run(spark, sf, tmp_path):
+    """run() over odd rows among documents: the stages' rows, by the rules, and ids and texts as the library has them."""
+    import hashlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(None, "some words " * 30, None, None, None), (9001, None, None, "src1", 0), (9002, "", "en", None, 0), (9003, "12 34 " * 40, "en", "src1", 0), (9004, "x " * 30_000, "en", "src1", 0), (9004, "x " * 30_000, "en", "src1", 0)]
+    docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("row", F.lit(1)).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert got and {r["doc_id"] for r in got} <= set(texts)  # none of the odd rows passes the base rules
+    for r in got[:50]:
+        ids = sp.encode(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def plain_levels(after):
     """Levels of one conversation's calls, from the ids each waits for; None in circles and behind them."""
     done = {}
