@@ -204,14 +204,22 @@ def extract_json(text: Column) -> Column:
 
 
 def normalize_translation(json: Column) -> Column:
-    """Lines of a translation given as text, list, or map with the keys 1 to n; null if none or the keys are others."""
+    """Lines of a translation given as text, list, or map with the keys 1 to n; null if none or the keys are others.
+
+    A line that is itself a map, as JSON or with single quotes, gives its values in their order.
+    """
     value = F.try_parse_json(json)
     kind = F.schema_of_variant(value)
     as_map = F.from_json(json, "map<string,string>")
     entries = F.array_sort(F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].try_cast("int").alias("k"), e["value"].alias("v"))))
     keyed = F.when(F.transform(entries, lambda e: e["k"]) == F.sequence(F.lit(1), F.greatest(F.size(entries), F.lit(1))), F.transform(entries, lambda e: e["v"]))
     lines = F.when(kind.startswith("ARRAY"), F.from_json(json, "array<string>")).when(kind.startswith("OBJECT"), keyed).when(kind == "STRING", F.array(F.try_variant_get(value, "$", "string")))
-    kept = F.filter(F.transform(lines, trim_all), lambda x: x != "")
+
+    def opened(line: Column) -> Column:
+        inner = F.when(line.rlike(r"(?s)^\s*\{.*\}\s*$"), F.from_json(line, "map<string,string>"))
+        return F.when(F.size(inner) > 0, F.map_values(inner)).otherwise(F.array(line))
+
+    kept = F.filter(F.transform(F.flatten(F.transform(lines, opened)), trim_all), lambda x: x != "")
     return F.when(F.size(kept) > 0, kept)
 
 

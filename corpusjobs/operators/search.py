@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusjobs.functions import scalars as S
+
+#: A UUID in its canonical form.
+UUID = r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 #: Queries whose vectors travel with the tasks at once; more are searched in further blocks.
 QUERY_BLOCK = 4096
 #: Queries that approximate search also searches exactly, to learn how many cells it must look into.
@@ -28,6 +32,18 @@ def vector_reason(vector: Column, dimensions: int | None = None) -> Column:
     )
 
 
+def point_reason(point_id: Column, vector: Column, dimensions: int, dataset: Column, row: Column, work: Column) -> Column:
+    """The first reason against a stored point, or null: its id, its vector, its dataset and row, or a work of another dataset or of a later row."""
+    of = S.parse_work_id(work)
+    agrees = (of["dataset"] == dataset) & (of["row"] <= row)
+    return F.coalesce(
+        F.when(~F.coalesce(point_id.rlike(UUID), F.lit(False)), "id"),
+        vector_reason(vector, dimensions),
+        F.when(~F.coalesce((S.trim_all(dataset) != "") & (row > 0), F.lit(False)), "payload"),
+        F.when(~F.coalesce(agrees, F.lit(False)), "work id"),
+    )
+
+
 def normalize_vector(vector: Column, dimensions: int | None = None) -> Column:
     """The unit vector in float32, scaled by its largest component first; null where there is a reason against it; never -0."""
     scaled = F.transform(vector.cast("array<double>"), lambda x: x / F.array_max(F.transform(vector.cast("array<double>"), F.abs)))

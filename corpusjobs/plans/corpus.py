@@ -307,11 +307,11 @@ def united(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     return docs.unionByName(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), allowMissingColumns=True)
 
 
-@query("SELECT source AS dataset, count(*) AS rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra FROM documents WHERE source IN ('src5', 'src6') GROUP BY source")
+@query("SELECT source AS dataset, count(*) AS rows, count(*) FILTER (doc_id % 29 = 0 OR doc_id % 31 = 0) AS missing, count(*) FILTER (doc_id % 29 <> 0 AND doc_id % 31 = 0) AS extra FROM documents WHERE source IN ('src5', 'src6') GROUP BY source")
 def subset_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chosen datasets copied, and proof by row hashes that the copy is what was chosen."""
+    """Chosen datasets against their copy by row hashes; the copy has lost every 29th row and changed every 31st."""
     docs = table(spark, sf_dir, "documents").where(F.col("source").isin("src5", "src6"))
-    copy = docs.select("*")
+    copy = docs.where("doc_id % 29 != 0").withColumn("text", F.when(F.col("doc_id") % 31 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
     mark = F.xxhash64("doc_id", "text", "lang", "n_chars")
     ours, theirs = docs.groupBy("source", mark.alias("mark")).agg(F.count("*").alias("a")), copy.groupBy("source", mark.alias("mark")).agg(F.count("*").alias("b"))
     both = ours.join(theirs, ["source", "mark"], "full_outer").na.fill(0, ["a", "b"])

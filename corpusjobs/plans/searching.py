@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusjobs.functions import scalars as S
 from corpusjobs.operators import search as V
 from corpusjobs.plans.registry import query, table
 
@@ -59,29 +60,37 @@ def decode_base64_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("vec_id", F.length("raw").cast("long").alias("bytes"), F.when((F.col("v") == F.col("embedding")) & (F.size("v") == 64), True).alias("whole"))
 
 
-@query("SELECT label, count(*) AS n, count(*) FILTER (vec_id % 3 = 0) AS changed FROM embeddings GROUP BY label")
+@query("SELECT label, count(*) AS n, count(*) FILTER (vec_id % 3 = 0) AS changed, max(CASE WHEN vec_id % 3 = 0 THEN list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) ELSE 0 END) AS max_delta FROM embeddings GROUP BY label")
 def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that a copy changed; here every third was scaled, which normalisation explains."""
     scaled = F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: (x * 2).cast("float"))).otherwise(F.col("embedding"))
     drift = points(spark, sf_dir).select("label", V.vector_drift(F.col("embedding"), scaled).alias("d"))
-    return drift.groupBy("label").agg(F.count("*").alias("n"), F.count_if((F.col("d.max_delta") > 1e-6) & F.col("d.candidate")).alias("changed"))
+    return drift.groupBy("label").agg(F.count("*").alias("n"), F.count_if((F.col("d.max_delta") > 1e-6) & F.col("d.candidate")).alias("changed"), F.max("d.max_delta").alias("max_delta"))
 
 
-@query("SELECT label, count(*) AS n, avg(1.0) AS cosine, CAST(0 AS DOUBLE) AS max_delta FROM embeddings GROUP BY label")
+@query("SELECT label, count(*) AS n, round(avg(list_cosine_similarity(a, b)), 6) AS cosine, max(list_max(list_transform(range(1, len(a) + 1), lambda i: abs(a[i] - b[i])))) AS max_delta FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS a, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CASE vec_id % 4 WHEN 1 THEN -1 WHEN 2 THEN 2 ELSE 1 END) AS b FROM embeddings) GROUP BY label")
 def embedding_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two embeddings of the same thing, joined by id: mean cosine and the largest difference of a component."""
-    a, b = points(spark, sf_dir), points(spark, sf_dir).select("vec_id", F.col("embedding").alias("other"))
+    """Two embeddings of the same thing, joined by id: mean cosine and the largest difference of a component.
+
+    Of the second's vectors every fourth is turned round and another fourth doubled.
+    """
+    k = F.col("vec_id") % 4
+    by = F.when(k == 1, -1).when(k == 2, 2).otherwise(1)
+    a, b = points(spark, sf_dir), points(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: (x * by).cast("float")).alias("other"))
     drift = a.join(b, "vec_id").select("label", V.vector_drift(F.col("embedding"), F.col("other")).alias("d"))
     return drift.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("d.cosine"), 6).alias("cosine"), F.max("d.max_delta").alias("max_delta"))
 
 
-@query("SELECT count(*) AS queries, count(*) FILTER (vec_id % 3 = 0) AS changed FROM embeddings WHERE vec_id % 20 = 0".replace("count(*) FILTER (vec_id % 3 = 0)", "CAST(0 AS BIGINT)"))
+@query(f"WITH {SCORES}, one AS (SELECT query_id, arg_min(id, (-score, id)) AS a, max(score) AS s FROM scores GROUP BY 1), two AS (SELECT query_id, arg_min(id, (-score, id)) AS b, max(score) AS t FROM scores WHERE id % 40 <> 0 GROUP BY 1) SELECT count(*) AS queries, count(*) FILTER (a <> b) AS changed, count(*) FILTER (a <> b AND s - t < 1e-6) AS tied FROM one JOIN two USING (query_id)")
 def search_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First hits of two indexes compared; the second has every vector scaled, which a cosine doesn't see."""
-    one = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("a"))
-    scaled = points(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
-    two = V.top_k(scaled, asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("b"))
-    return one.join(two, "query_id").agg(F.count("*").alias("queries"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
+    """First hits of two indexes compared, and how many of the changed ones are as near as before.
+
+    The second index has every vector scaled, which a cosine doesn't see, and has lost every 40th.
+    """
+    hits = lambda df, id_, score: V.top_k(df, asked(spark, sf_dir), 1).select("query_id", F.col("id").alias(id_), F.round("score", 6).alias(score))
+    scaled = points(spark, sf_dir).where("vec_id % 40 != 0").withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
+    changed = F.col("a") != F.col("b")
+    return hits(points(spark, sf_dir), "a", "s").join(hits(scaled, "b", "t"), "query_id").agg(F.count("*").alias("queries"), F.count_if(changed).alias("changed"), F.count_if(changed & (F.col("s") - F.col("t") < 1e-6)).alias("tied"))
 
 
 @query("SELECT doc_id, length(text) AS n, CAST(2 AS INTEGER) AS dimensions FROM documents")
@@ -95,11 +104,16 @@ def embed_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.get("embedding", F.lit(0)).cast("long").alias("n"), F.size("embedding").alias("dimensions"))
 
 
-@query("SELECT label, count(*) AS n, CAST(0 AS BIGINT) AS bad FROM embeddings GROUP BY label")
+@query("SELECT label, CASE vec_id % 7 WHEN 0 THEN 'dimension' WHEN 1 THEN 'not finite' WHEN 2 THEN 'zero' WHEN 3 THEN 'id' WHEN 4 THEN 'payload' WHEN 5 THEN 'work id' END AS reason, count(*) AS n FROM embeddings GROUP BY ALL")
 def validate_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points whose vector can't be searched, with the reason, counted by label."""
-    checked = points(spark, sf_dir).select("label", V.vector_reason(F.col("embedding"), 64).alias("reason"))
-    return checked.groupBy("label").agg(F.count("*").alias("n"), F.count("reason").alias("bad"))
+    """Points counted by label and the reason against them; of seven points six have a fault put into them, each another."""
+    k, i = F.col("vec_id") % 7, F.col("vec_id") + 1
+    name = F.concat(F.lit("v1:"), i.cast("string"))
+    id_ = S.point_id(S.POINT_NAMESPACE, name)
+    vector = F.when(k == 0, F.slice("embedding", 2, 63)).when(k == 1, F.concat(F.slice("embedding", 1, 63), F.array(F.lit(float("nan")).cast("float")))).when(k == 2, F.transform("embedding", lambda x: F.lit(0).cast("float"))).otherwise(F.col("embedding"))
+    rows = points(spark, sf_dir).select("label", F.when(k == 3, F.concat(id_, F.lit("0"))).otherwise(id_).alias("id"), vector.alias("v"), F.when(k == 4, -i).otherwise(i).alias("row"), S.work_id(F.when(k == 5, "other").otherwise("vectors"), i).alias("work"))
+    reason = V.point_reason(F.col("id"), F.col("v"), 64, F.lit("vectors"), F.col("row"), F.col("work"))
+    return rows.groupBy("label", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS queries, CAST(1 AS DOUBLE) AS recall FROM embeddings WHERE vec_id % 20 = 0")

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusjobs.operators.search import point_reason
+
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 REGISTRY = "name string, id long, path string, tag string, excludes array<string>"
 
@@ -56,6 +58,26 @@ def read_manifest(spark: SparkSession, path: str, schema: str, id_: str) -> Data
     return df
 
 
+def read_points(spark: SparkSession, path: str, dimensions: int) -> DataFrame:
+    """Stored points (point_id, vector, dataset, row, work_id and more) with `reason`: why a point isn't valid, `twice` for an id of several points, or null."""
+    points = spark.read.parquet(path)
+    times = points.groupBy("point_id").agg(F.count("*").alias("times"))
+    own = point_reason(F.col("point_id"), F.col("vector"), dimensions, F.col("dataset"), F.col("row"), F.col("work_id"))
+    reason = F.coalesce(own, F.when(F.col("times") > 1, "twice"))
+    return points.join(times, "point_id", "left").withColumn("reason", reason).drop("times")
+
+
+def read_metric_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Host samples of JSON lines; a line that doesn't fit the schema is in `broken`, which is null for all others."""
+    return spark.read.schema(f"{schema}, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+
+
+def write_field_catalog(fields: DataFrame, path: str, added: list[str]) -> None:
+    """The catalog of (field, type) as JSON lines under a new path: which fields the job added, and whether the records had an id of their own."""
+    own = F.col("field") == "original_id"
+    fields.select("field", "type", F.col("field").isin(*added).alias("added"), own.alias("original_id")).write.mode("errorifexists").json(path)
+
+
 def parse_access_log(lines: DataFrame) -> DataFrame:
     """(peer, time, path, status) of access-log lines; lines of another shape are left out."""
     pattern = r'^(\S+) - - \[([^\]]+)\] "GET (\S+) HTTP/\S+" (\d{3})'

@@ -107,9 +107,23 @@ def test_schema_and_export(spark, tmp_path):
 
 
 def test_read_points(spark, tmp_path):
-    """Points are read, checked, and unique by id."""
-    df = spark.createDataFrame([(1, [1.0]), (2, [0.0])], "id int, v array<float>")
+    ids = [f"00000000-0000-5000-8000-00000000000{k:x}" for k in range(10)]
+    rows = [(ids[0], [1.0], "p", 3, "p:3"), (ids[1], [0.0], "p", 3, "p:3"), (ids[2].upper() + "F", [1.0], "p", 3, "p:3"), (None, [1.0], "p", 3, "p:3"), (ids[3], [1.0], " ", 3, "p:3"), (ids[4], [1.0], "p", None, "p:3"), (ids[5], [1.0], "p", 3, "p:4"), (ids[6], [1.0], "p", 3, None), (ids[7], [1.0], "p", 3, "p:1"), (ids[7], [2.0], "p", 3, "p:1"), (ids[8], None, "p", 3, "p:3")]
+    df = spark.createDataFrame(rows, "point_id string, vector array<float>, dataset string, row long, work_id string").coalesce(1)
     df.write.parquet(str(tmp_path / "p"))
-    back = spark.read.parquet(str(tmp_path / "p"))
-    assert back.where(V.vector_reason(F.col("v"), 1).isNotNull()).count() == 1
-    assert back.groupBy("id").count().where("count > 1").count() == 0
+    back = files.read_points(spark, str(tmp_path / "p"), 1)
+    got = sorted((r["point_id"] or "", r["work_id"] or "", r["reason"] or "") for r in back.collect())
+    why = [None, "zero", "id", "id", "payload", "payload", "work id", "work id", "twice", "twice", "dimension"]
+    assert got == sorted((r[0] or "", r[4] or "", w or "") for r, w in zip(rows, why))
+
+
+def test_metric_lines(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"host":"a","available":5}\n{"host":"b","avail\n\n{"host":null}\n')
+    got = files.read_metric_jsonl(spark, str(tmp_path / "m.jsonl"), "host string, available long").collect()
+    assert sorted((r["host"] or "", r["available"] or 0, r["broken"] or "") for r in got) == [("", 0, ""), ("", 0, '{"host":"b","avail'), ("a", 5, "")]
+
+
+def test_field_catalog(spark, tmp_path):
+    fields = spark.createDataFrame([("title", "TEXT"), ("original_id", "INTEGER"), ("translation", "TEXT")], "field string, type string")
+    files.write_field_catalog(fields, str(tmp_path / "c"), ["translation"])
+    assert {(r["field"], r["type"], r["added"], r["original_id"]) for r in spark.read.json(str(tmp_path / "c")).collect()} == {("title", "TEXT", False, False), ("original_id", "INTEGER", False, True), ("translation", "TEXT", True, False)}

@@ -77,3 +77,18 @@ def test_part_values(spark):
     for part, count, want in [(None, None, (1, 1)), ("2.0", "3", (2, 3)), ("2", None, None), ("4", "3", None), ("0", "3", None)]:
         r = spark.range(1).select(S.part_values(F.lit(part).cast("string"), F.lit(count).cast("string")).alias("r")).first()["r"]
         assert (r and tuple(r)) == want
+
+
+def test_maps_within_lines(spark):
+    cases = {
+        """["{'甲句': '第一句', '乙句': ' 第二句 '}"]""": ["第一句", "第二句"],
+        """["a", "{\\"x\\": \\"b\\", \\"y\\": \\"\\"}"]""": ["a", "b"],
+        """[{"x": "a"}, "b"]""": ["a", "b"],
+        """{"2": "b", "1": "{'x': 'a'}"}""": ["a", "b"],
+        """["{no map}"]""": ["{no map}"],
+        """["{}"]""": ["{}"],
+        """{"2": "b"}""": None,
+        """[" "]""": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "j string")
+    assert {r["j"]: r["l"] for r in df.select("j", S.normalize_translation(F.col("j")).alias("l")).collect()} == cases
