@@ -76,14 +76,15 @@ decode_base64_vector = F.pandas_udf(decode_base64_vectors, T.ArrayType(T.FloatTy
 def top_k(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """(query_id, id, score, place): the k points of highest cosine for each query, ties by id.
 
-    Queries travel to the tasks in blocks of a fixed size; each task keeps k points for a query, and
-    only these are shuffled. Points or queries that can't be normalised are left out.
+    Queries travel to the tasks in blocks of about a fixed size, dealt by hash, and the driver reads one block at
+    a time; each task keeps k points for a query, and only these are shuffled. Points or queries that can't be normalised are left out.
     """
     spark = points.sparkSession
-    asked = queries.select(query_id, vector).where(vector_reason(F.col(vector)).isNull()).toPandas()
+    asked = queries.select(query_id, vector).where(vector_reason(F.col(vector)).isNull())
+    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     found = None
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        part = asked.iloc[at : at + QUERY_BLOCK]
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block).toPandas()
         ids, q = part[query_id].to_numpy(), np.stack(part[vector].to_list()).astype(np.float64) if len(part) else np.empty((0, 1))
         sent = spark.sparkContext.broadcast((ids, q / np.sqrt((q**2).sum(axis=1, keepdims=True)) if len(part) else q))
 

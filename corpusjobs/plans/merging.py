@@ -96,12 +96,18 @@ def document_on_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(first, "source").select("doc_id", "source", F.when(F.col("doc_id") == F.col("first"), F.col("lang")).alias("document"))
 
 
-@query("WITH r AS (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2) AS bucket, sha256(doc_id || '|' || sha256(text)) AS h FROM documents), b AS (SELECT bucket, sha256(string_agg(h, '' ORDER BY h)) AS d FROM r GROUP BY bucket) SELECT sha256(string_agg(d, '' ORDER BY bucket)) AS fingerprint FROM b")
+@query("""WITH r AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS place, sha256(doc_id || '|' || sha256(text)) AS h FROM documents), a AS (SELECT place[:6] AS place, sha256(string_agg(h, '' ORDER BY place, h)) AS h FROM r GROUP BY 1),
+b AS (SELECT place[:4] AS place, sha256(string_agg(h, '' ORDER BY place, h)) AS h FROM a GROUP BY 1), c AS (SELECT place[:2] AS place, sha256(string_agg(h, '' ORDER BY place, h)) AS h FROM b GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY place, h)) AS fingerprint FROM c""")
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest of all rows in two levels: rows in order within 256 buckets, then the buckets in order."""
-    rows = table(spark, sf_dir, "documents").select(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 2).alias("bucket"), F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.sha2("text", 256)), 256).alias("h"))
-    buckets = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda p: p["d"]), ""), 256).alias("fingerprint"))
+    """One digest of all rows by a tree: rows in order under 16 million places, these in order under 65,536, then 256, then one.
+
+    Above the rows no node has more than 256 children; 10^11 rows are about 6,000 under each of the lowest places.
+    """
+    rows = table(spark, sf_dir, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("place"), F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.sha2("text", 256)), 256).alias("h"))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda p: p["h"]), ""), 256)
+    for digits in (6, 4, 2):
+        rows = rows.groupBy(F.substring("place", 1, digits).alias("up")).agg(digest.alias("h")).withColumnRenamed("up", "place")
+    return rows.agg(digest.alias("fingerprint"))
 
 
 @query("SELECT o_orderkey AS pos, a.n AS baidu, b.n AS google, a.n IS NOT NULL AND b.n IS NOT NULL AS complete FROM orders LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a ON a.k = o_orderkey LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) b ON b.k = o_orderkey WHERE a.n IS NOT NULL OR b.n IS NOT NULL")

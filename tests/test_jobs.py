@@ -127,3 +127,14 @@ def test_field_catalog(spark, tmp_path):
     fields = spark.createDataFrame([("title", "TEXT"), ("original_id", "INTEGER"), ("translation", "TEXT")], "field string, type string")
     files.write_field_catalog(fields, str(tmp_path / "c"), ["translation"])
     assert {(r["field"], r["type"], r["added"], r["original_id"]) for r in spark.read.json(str(tmp_path / "c")).collect()} == {("title", "TEXT", False, False), ("original_id", "INTEGER", False, True), ("translation", "TEXT", True, False)}
+
+
+def test_top_k_in_blocks(spark, sf, monkeypatch):
+    """More queries than a block holds, and none at all."""
+    points = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = points.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    key = lambda df: sorted((r["query_id"], r["place"], r["id"]) for r in df.collect())
+    whole = key(V.top_k(points, asked, 3))
+    monkeypatch.setattr(V, "QUERY_BLOCK", 5)
+    assert key(V.top_k(points, asked, 3)) == whole and len(whole) == 3 * asked.count()
+    assert key(V.top_k(points, asked.where("false"), 3)) == []
