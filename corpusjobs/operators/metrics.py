@@ -2,31 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import deque
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def counted(rows: DataFrame, by: list[str], value: str, kinds: dict[str, Column]) -> DataFrame:
+    """A row for each group and distinct value ("the value"), with how many rows of each kind have it, up to it, and in the whole group.
+
+    Equal values are counted before they are sorted; a group's distinct values pass through one sort, which may spill.
+    """
+    seen = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("the value")).agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
+    w = Window.partitionBy(*by).orderBy("the value")
+    upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return seen.withColumns({f"{k} upto": F.sum(k).over(upto) for k in kinds} | {f"{k} n": F.sum(k).over(whole) for k in kinds})
+
+
+def at_place(kind: str, place: Column) -> Column:
+    """Of counted(): the value at a place of a group, from 0; null where the group has no row of the kind."""
+    return F.min(F.when((F.col(f"{kind} n") > 0) & (F.col(f"{kind} upto") > place), F.col("the value")))
+
+
+def interpolated(kind: str, p: float) -> Column:
+    """Of counted(): the percentile of a group, on the line between its two neighbours."""
+    of, exact = (F.col(f"{kind} n") - 1) * p, (F.max(f"{kind} n") - 1) * p
+    low, high = at_place(kind, F.floor(of)), at_place(kind, F.ceil(of))
+    return F.when(low == high, low).otherwise((F.ceil(exact) - exact) * low + (exact - F.floor(exact)) * high).cast("double")
+
+
+def nearest_rank(kind: str, p: float) -> Column:
+    """Of counted(): the smallest value that is not below a share p of the group."""
+    return at_place(kind, F.ceil(F.col(f"{kind} n") * p) - 1)
+
+
 def stage_latency(outcomes: DataFrame, stage: list[str], seconds: str, ok: str, wall: Column) -> DataFrame:
     """Per stage: requests, passed, rate of passed, error rate, interpolated percentiles of passed and of all, the largest."""
-    passed = F.when(F.col(ok), F.col(seconds))
-    grouped = outcomes.groupBy(*stage).agg(
-        F.count("*").alias("requests"), F.count_if(ok).alias("passed"), F.percentile(passed, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"),
-        F.percentile(F.col(seconds), F.lit(0.95)).alias("all_p95"), F.max(seconds).alias("slowest"), wall.alias("wall"),
+    grouped = outcomes.groupBy(*stage).agg(F.count("*").alias("requests"), F.count_if(ok).alias("passed"), F.max(seconds).alias("slowest"), wall.alias("wall"))
+    places = counted(outcomes, stage, seconds, {"ok": F.col(ok), "all": F.lit(True)}).groupBy(*[F.col(c).alias(f"{c} of") for c in stage]).agg(
+        *[interpolated("ok", p).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)], interpolated("all", 0.95).alias("all_p95"),
     )
-    return grouped.select(
+    same = [F.col(c).eqNullSafe(F.col(f"{c} of")) for c in stage]
+    return grouped.join(places, same, "left").select(
         *stage, "requests", "passed", F.try_divide("passed", "wall").alias("rps"), (1 - F.col("passed") / F.col("requests")).alias("error_rate"),
-        F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p95"), F.get("p", F.lit(2)).alias("p99"), "all_p95", "slowest",
+        "p50", "p95", "p99", "all_p95", "slowest",
     )
 
 
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, median, nearest-rank 95th percentile, least and largest; nulls and NaN don't count."""
     good = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    return good.groupBy(*by).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.expr(f"percentile_disc(0.95) within group (order by `{value}`)").alias("p95"), F.min(value).alias("least"), F.max(value).alias("largest"))
+    ends = [F.min("the value").alias("least"), F.max("the value").alias("largest")]
+    return counted(good, by, value, {"all": F.lit(True)}).groupBy(*by).agg(F.max("all n").alias("n"), interpolated("all", 0.5).alias("median"), nearest_rank("all", 0.95).alias("p95"), *ends)
 
 
 def resource_summary(samples: DataFrame, by: list[str], at: str, available: str, counter: str) -> DataFrame:
@@ -59,65 +89,99 @@ def rolling_health(results: DataFrame, run: str, order: list[str], seconds: str,
     return results.withColumns({f"{f}_rate": F.when(full, F.avg(F.col(f).cast("double")).over(w)) for f in flags} | {"mean_seconds": F.when(full, F.avg(seconds).over(w))})
 
 
+def in_turn(rows: DataFrame, keys: int, start: Callable[[], Callable], made: str) -> DataFrame:
+    """The rows with what a state makes of them: start() for each key (the first columns), asked with the other columns in their order.
+
+    Keys are dealt over tasks and sorted in them; rows pass by in batches, so a task holds one batch and one state
+    however many rows a key has.
+    """
+    names = rows.columns
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if state is None or row[:keys] != key:
+                    key, state = row[:keys], start()
+                out.append(state(*row[keys:]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, told)], names=[*names, name])
+
+    name, kind = made.split()
+    told = {"long": pa.int64(), "int": pa.int32()}[kind]
+    return rows.repartition(*names[:keys]).sortWithinPartitions(*names).mapInArrow(run, f"{kinds}, {made}")
+
+
+def admitted(arrivals: DataFrame, key: str, at: str, order: str, start: Callable[[], Callable]) -> DataFrame:
+    """(key, order, admitted, wait) from a state that tells how long an arrival must wait, 0 if it is admitted; null for a null time."""
+    rows = arrivals.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("micros"), F.col(order).alias("order"))
+    return in_turn(rows, 1, start, "wait long").select(F.col("key").alias(key), F.col("order").alias(order), (F.col("wait") == 0).alias("admitted"), "wait")
+
+
 def minute_budget(arrivals: DataFrame, key: str, at: str, order: str, budget: int) -> DataFrame:
     """Which arrivals a rolling minute of `budget` admits: refused ones use up nothing; wait is in whole seconds, 1 at least.
 
-    A key's arrivals are replayed in order, one key in a task; the state is as many times as the budget.
+    The state of a key is as many times as the budget.
     """
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, order])
-        t = rows[at].to_numpy("datetime64[us]").astype(np.int64) / 1e6
-        held: list[float] = []
-        first, ok, wait = 0, np.zeros(len(t), bool), np.zeros(len(t), np.int64)
-        for k, now in enumerate(t):
-            while first < len(held) and held[first] + 60 <= now:
-                first += 1
-            if len(held) - first >= budget:
-                wait[k] = max(1, int(np.ceil(held[first] + 60 - now)))
-            else:
-                ok[k] = True
-                held.append(now)
-        return pd.DataFrame({key: rows[key], order: rows[order], "admitted": ok, "wait": wait})
-
-    kinds = dict(arrivals.dtypes)
-    return arrivals.select(key, at, order).groupBy(key).applyInPandas(replay, f"{key} {kinds[key]}, {order} {kinds[order]}, admitted boolean, wait long")
+    def start() -> Callable:
+        held: deque[float] = deque()
+
+        def ask(micros: int | None, _: object) -> int | None:
+            if micros is None:
+                return None
+            now = micros / 1e6
+            while held and held[0] + 60 <= now:
+                held.popleft()
+            if len(held) >= budget:
+                return max(1, math.ceil(held[0] + 60 - now)) if held else 60
+            held.append(now)
+            return 0
+
+        return ask
+
+    return admitted(arrivals, key, at, order, start)
 
 
 def token_bucket(arrivals: DataFrame, key: str, at: str, order: str, rate: float, burst: int) -> DataFrame:
     """Which arrivals a bucket of `burst` tokens admits that fills at `rate` a second, and after how long to try again."""
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, order])
-        t = rows[at].to_numpy("datetime64[us]").astype(np.int64) / 1e6
-        tokens, last = float(burst), t[0] if len(t) else 0.0
-        ok, wait = np.zeros(len(t), bool), np.zeros(len(t), np.int64)
-        for k, now in enumerate(t):
-            tokens, last = min(burst, tokens + (now - last) * rate), now
+    def start() -> Callable:
+        tokens, last = float(burst), None
+
+        def ask(micros: int | None, _: object) -> int | None:
+            nonlocal tokens, last
+            if micros is None:
+                return None
+            now = micros / 1e6
+            tokens, last = min(burst, tokens + (now - (now if last is None else last)) * rate), now
             if tokens >= 1:
-                tokens, ok[k] = tokens - 1, True
-            else:
-                wait[k] = max(1, int(np.ceil((1 - tokens) / rate)))
-        return pd.DataFrame({key: rows[key], order: rows[order], "admitted": ok, "wait": wait})
+                tokens -= 1
+                return 0
+            return max(1, math.ceil((1 - tokens) / rate))
+
+        return ask
 
-    kinds = dict(arrivals.dtypes)
-    return arrivals.select(key, at, order).groupBy(key).applyInPandas(replay, f"{key} {kinds[key]}, {order} {kinds[order]}, admitted boolean, wait long")
+    return admitted(arrivals, key, at, order, start)
 
 
 def batches_by_bytes(rows: DataFrame, bucket: str, id_: str, size: str, most_rows: int = 128, most_bytes: int = 1_048_576) -> DataFrame:
-    """(bucket, id, batch): greedy batches in id order within each bucket; a row over the limit fails."""
-
-    def cut(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(id_)
-        if (part[size] > most_bytes).any():
-            raise ValueError("a row is larger than a batch may be")
-        batch, n, total, out = 0, 0, 0, []
-        for b in part[size]:
+    """(bucket, id, size, batch): greedy batches in id order within each bucket; a row over the limit fails, a null size is 0."""
+
+    def start() -> Callable:
+        batch, n, total = 0, 0, 0
+
+        def ask(_: object, b: int | None) -> int:
+            nonlocal batch, n, total
+            b = b or 0
+            if b > most_bytes:
+                raise ValueError("a row is larger than a batch may be")
             if n == most_rows or total + b > most_bytes:
                 batch, n, total = batch + 1, 0, 0
             n, total = n + 1, total + b
-            out.append(batch)
-        return pd.DataFrame({bucket: part[bucket], id_: part[id_], size: part[size], "batch": out})
+            return batch
+
+        return ask
 
-    kinds = dict(rows.dtypes)
-    return rows.select(bucket, id_, size).groupBy(bucket).applyInPandas(cut, f"{bucket} {kinds[bucket]}, {id_} {kinds[id_]}, {size} {kinds[size]}, batch int")
+    return in_turn(rows.select(bucket, id_, size), 1, start, "batch int")

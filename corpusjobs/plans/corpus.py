@@ -56,10 +56,13 @@ def works_with_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.join(located, "work_id", "left").select("work_id", F.coalesce("sentences", F.lit(0)).cast("long").alias("sentences"))
 
 
-@query(f"{SENTENCES} SELECT 'v1' AS generation, 1 AS schema_version, count(*) AS sentences, count(DISTINCT work_id) AS works, count(DISTINCT dataset) AS datasets FROM found")
+@query(f"{SENTENCES} SELECT 'v1' AS generation, 1 AS schema_version, count(*) AS sentences, count(DISTINCT work_id) AS works, count(DISTINCT dataset) AS datasets, (SELECT list(dataset || ': ' || n ORDER BY dataset) FROM (SELECT dataset, count(*) AS n FROM found GROUP BY dataset)) AS of_datasets FROM found")
 def corpus_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences, works and datasets of a generation, and the sentences of each dataset."""
     by_work = found(spark, sf_dir).groupBy("dataset", "work_id").agg(F.count("*").alias("n"))
-    return by_work.agg(F.sum("n").alias("sentences"), F.count("*").alias("works"), F.countDistinct("dataset").alias("datasets")).select(F.lit("v1").alias("generation"), F.lit(1).alias("schema_version"), "sentences", "works", "datasets")
+    by_dataset = by_work.groupBy("dataset").agg(F.sum("n").alias("n"), F.count("*").alias("works"))
+    each = F.sort_array(F.collect_list(F.struct("dataset", F.concat("dataset", F.lit(": "), "n").alias("said"))))["said"]
+    return by_dataset.agg(F.sum("n").alias("sentences"), F.sum("works").alias("works"), F.countDistinct("dataset").alias("datasets"), each.alias("of_datasets")).select(F.lit("v1").alias("generation"), F.lit(1).alias("schema_version"), "sentences", "works", "datasets", "of_datasets")
 
 
 @query(f"{SENTENCES} SELECT dataset, count(*) AS sentences, count(DISTINCT work_id) AS works, max(strlen(original) + strlen(translation)) AS max_row_bytes FROM found GROUP BY dataset")

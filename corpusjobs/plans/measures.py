@@ -87,9 +87,12 @@ def tcp_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH n AS (SELECT user_id, median(CASE WHEN event_id % 2 = 0 THEN value END) AS direct, median(CASE WHEN event_id % 2 = 1 THEN value END) AS proxy, count(*) FILTER (event_id % 2 = 0 AND value < 95) AS a, count(*) FILTER (event_id % 2 = 1 AND value < 95) AS b FROM events GROUP BY user_id) SELECT user_id, direct - proxy AS difference, 100 * (direct - proxy) / proxy AS percent FROM n WHERE a >= 3 AND b >= 3")
 def paired_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that did well on both sides: the difference of their medians, and as a share."""
-    rows = events(spark, sf_dir).withColumn("side", F.col("event_id") % 2)
-    node = rows.groupBy("user_id").agg(*[F.median(F.when(F.col("side") == k, F.col("value"))).alias(name) for k, name in ((0, "direct"), (1, "proxy"))], *[F.count_if((F.col("side") == k) & (F.col("value") < 95)).alias(f"n{k}") for k in (0, 1)])
-    return node.where("n0 >= 3 and n1 >= 3").select("user_id", (F.col("direct") - F.col("proxy")).alias("difference"), F.try_divide(100 * (F.col("direct") - F.col("proxy")), F.col("proxy")).alias("percent"))
+    side = F.col("event_id") % 2
+    seen = M.counted(events(spark, sf_dir), ["user_id"], "value", {"direct": side == 0, "proxy": side == 1})
+    well = [F.sum(F.when(F.col("the value") < 95, F.col(k))).alias(f"{k}_well") for k in ("direct", "proxy")]
+    node = seen.groupBy("user_id").agg(*[M.interpolated(k, 0.5).alias(f"{k}_median") for k in ("direct", "proxy")], *well)
+    difference = F.col("direct_median") - F.col("proxy_median")
+    return node.where("direct_well >= 3 and proxy_well >= 3").select("user_id", difference.alias("difference"), F.try_divide(100 * difference, F.col("proxy_median")).alias("percent"))
 
 
 @query("SELECT 'missing' AS side, user_id FROM (SELECT user_id FROM events EXCEPT SELECT user_id FROM events WHERE event_type = 'error') UNION ALL SELECT 'extra', user_id FROM (SELECT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase')")
@@ -105,7 +108,7 @@ def cohort_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, least, median and largest of each group's scored rows."""
     scored = F.when(F.col("event_id") % 3 != 0, F.col("value"))
-    return events(spark, sf_dir).withColumn("score", scored).where("score is not null").groupBy("event_type").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.median("score").alias("median"), F.max("score").alias("largest"))
+    return M.distribution(events(spark, sf_dir).withColumn("score", scored), ["event_type"], "score").drop("p95")
 
 
 @query("SELECT user_id, sum(1) AS requests, sum(CAST(event_type = 'error' AS INTEGER)) AS errors, sum(value) / 1000 AS cpu_ms, bool_or(value > 99) AS exceeded, greatest(0, 100 - count(*)) AS quota_left FROM events GROUP BY user_id")
@@ -167,8 +170,10 @@ def oversize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def byte_bounded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of at most 128 rows and 1 MiB in each of 64 buckets; tested against a loop."""
-    rows = table(spark, sf_dir, "documents").select(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("bucket"), "doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    """Batches of at most 128 rows and 1 MiB in each bucket of about 10,000 rows, 64 buckets at least; tested against a loop."""
+    docs = table(spark, sf_dir, "documents")
+    buckets = max(64, docs.count() // 10_000)
+    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", F.octet_length("text").cast("long").alias("bytes"))
     return M.batches_by_bytes(rows, "bucket", "doc_id", "bytes")
 
 

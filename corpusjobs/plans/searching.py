@@ -116,11 +116,11 @@ def validate_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("label", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS queries, CAST(1 AS DOUBLE) AS recall FROM embeddings WHERE vec_id % 20 = 0")
+@query(f"WITH {SCORES}, one AS (SELECT query_id, arg_min(id, (-score, id)) AS a FROM scores GROUP BY 1) SELECT count(*) AS queries, avg(CASE WHEN a % 40 <> 0 THEN 1.0 ELSE 0.0 END) AS recall FROM one")
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the approximate search finds the exact first hit."""
+    """How often the approximate search finds the exact first hit; its index has lost every 40th vector."""
     exact = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("a"))
-    near = V.ann_top_k(points(spark, sf_dir), asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("b"))
+    near = V.ann_top_k(points(spark, sf_dir).where("vec_id % 40 != 0"), asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("b"))
     return exact.join(near, "query_id", "left").agg(F.count("*").alias("queries"), F.avg((F.col("a") == F.coalesce("b", F.lit(-1))).cast("double")).alias("recall"))
 
 
