@@ -341,11 +341,13 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, target_recall: fl
     rows = blocks.join(classes.select("class", "n"), "class").join(whole, "class")
     links = checkpointed(by_group(rows, ["block"], 1, lambda rows: compared(rows, threshold), ["block", "class", "n", "partners", "tokens"], "a long, b long, n long"))
 
-    linked = classes.select("class", "key", "rep", "n").join(links.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("linked")), "class", "left")
-    linked = linked.join(components(links).withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    linked = checkpointed(linked)
-    named = linked.join(linked.groupBy("component").agg(F.min("rep").alias("class_id")), "component")
-    named = named.select(F.col("key").alias("of"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "class_id")
+    # Only classes with links belong to components; each of the others is one by itself.
+    linked = links.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("linked")).join(components(links).withColumnRenamed("node", "class"), "class", "full")
+    linked = checkpointed(classes.select("class", "rep").join(linked, "class").withColumn("component", F.coalesce("component", "class")))
+    smallest = checkpointed(linked.groupBy("component").agg(F.min("rep").alias("class_id")))
+    linked = linked.join(small(smallest), "component").select("class", "linked", "class_id")
+    named = classes.select("class", "key", "rep", "n").join(linked, "class", "left")
+    named = named.select(F.col("key").alias("of"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
     found = members.select("id", "key", "size").join(named, F.col("id").isNotNull() & (F.col("size") > 0) & (F.col("key") == F.col("of")), "left")
     return found.select(F.col("id").alias("doc_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "id").alias("class_id"))
 
