@@ -188,3 +188,10 @@ def schema_union(rows: DataFrame, file: str, pos: str, json: str) -> DataFrame:
     by_file = kinds.groupBy(file, "field").agg(F.min_by(sql, pos).alias("type"))
     place = fields.groupBy("field").agg(F.min(F.struct(file, pos, "at")).alias("place"))
     return by_file.groupBy("field").agg(F.when(F.countDistinct("type") > 1, "TEXT").otherwise(F.min("type")).alias("type")).join(place, "field")
+
+
+def field_types(rows: DataFrame, dataset: str, fields: list[str]) -> DataFrame:
+    """(dataset, field, type) of the fields that a dataset has a value of: INTEGER if all its values are whole numbers, else TEXT."""
+    of = lambda c: F.struct(F.lit(c).alias("field"), F.count(c).alias("n"), F.bool_and(F.col(c).rlike(r"^-?[0-9]+\z")).alias("whole"))
+    seen = rows.groupBy(dataset).agg(*[of(c).alias(f"of {c}") for c in fields])
+    return seen.select(dataset, F.inline(F.array(*[F.col(f"`of {c}`") for c in fields]))).where("n > 0").select(dataset, "field", F.when(F.col("whole"), "INTEGER").otherwise("TEXT").alias("type"))

@@ -188,10 +188,16 @@ def import_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select(F.coalesce("source", F.lit("all")).alias("dataset"), "records", "files", "errors")
 
 
-@query("SELECT DISTINCT source AS dataset, lang AS field, 'TEXT' AS type, doc_id < 0 AS added FROM documents")
+#: Fields of the catalog: those of documents, and a year that some records give as a number and others as a word.
+FIELDS = {"doc_id": "doc_id", "lang": "CASE WHEN source <> 'src1' THEN lang END", "n_chars": "n_chars", "text": "text", "year": "CASE WHEN source = 'src2' AND doc_id % 7 = 0 THEN 'unknown' ELSE CAST(1900 + doc_id % 100 AS STRING) END"}
+
+
+@query("SELECT dataset, field, CASE WHEN whole THEN 'INTEGER' ELSE 'TEXT' END AS type, field = 'lang' AS added FROM (" + " UNION ALL ".join(f"SELECT source AS dataset, '{name}' AS field, count(v) AS n, bool_and(regexp_full_match(v, '-?[0-9]+')) AS whole FROM (SELECT source, CAST({value} AS VARCHAR) AS v FROM documents) GROUP BY source" for name, value in FIELDS.items()) + ") WHERE n > 0")
 def field_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog of fields: which dataset has which, their type, and whether the job added them."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("dataset"), F.col("lang").alias("field")).distinct().select("dataset", "field", F.lit("TEXT").alias("type"), F.lit(False).alias("added"))
+    """The catalog of fields: which dataset has which, their type by all their values, and whether the job added them."""
+    rows = table(spark, sf_dir, "documents").select("source", *[F.expr(value).cast("string").alias(name) for name, value in FIELDS.items()])
+    fields = C.field_types(rows, "source", list(FIELDS))
+    return fields.select(F.col("source").alias("dataset"), "field", "type", (F.col("field") == "lang").alias("added"))
 
 
 #: Parts of works: the lines of an order; an order whose lines aren't all there isn't whole.

@@ -25,16 +25,21 @@ def index_points(rows: DataFrame, generation: str) -> DataFrame:
 
 
 def upsert(new: DataFrame, path: str) -> None:
-    """Adds the points whose id the table lacks; a batch that is run again adds nothing."""
+    """Adds the points whose id the table lacks; a batch that is run again adds nothing.
+
+    The table is partitioned by the first two digits of the id, and a batch reads only the partitions it has ids of.
+    """
     spark = new.sparkSession
-    new = new.dropDuplicates(["point_id"])
+    new = new.dropDuplicates(["point_id"]).withColumn("prefix", F.concat(F.lit("p"), F.left("point_id", F.lit(2))))
     try:
-        known = spark.read.parquet(path).select("point_id")
+        known = spark.read.parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        known = new.select("point_id").limit(0)
-    new.join(known, "point_id", "left_anti").write.mode("append").parquet(path)
+    else:
+        asked = [r["prefix"] for r in new.select("prefix").distinct().collect()]  # 256 at most
+        new = new.join(known.where(F.col("prefix").isin(asked)).select("prefix", "point_id"), ["prefix", "point_id"], "left_anti")
+    new.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
 
 
 def stream_points(rows: DataFrame, path: str, checkpoint: str, generation: str) -> StreamingQuery:

@@ -84,6 +84,8 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda df: sorted(map(tuple, df.select("point_id", "work_id", "translation_hash").collect()))
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(jobs.index_points(rows, "v1"))
     assert len(key(jobs.index_points(rows, "v1"))) == 3
+    jobs.upsert(jobs.index_points(rows, "v1").limit(1), str(tmp_path / "out"))  # a batch run again adds nothing
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(jobs.index_points(rows, "v1"))
 
 
 def test_streamed_windows_equal_batch(spark, sf, tmp_path):
