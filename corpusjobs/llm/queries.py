@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm import embedding_dedup, hidden_markov_lm, html_text, language_id, mixing, ngram_jaccard, quality, sentencepiece_bpe, token_records, tool_calls
+from corpusjobs.llm import embedding_dedup, hidden_markov_lm, html_text, language_id, mixing, ngram_jaccard, quality, sentencepiece_bpe, spelling_variants, token_records, tool_calls, url_filter, whitening
 from corpusjobs.llm.common import table
 
 
@@ -53,6 +53,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+#: Hosts and the start of paths; the models judge what these leave.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -64,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hidden_markov_lm": op8_hidden_markov_lm,
     "op9_language_id": op9_language_id,
     "op10_token_records": op10_token_records,
-    "op5_every_turn": op5_tool_calls,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_url_filter": op13_url_filter,
 }
-SQL: dict[str, str] = {"op5_tool_calls": tool_calls.SQL, "op5_every_turn": tool_calls.SQL}
+SQL: dict[str, str] = {"op5_tool_calls": tool_calls.SQL}

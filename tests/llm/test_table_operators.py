@@ -303,7 +303,7 @@ def test_every_turn_has_a_row(spark, sf):
     assert tool_calls.whole_conversations(chats).count() == len(rows)
     table = spark.read.parquet(f"{sf}/conversations.parquet")
     turns = lambda df: collections.Counter(map(tuple, df.select("conv_id", "turn").collect()))
-    assert turns(QUERIES["op5_every_turn"](spark, sf)) == turns(table) and table.where("role = 'system'").count() > 0
+    assert turns(QUERIES["op5_tool_calls"](spark, sf)) == turns(table) and table.where("role = 'system'").count() > 0
 
 
 def test_pipeline(spark, sf):
