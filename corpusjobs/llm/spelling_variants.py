@@ -21,6 +21,7 @@ very long texts are read whole, an empty table gives an empty result, and other
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters that have a group of their own, and groups for all others.
 ALONE, SHARED = 14, 5
 #: Words below a node of the search that are looked at at once instead of further down.
-FEW = 24
+FEW = 64
+#: Longer words are compared as strings, one pair at a time.
+LONG = 64
 #: Pairs that a task compares at once.
-PAIRS = 500_000
+PAIRS = 200_000
 
 
 def occurrences(docs: DataFrame, letters: int, spoil: int | None = 199) -> DataFrame:
@@ -140,31 +143,37 @@ def routed(paths: DataFrame, heavy: set[str]) -> DataFrame:
     return paths.select("word", "n", "path").mapInArrow(run, "word string, n long, path array<int>, node string, asks boolean")
 
 
-def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Words as rows of code points, filled up with zeros, and their lengths."""
+def codes(words: list[str], wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words as rows of code points, filled up with zeros to one more than `wide` (or cut there), and their lengths."""
     lengths = np.array([len(w) for w in words], np.int64)
-    wide = int(lengths.max(initial=1))
-    return np.frombuffer("".join(w.ljust(wide, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), wide), lengths
+    return np.frombuffer("".join(w[: wide + 1].ljust(wide + 1, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), wide + 1), lengths
 
 
 def one_edit(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Whether rows of a and b, code points filled up with zeros, are words at exactly one inserted, deleted or replaced letter."""
-    wide = max(a.shape[1], b.shape[1]) + 1
-    a, b = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (a, b))
+    """Whether rows of a and b, code points and at least one zero, are words at exactly one inserted, deleted or replaced letter."""
     differ = a != b
     first = differ.argmax(axis=1)
     some = differ[np.arange(len(a)), first]
-    at = np.arange(wide - 1)
-    after = at >= first[:, None]
+    after = np.arange(a.shape[1] - 1) >= first[:, None]
     replaced = ~(differ[:, 1:] & after).any(axis=1)  # nothing else differs behind the first place
     longer, shorter = np.where((la > lb)[:, None], a, b), np.where((la > lb)[:, None], b, a)
     moved = ~((longer[:, 1:] != shorter[:, :-1]) & after).any(axis=1)
     return some & np.where(la == lb, replaced, (np.abs(la - lb) == 1) & moved)
 
 
+def one_edit_apart(a: str, b: str) -> bool:
+    """The same of two long words."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    k = len(os.path.commonprefix([a, b]))
+    return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
+
+
 def counts(paths: pa.ChunkedArray) -> np.ndarray:
-    """Paths as rows of a matrix."""
-    return paths.combine_chunks().flatten().to_numpy().reshape(len(paths), -1) if len(paths) else np.zeros((0, 1), np.int32)
+    """Paths as rows of a matrix. Counts beyond 30,000 are made equal, which only lets more words pass."""
+    if not len(paths):
+        return np.zeros((0, 1), np.int16)
+    return np.minimum(paths.combine_chunks().flatten().to_numpy().reshape(len(paths), -1), 30_000).astype(np.int16)
 
 
 class Branch:
@@ -172,25 +181,28 @@ class Branch:
 
     def __init__(self, words: list[str], n: np.ndarray, paths: np.ndarray, asking: list[str], asking_paths: np.ndarray):
         order = np.lexsort(paths.T[::-1])
-        self.paths, self.n, self.words = paths[order], n[order], [words[k] for k in order]
-        self.asking_paths, self.asking = asking_paths, asking
-        self.codes, self.lengths = codes(self.words)
-        self.asking_codes, self.asking_lengths = codes(asking)
+        self.paths, self.words, self.asking_paths = paths[order], [words[k] for k in order], asking_paths
+        self.n = n[order]
+        self.asking = asking
+        wide = min(LONG, max(map(len, [*words, *asking]), default=1))
+        self.codes, self.lengths = codes(self.words, wide)
+        self.asking_codes, self.asking_lengths = codes(asking, wide)
+        #: Words by falling occurrences, equal ones in code point order, and each word's place among them.
+        self.ranked = sorted(range(len(order)), key=lambda k: (-self.n[k], self.words[k]))
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[self.ranked] = np.arange(len(order))
         self.near = np.zeros(len(asking), np.int64)
-        self.most = np.full(len(asking), -1, np.int64)
-        self.best: list[str | None] = [None] * len(asking)
+        self.best = np.full(len(asking), len(order), np.int64)
+        self.met: list[tuple[np.ndarray, np.ndarray]] = []
+        self.many = 0
 
     def search(self) -> None:
         """Depth first over the nodes: a range of words with equal counts so far, and who asks with what is left to spend."""
-        if not self.words:
-            return
-        everyone = np.arange(len(self.asking))
-        waiting = [(0, len(self.words), 0, everyone, np.ones(len(everyone), np.int8), np.ones(len(everyone), np.int8))]
+        who = np.arange(len(self.asking_paths))
+        waiting = [(0, len(self.words) if len(who) else 0, 0, who, np.ones(len(who), np.int16), np.ones(len(who), np.int16))]
         depths = self.paths.shape[1]
         while waiting:
             low, high, depth, who, surplus, deficit = waiting.pop()
-            if not len(who):
-                continue
             if depth == depths or high - low <= FEW:
                 self.leaf(low, high, depth, who, surplus, deficit)
                 continue
@@ -200,40 +212,52 @@ class Branch:
             for a, b in zip(cuts[:-1], cuts[1:]):
                 off = own - column[a]
                 if depth:
-                    some = (off <= surplus) & (-off <= deficit)
+                    some = np.flatnonzero((off <= surplus) & (-off <= deficit))
                     off = off[some]
-                    waiting.append((low + a, low + b, depth + 1, who[some], surplus[some] - np.maximum(off, 0).astype(np.int8), deficit[some] - np.maximum(-off, 0).astype(np.int8)))
+                    left = surplus[some] - np.maximum(off, 0), deficit[some] - np.maximum(-off, 0)
                 else:  # lengths: equal ones leave both budgets, others the one that they need
-                    some = np.abs(off) <= 1
+                    some = np.flatnonzero(np.abs(off) <= 1)
                     off = off[some]
-                    waiting.append((low + a, low + b, 1, who[some], (off >= 0).astype(np.int8), (off <= 0).astype(np.int8)))
+                    left = (off >= 0).astype(np.int16), (off <= 0).astype(np.int16)
+                if len(some):
+                    waiting.append((low + a, low + b, depth + 1, who[some], *left))
+        self.verify()
 
     def leaf(self, low: int, high: int, depth: int, who: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> None:
-        """All that is left of the paths, then the letters, of these words and those who ask."""
-        step = max(1, PAIRS // (high - low))
-        for k in range(0, len(who), step):
-            own, many = who[k : k + step], high - low
-            asked, word = np.repeat(own, many), np.tile(np.arange(low, high), len(own))
-            above, under = np.repeat(surplus[k : k + step], many), np.repeat(deficit[k : k + step], many)
-            for level in range(depth, self.paths.shape[1]):
-                off = self.asking_paths[asked, level] - self.paths[word, level]
-                if level:
-                    above, under = above - np.maximum(off, 0), under - np.maximum(-off, 0)
-                else:
-                    above, under = np.where(np.abs(off) <= 1, off >= 0, -1).astype(np.int8), (off <= 0).astype(np.int8)
-                some = (above >= 0) & (under >= 0)
-                if not some.all():
-                    asked, word, above, under = asked[some], word[some], above[some], under[some]
+        """What is left of the paths of these words and those who ask, as one table of differences.
+
+        Surplus less deficit is what the lengths differ by, so that both are within what is left if their sum is.
+        """
+        step = max(1, PAIRS // max(1, high - low))
+        for k in range(0, len(who) if high > low else 0, step):
+            own = who[k : k + step]
+            asking, words = self.asking_paths[own], self.paths[low:high]
+            left = (surplus + deficit)[k : k + step, None]
+            if not depth:
+                apart = np.abs(asking[:, :1] - words[:, 0])
+                left = np.where(apart > 1, -1, 2 - apart)
+            off = np.zeros((len(own), high - low), np.int16)
+            for level in range(max(depth, 1), words.shape[1]):
+                one = asking[:, level, None] - words[:, level]
+                off += np.abs(one, out=one)
+            asked, word = np.nonzero(off <= left)
             if len(asked):
-                near = one_edit(self.asking_codes[asked], self.asking_lengths[asked], self.codes[word], self.lengths[word])
-                self.found(asked[near], word[near])
-
-    def found(self, asked: np.ndarray, word: np.ndarray) -> None:
-        np.add.at(self.near, asked, 1)
-        for a, w in zip(asked.tolist(), word.tolist()):
-            n, text = self.n[w], self.words[w]
-            if n > self.most[a] or n == self.most[a] and text < self.best[a]:
-                self.most[a], self.best[a] = n, text
+                self.met.append((own[asked], low + word))
+                self.many += len(asked)
+                if self.many >= PAIRS:
+                    self.verify()
+
+    def verify(self) -> None:
+        """Looks at the letters of all pairs that leaves have met."""
+        if self.met:
+            asked, word = (np.concatenate(x) for x in zip(*self.met))
+            near = one_edit(self.asking_codes[asked], self.asking_lengths[asked], self.codes[word], self.lengths[word])
+            for k in np.flatnonzero(np.maximum(self.asking_lengths[asked], self.lengths[word]) > LONG).tolist():
+                near[k] = one_edit_apart(self.asking[asked[k]], self.words[word[k]])
+            asked, word = asked[near], word[near]
+            self.near += np.bincount(asked, minlength=len(self.near))
+            np.minimum.at(self.best, asked, self.rank[word])
+        self.met, self.many = [], 0
 
 
 def near_words(words: DataFrame, branch: int = 4_096, nodes: int = 20_000, asking: int = 32_768) -> DataFrame:
@@ -263,7 +287,8 @@ def near_words(words: DataFrame, branch: int = 4_096, nodes: int = 20_000, askin
         b = Branch(held["word"].to_pylist(), held["n"].to_numpy(), counts(held["path"]), asked["word"].to_pylist(), counts(asked["path"]))
         b.search()
         some = b.near > 0
-        return pa.table({"word": asked["word"].filter(pa.array(some)), "n_near": b.near[some], "form": pa.array([w for w in b.best if w is not None], pa.string()), "form_n": b.most[some]})
+        best = [b.ranked[k] for k in b.best[some]]
+        return pa.table({"word": asked["word"].filter(pa.array(some)), "n_near": b.near[some], "form": pa.array([b.words[k] for k in best], pa.string()), "form_n": b.n[best]})
 
     hits = dealt.groupBy("node", "held", "asked").applyInArrow(run, "word string, n_near long, form string, form_n long")
     best = F.min(F.struct((-F.col("form_n")).alias("rank"), "form"))

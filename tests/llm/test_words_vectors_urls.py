@@ -159,7 +159,7 @@ def test_parts_of_hot_branches(spark):
 
 
 def test_variants_of_odd_rows(spark):
-    rows = [(1, None), (2, ""), (3, "short words only"), (None, "abcdefg " * 6), (4, "ABCDEFG-" * 3), (4, "ABCDEFG-" * 3), (5, "zyxwvu" * 5000), (6, "\U0001f984abcdefh" * 40 + "Éabcdef" * 7 + "éabcdef" * 7)]
+    rows = [(1, None), (2, ""), (3, "short words only"), (None, "abcdefg " * 6), (4, "ABCDEFG-" * 3), (4, "ABCDEFG-" * 3), (5, "zyxwvu" * 5000), (7, ("ab" * 200 + " ") * 6 + ("ab" * 90 + "c" + "ab" * 110 + " ") * 40 + ("ab" * 90 + "bb" + "ab" * 109 + " ") * 5), (8, ("q" * 64 + " ") * 5 + ("q" * 65 + " ") * 5 + ("q" * 66 + " ") * 5), (6, "\U0001f984abcdefh" * 40 + "Éabcdef" * 7 + "éabcdef" * 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"word": F.lit("x"), "n": F.lit(1), "form": F.lit(None).cast("int")})
     assert as_plain(spelling_variants.variants(df)) == plain_variants(rows)
     assert spelling_variants.variants(df.limit(0)).collect() == [] and spelling_variants.variants(df.where("doc_id < 3")).collect() == []
@@ -167,11 +167,11 @@ def test_variants_of_odd_rows(spark):
 
 def test_one_edit_of_all_short_words():
     words = ["".join(w) for k in range(5) for w in itertools.product("ab", repeat=k)]
-    c, n = spelling_variants.codes(words)
+    c, n = spelling_variants.codes(words, 4)
     edits = lambda w: {w[:k] + x + w[k + d :] for k in range(len(w) + 1) for d in (0, 1) for x in ("", "a", "b")} - {w}
     for i, w in enumerate(words):
         got = spelling_variants.one_edit(np.repeat(c[[i]], len(words), axis=0), np.repeat(n[[i]], len(words)), c, n)
-        assert [words[k] for k in np.flatnonzero(got)] == [v for v in words if v in edits(w)]
+        assert [words[k] for k in np.flatnonzero(got)] == [v for v in words if v in edits(w)] == [v for v in words if spelling_variants.one_edit_apart(w, v)]
 
 
 # URL filters
