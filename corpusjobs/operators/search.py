@@ -132,33 +132,6 @@ def vector_drift(a: Column, b: Column) -> Column:
     return F.struct(delta.alias("max_delta"), cosine.alias("cosine"), ((delta > 0) & (F.abs(cosine - 1) < 1e-6)).alias("candidate"))
 
 
-def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str, dimensions: int, batch: int = 64, tries: int = 3) -> DataFrame:
-    """rows with `embedding`: each distinct text is embedded once, in batches, with bounded retries; a wrong count or dimension fails."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
-
-        for frame in batches:
-            out: list[list[float]] = []
-            for at in range(0, len(frame), batch):
-                texts = frame["own"].iloc[at : at + batch].tolist()
-                for left in reversed(range(tries)):
-                    try:
-                        got = embedder(texts)
-                        if len(got) != len(texts) or any(len(v) != dimensions for v in got):
-                            raise ValueError("the embedder returned other counts or dimensions")
-                        break
-                    except Exception:
-                        if not left:
-                            raise
-                        time.sleep(2 ** (tries - 1 - left) * 0.01)
-                out += got
-            yield pd.DataFrame({"own": frame["own"], "embedding": out})
-
-    distinct = rows.select(F.col(text).alias("own")).where("own is not null").distinct()
-    return rows.join(distinct.mapInPandas(run, "own string, embedding array<float>"), F.col(text) == F.col("own"), "left").drop("own")
-
-
 def ann_top_k(points: DataFrame, queries: DataFrame, k: int, recall: float = 0.95, others: bool = False, cells: int | None = None, probes: int | None = None, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """(query_id, id, score, place) as top_k(), looking only into the cells nearest to each query.
 

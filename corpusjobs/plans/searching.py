@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import scalars as S
+from corpusjobs.operators import calls
 from corpusjobs.operators import search as V
 from corpusjobs.plans.registry import query, table
+from corpusjobs.sources.shared import scratch
 
 #: Cosines of the queries (ids divisible by 20) with all points, in SQL.
 SCORES = "scores AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score, q.label = p.label AS same FROM embeddings q JOIN embeddings p ON q.vec_id % 20 = 0)"
@@ -93,15 +95,20 @@ def search_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(points(spark, sf_dir), "a", "s").join(hits(scaled, "b", "t"), "query_id").agg(F.count("*").alias("queries"), F.count_if(changed).alias("changed"), F.count_if(changed & (F.col("s") - F.col("t") < 1e-6)).alias("tied"))
 
 
-@query("SELECT doc_id, length(text) AS n, CAST(2 AS INTEGER) AS dimensions FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) % 97 <> 0 AND length(text) % 89 <> 0 THEN length(text) END AS n, CASE WHEN length(text) % 97 = 0 THEN 'CallError: HTTP 400' WHEN length(text) % 89 = 0 THEN 'CallError: HTTP 503' END AS embed_error FROM documents")
 def embed_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A caller's embedder over distinct texts; here it gives their length and half of it."""
-
-    def embedder(texts: list[str]) -> list[list[float]]:
-        return [[len(t), len(t) / 2] for t in texts]
-
-    found = V.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), embedder, "text", 2)
-    return found.select("doc_id", F.get("embedding", F.lit(0)).cast("long").alias("n"), F.size("embedding").alias("dimensions"))
+    """A caller's embedder over distinct texts; here it gives their length, and fails by rule: some texts for good, some to the last attempt, some once."""
+
+    def embedder(requests: list[tuple[str, int, str, str | None]]) -> list[list[float]]:
+        sizes = [len(r[2]) for r in requests]
+        if any(n % 97 == 0 for n in sizes):
+            raise calls.CallError("HTTP 400", 400)
+        if any(n % 89 == 0 or n % 83 == 0 and r[1] == 0 for n, r in zip(sizes, requests)):
+            raise calls.CallError("HTTP 503", 503)
+        return [[float(n)] for n in sizes]
+
+    found = calls.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), embedder, "text", 1, scratch(spark, "calls"), wait=lambda s: None)
+    return found.select("doc_id", F.get("embedding", F.lit(0)).cast("long").alias("n"), "embed_error")
 
 
 @query("SELECT label, CASE vec_id % 7 WHEN 0 THEN 'dimension' WHEN 1 THEN 'not finite' WHEN 2 THEN 'zero' WHEN 3 THEN 'id' WHEN 4 THEN 'payload' WHEN 5 THEN 'work id' END AS reason, count(*) AS n FROM embeddings GROUP BY ALL")

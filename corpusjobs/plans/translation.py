@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import scalars as S
+from corpusjobs.operators import calls, translation
 from corpusjobs.operators import corpus as C
 from corpusjobs.plans.registry import query, table
+from corpusjobs.sources.shared import scratch
 
 STATES = "rows AS (SELECT doc_id AS id, source AS dataset, text, CASE doc_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' WHEN 3 THEN 'failed' END AS status, doc_id % 4 AS retries FROM documents)"
 
@@ -67,29 +68,61 @@ def prefilter_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.when(F.size("kept") == 0, "empty").when(F.forall("kept", S.is_punctuation_only), "punctuation").alias("skipped"))
 
 
-def translated(docs: DataFrame) -> DataFrame:
-    """A caller's translator over the chunks of each row; here it puts a mark before the text."""
-
-    def translate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "chunk": b["chunk"], "lines": b["lines"].map(list)})
-
-    lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
-    chunks = lines.select("doc_id", "lines", F.posexplode(S.chunk_lines(F.col("lines"), 8, 600)).alias("chunk", "s")).select("doc_id", "chunk", F.slice("lines", F.col("s.from"), F.col("s.to") - F.col("s.from") + 1).alias("lines"))
-    out = chunks.mapInPandas(translate, "doc_id long, chunk int, lines array<string>")
-    return merge(out).select("doc_id", F.sha2(F.concat(F.lit("en: "), F.array_join("lines", "\n")), 256).alias("translation"), F.lit(1).alias("n"))
+def by_rule(requests: list[tuple[str, int, str, str | None]]) -> list[str]:
+    """A translator that puts a mark before each line, and fails by the number of characters it is given: see RULED."""
+    (_, attempt, request, hint) = requests[0]
+    lines = json.loads(request)
+    kind = sum(map(len, lines)) % 11
+    if kind == 0:
+        raise calls.CallError("HTTP 400: contentfilter", 400)
+    if kind == 1 and attempt == 0:
+        raise calls.CallError("HTTP 503", 503)
+    if kind == 4 and len(lines) == 1 or kind == 5 and len(lines) > 6:
+        return ["no JSON at all"]
+    said = [line if kind == 2 and hint is None else f"en: {line}" for line in lines]
+    if kind == 3 and len(lines) > 1:
+        said.pop()
+    return [json.dumps({"translation": {str(k + 1): x for k, x in enumerate(said)}, "interpretation": f"{len(lines)} lines"})]
+
+
+#: The same rules: what becomes of chunks of 8 lines, of single lines where the model leaves one out, and so of rows.
+RULED = r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*$')) AS lines FROM documents),
+p AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS k FROM l),
+o AS (SELECT doc_id, k // 8 AS chunk, k, line, length(line) % 11 AS kind FROM p),
+c AS (SELECT doc_id, chunk, count(*) AS n, sum(length(line)) % 11 AS kind FROM o GROUP BY ALL),
+s AS (SELECT doc_id, chunk, k, CASE kind WHEN 0 THEN 'skipped' WHEN 4 THEN 'failed' ELSE 'done' END AS state, CASE kind WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 4 THEN 3 ELSE 1 END AS calls FROM o),
+b AS (SELECT doc_id, chunk, coalesce(min_by(state, k) FILTER (state <> 'done'), 'done') AS state, sum(calls) AS calls FROM s GROUP BY ALL),
+t AS (SELECT doc_id, chunk, n, CASE WHEN c.kind = 0 THEN 'skipped' WHEN c.kind = 3 AND n > 1 THEN b.state WHEN c.kind = 4 AND n = 1 OR c.kind = 5 AND n > 6 THEN 'failed' ELSE 'done' END AS state,
+CASE WHEN c.kind = 3 AND n > 1 THEN 3 + b.calls WHEN c.kind IN (1, 2) THEN 2 WHEN c.kind = 4 AND n = 1 OR c.kind = 5 AND n > 6 THEN 3 ELSE 1 END AS calls,
+CASE WHEN c.kind = 3 AND n > 1 THEN array_to_string(list_transform(range(n), lambda x: '1 lines'), chr(10)) ELSE n || ' lines' END AS told FROM c JOIN b USING (doc_id, chunk)),
+r AS (SELECT doc_id, coalesce(min_by(state, chunk) FILTER (state <> 'done'), 'done') AS outcome, CAST(sum(calls) AS BIGINT) AS attempts, string_agg(told, chr(10) ORDER BY chunk) AS told FROM t GROUP BY doc_id),
+x AS (SELECT doc_id, string_agg('en: ' || regexp_replace(line, '\s+$', ''), chr(10) ORDER BY k) AS text FROM o GROUP BY doc_id)
+SELECT l.doc_id, coalesce(outcome, 'skipped') AS outcome, coalesce(attempts, 0) AS attempts, CASE WHEN outcome = 'done' THEN sha256(x.text) END AS translation, CASE WHEN outcome = 'done' THEN sha256(told) END AS interpretation FROM l LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+
+@query(RULED)
+def translate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row through a translator that fails by rule: outcomes, calls made, hashes of what was put together."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    found = translation.translate(docs, by_rule, scratch(spark, "calls"), "doc_id", retries=2, most_chars=10**9, wait=lambda s: None)
+    return found.select("doc_id", "outcome", "attempts", F.sha2(F.array_join("translation", "\n"), 256).alias("translation"), F.sha2("interpretation", 256).alias("interpretation"))
 
 
-@query("SELECT doc_id, 'en: ' || text AS translation, CAST(1 AS INTEGER) AS n FROM documents".replace("'en: ' || text", "sha256('en: ' || text)"))
-def translate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row through a caller's translator."""
-    return translated(table(spark, sf_dir, "documents"))
+def marked(requests: list[tuple[str, int, str, str | None]]) -> list[list[str]]:
+    """Puts a mark before the first line of a row's first chunk."""
+    lines = [(key, json.loads(request)) for key, _, request, _ in requests]
+    return [[f"en: {x[0]}", *x[1:]] if key.endswith(":0") else x for key, x in lines]
 
 
 @query()
 def translate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row translated."""
-    return translated(table(spark, sf_dir, "documents"))
+    """Every row through a caller's function that isn't checked, chunk by chunk."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    spans = docs.select("doc_id", "lines", F.posexplode(S.chunk_lines(F.col("lines"), 8, 600)).alias("chunk", "s"))
+    chunks = spans.select("doc_id", "chunk", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("key"), F.to_json(F.slice("lines", F.col("s.from"), F.col("s.to") - F.col("s.from") + 1)).alias("request"))
+    found = calls.answers(chunks.select("key", "request"), marked, scratch(spark, "calls"), "array<string>")
+    parts = chunks.select("doc_id", "chunk", "key").join(found.select("key", F.col("answer").alias("lines")), "key")
+    return merge(parts).select("doc_id", F.sha2(F.array_join("lines", "\n"), 256).alias("translation"), F.lit(1).alias("n"))
 
 
 def merge(chunks: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Reading and writing: the dataset registry, JSON files, logs, manifests, replaced tables."""
+"""Reading and writing: the dataset registry, JSON files, logs, manifests; tables that are replaced are in versions."""
 
 from __future__ import annotations
 
@@ -38,12 +38,6 @@ def read_json_records(files: DataFrame) -> DataFrame:
     return checked.select("file", F.posexplode(array).alias("pos", "json"))
 
 
-def replace_table(df: DataFrame, path: str, force: bool = False, by: str | None = "dataset") -> None:
-    """Writes a whole table; an existing one only with force, and then all or nothing per run of the writer."""
-    writer = df.write.mode("overwrite" if force else "errorifexists")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-
-
 def write_manifest(df: DataFrame, path: str, id_: str) -> None:
     """JSON lines in id order, in as many files as there are ranges."""
     df.repartitionByRange(id_).sortWithinPartitions(id_).write.mode("errorifexists").json(path)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from corpusjobs.operators import corpus as C
 from corpusjobs.operators import search as V
 from corpusjobs.sources import files
-from corpusjobs.streaming import jobs
 
 
 def test_registry_and_records(spark, tmp_path):
@@ -33,9 +32,6 @@ def test_manifest(spark, tmp_path):
     files.write_manifest(df.unionAll(df.limit(1)), str(tmp_path / "n"), "id")
     with pytest.raises(ValueError):
         files.read_manifest(spark, str(tmp_path / "n"), "id long, v string", "id")
-    files.replace_table(df.withColumn("dataset", F.lit("a")), str(tmp_path / "t"))
-    with pytest.raises(Exception, match="ALREADY_EXISTS"):
-        files.replace_table(df.withColumn("dataset", F.lit("a")), str(tmp_path / "t"))
 
 
 def test_split_works_are_checked(spark):
@@ -75,28 +71,6 @@ def test_vectors(spark):
     assert got[1][1] == pytest.approx([0.6, 0.8]) and got[4][1] == pytest.approx([0.5**0.5, -(0.5**0.5)]) and str(got[7][1][0]) == "0.0"
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([("p", 1, ["甲", "乙"], ["a", "b"], "done"), ("p", 2, ["丙"], ["c"], "done"), ("p", 3, ["丁"], ["d"], "pending")], "dataset string, id long, content array<string>, translation array<string>, translation_status string")
-    rows.write.parquet(str(tmp_path / "in"))
-    for _ in range(2):  # the second run has nothing to add
-        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-        jobs.stream_points(stream, str(tmp_path / "out"), str(tmp_path / "check"), "v1").awaitTermination()
-    key = lambda df: sorted(map(tuple, df.select("point_id", "work_id", "translation_hash").collect()))
-    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(jobs.index_points(rows, "v1"))
-    assert len(key(jobs.index_points(rows, "v1"))) == 3
-    jobs.upsert(jobs.index_points(rows, "v1").limit(1), str(tmp_path / "out"))  # a batch run again adds nothing
-    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(jobs.index_points(rows, "v1"))
-
-
-def test_streamed_windows_equal_batch(spark, sf, tmp_path):
-    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.write.parquet(str(tmp_path / "in"))
-    jobs.stream_stage_metrics(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "told", str(tmp_path / "check"), "1 hour").awaitTermination()
-    key = lambda df: {(str(r["start"]), r["event_type"], r["requests"]) for r in df.collect()}
-    told, whole = key(spark.table("told")), key(jobs.windowed(events, "1 hour"))
-    assert told <= whole and len(whole) - len(told) <= 20  # the last windows are still open
-
-
 def test_schema_and_export(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a"], ["b"], "done")], "id int, content array<string>, translation array<string>, translation_status string")
     files.validate_schema(df, "content")
