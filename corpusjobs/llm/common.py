@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusjobs.sources.shared import scratch, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "checkpointed", "let", "scratch", "shared_dir", "slices", "small", "table", "words"]
+
 #: A word is a run of characters other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,26 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the session names, else one in the warehouse.
-
-    Only where driver and executors are one process (local mode) and no folder is named, it is a temporary one.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        local = context.master == "local" or context.master.startswith("local[")
-        named = tempfile.mkdtemp(prefix="spark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
