@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusjobs.operators import reconcile
 from corpusjobs.plans.registry import query, table
 
 
@@ -35,6 +36,37 @@ def inventory_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("canonical"), F.count("stored").alias("stored"), F.count_if(F.col("hash") == F.col("stored")).alias("equal"))
 
 
+#: SQL of canonical payloads, and of stored ones with planted faults.
+PAYLOADS = """c AS (SELECT doc_id, json_object('dataset', source, 'row', doc_id, 'share', 0.5, 'work', json_object('id', source || ':' || doc_id, 'lang', lang), 'places', [n_chars, n_chars + 1, n_chars + 2]) AS payload, sha256(text) AS hash FROM documents),
+t AS (SELECT CASE WHEN doc_id % 16 = 7 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, json_merge_patch(payload, json_object('translation_hash', CASE WHEN doc_id % 16 = 4 THEN upper(hash) ELSE hash END), CASE doc_id % 16 WHEN 0 THEN '{"work": {"lang": null}}' WHEN 1 THEN '{"work": {"more": {"note": true}}}' WHEN 2 THEN json_object('row', CAST(doc_id AS VARCHAR)) WHEN 3 THEN json_object('places', [json_extract(payload, '$.places[0]'), -1, json_extract(payload, '$.places[2]')]) WHEN 5 THEN '{"poetry_api_schema": 1}' WHEN 8 THEN json_object('places', [json_extract(payload, '$.places[0]')]) WHEN 9 THEN '{"share": 1}' ELSE '{}' END) AS payload FROM c WHERE doc_id % 16 <> 6)"""
+
+
+@query(f"""WITH {PAYLOADS}, x AS (SELECT doc_id, fullkey AS path, CASE WHEN type LIKE '%BIGINT' THEN 'whole' ELSE type END AS type, atom FROM c, json_tree(c.payload) WHERE type NOT IN ('OBJECT', 'ARRAY')), y AS (SELECT doc_id, fullkey AS path, CASE WHEN type LIKE '%BIGINT' THEN 'whole' ELSE type END AS type, atom FROM t, json_tree(t.payload) WHERE type NOT IN ('OBJECT', 'ARRAY')),
+f AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.path, y.path) AS path, CASE WHEN y.path LIKE '$.poetry%' THEN 'owned' WHEN y.path IS NULL THEN 'missing' WHEN y.path = '$.translation_hash' THEN CASE WHEN NOT regexp_full_match(y.atom ->> '$', '[0-9a-f]{{64}}') THEN 'hash form' END WHEN x.path IS NULL THEN 'unknown' WHEN x.type <> y.type THEN 'type' WHEN x.atom <> y.atom THEN 'value' END AS kind FROM x FULL JOIN y ON x.doc_id = y.doc_id AND x.path = y.path WHERE coalesce(x.doc_id, y.doc_id) IN (SELECT doc_id FROM c) AND coalesce(x.doc_id, y.doc_id) IN (SELECT doc_id FROM t))
+SELECT doc_id, '$' AS path, CASE WHEN t.payload IS NULL THEN 'missing' ELSE 'unknown' END AS kind FROM c FULL JOIN t USING (doc_id) WHERE t.payload IS NULL OR c.payload IS NULL UNION ALL SELECT doc_id, path, kind FROM f WHERE kind IS NOT NULL""")
+def inventory_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored payloads against canonical ones, field by field; of sixteen points nine have a fault put into them, each another."""
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    k = i % 16
+    n = F.col("n_chars").cast("long")
+    variant = lambda c: F.to_variant_object(c)
+    work = F.struct(F.concat_ws(":", "source", i.cast("string")).alias("id"), F.col("lang"))
+    base = F.struct(F.col("source").alias("dataset"), i.alias("row"), F.lit(0.5).alias("share"), work.alias("work"), F.array(n, n + 1, n + 2).alias("places"))
+    canonical = docs.select("doc_id", F.to_json(variant(base)).alias("payload"))
+    hash_ = F.sha2("text", 256)
+    fault = lambda at, change: F.when(k == at, change)
+    texts = lambda c: F.to_json(variant(c))
+    row = F.coalesce(fault(2, F.concat(F.lit('"'), i.cast("string"), F.lit('"'))), i.cast("string"))
+    share = F.coalesce(fault(9, F.lit("1")), F.lit("0.5"))
+    places = F.coalesce(fault(3, texts(F.array(n, F.lit(-1).cast("long"), n + 2))), fault(8, texts(F.array(n))), texts(F.array(n, n + 1, n + 2)))
+    works = F.coalesce(fault(0, texts(F.struct(work["id"].alias("id")))), fault(1, texts(F.struct(work["id"].alias("id"), F.col("lang"), F.struct(F.lit(True).alias("note")).alias("more")))), texts(work))
+    digest = F.coalesce(fault(4, F.upper(hash_)), hash_)
+    extra = F.coalesce(fault(5, F.lit(',"poetry_api_schema":1')), F.lit(""))
+    json = F.concat(F.lit('{"dataset":'), F.to_json(F.col("source").cast("variant")), F.lit(',"row":'), row, F.lit(',"share":'), share, F.lit(',"work":'), works, F.lit(',"places":'), places, F.lit(',"translation_hash":"'), digest, F.lit('"'), extra, F.lit("}"))
+    stored = docs.where(k != 6).select(F.when(k == 7, i + 1_000_000_000).otherwise(i).alias("doc_id"), json.alias("payload"))
+    return reconcile.differences(canonical, stored, "doc_id", "payload", ["poetry_api_schema", "poetry_original", "poetry_work_document"], ["translation_hash"])
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'none' WHEN doc_id % 3 = 1 THEN 'complete' ELSE 'partial' END AS owned, doc_id % 10 <> 0 AS before_kept FROM documents")
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current fields against a manifest: the old ones must be unchanged; of the added ones all, some or none are there."""
