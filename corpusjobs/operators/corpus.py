@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import scalars as S
+from corpusjobs.operators import ordered
 
 STATUS = {"translation": "array<string>", "interpretation": "string", "translation_status": "string", "translation_error": "string", "translated_at": "timestamp", "translation_retry_count": "int"}
 
@@ -44,14 +45,8 @@ def body_lines(df: DataFrame, content: str, *order: str) -> DataFrame:
 
 
 def assign_row_ids(df: DataFrame, file: str, pos: str) -> DataFrame:
-    """Dense ids 1..n in (file, pos) order: places within a file, and the number of rows of the files before it.
-
-    Only the table of files passes through one window; rows aren't sorted.
-    """
-    files = df.groupBy(file).agg(F.count("*").alias("rows"))
-    before = files.select(file, (F.sum("rows").over(Window.orderBy(file)) - F.col("rows")).alias("before"))
-    place = F.row_number().over(Window.partitionBy(file).orderBy(pos))
-    return df.withColumn("place", place).join(before, file).withColumn("id", F.col("before") + F.col("place")).drop("place", "before")
+    """Dense ids 1..n in (file, pos) order; rows are counted in ranges of that order, so that a large file lies in many tasks."""
+    return ordered.running(df, [], [file, pos], {"id": F.lit(1)})
 
 
 def split_long(df: DataFrame, content: str, most_lines: int, most_chars: int, aligned: tuple[str, ...] = ()) -> DataFrame:

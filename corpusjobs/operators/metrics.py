@@ -10,16 +10,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusjobs.operators import ordered
 
-def counted(rows: DataFrame, by: list[str], value: str, kinds: dict[str, Column]) -> DataFrame:
-    """A row for each group and distinct value ("the value"), with how many rows of each kind have it, up to it, and in the whole group.
 
-    Equal values are counted before they are sorted; a group's distinct values pass through one sort, which may spill.
+#: Ranks of quantile sketches are right within this part of a group's rows.
+ACCURACY = 10_000
+
+
+def counted(rows: DataFrame, by: list[str], value: str, kinds: dict[str, Column], places: dict[str, list[float]]) -> DataFrame:
+    """Values ("the value") of each group around the given percentiles of its rows of each kind, with how many rows of the kind have it, up to it, and in the whole group.
+
+    Two passes. Sketches, which tasks merge, tell between which two values a percentile lies, up to a few ten-thousandths of the rows; then
+    rows between these values are counted by value, and all others only by the gap they fall in. So however large a group is, what one sort
+    sees of it is small. A group of up to 2 * ACCURACY rows is counted whole. "least" and "largest" are the group's ends.
     """
-    seen = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("the value")).agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
-    w = Window.partitionBy(*by).orderBy("the value")
-    upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return seen.withColumns({f"{k} upto": F.sum(k).over(upto) for k in kinds} | {f"{k} n": F.sum(k).over(whole) for k in kinds})
+    own = rows.where(F.col(value).isNotNull())
+    near = 3 / ACCURACY
+    of = lambda k: F.when(kinds[k], F.col(value))
+    sketch = {k: F.percentile_approx(of(k), [x for p in ps for x in (max(0.0, p - near), min(1.0, p + near))], ACCURACY).alias(f"{k} at") for k, ps in places.items()}
+    marks = own.groupBy(*[F.col(c).alias(f"{c} of") for c in by]).agg(F.count("*").alias("the count"), F.min(value).alias("least"), F.max(value).alias("largest"), *[F.count_if(c).alias(f"{k} n") for k, c in kinds.items()], *sketch.values())
+    cuts = F.array(*[F.struct(F.col(f"{k} at")[2 * i].alias("low"), F.col(f"{k} at")[2 * i + 1].alias("high")) for k, ps in places.items() for i in range(len(ps))])
+    whole = F.array(F.struct(F.col("least").alias("low"), F.col("largest").alias("high")))
+    marks = marks.withColumn("cuts", F.when(F.col("the count") <= 2 * ACCURACY, whole).otherwise(F.filter(cuts, lambda c: c["low"].isNotNull())))
+    match = F.lit(True)
+    for c in by:
+        match &= own[c].eqNullSafe(marks[f"{c} of"])
+    v = F.col(value)
+    inside = F.exists("cuts", lambda c: (c["low"] <= v) & (v <= c["high"]))
+    below = F.array_max(F.transform(F.filter("cuts", lambda c: c["high"] < v), lambda c: c["high"]))
+    dealt = own.join(marks.select(*[f"{c} of" for c in by], "cuts"), match).select(*[own[c] for c in by], *[c.alias(k) for k, c in kinds.items()], F.when(inside, v).alias("the value"), F.when(inside, v).otherwise(below).alias("after"))
+    seen = dealt.groupBy(*by, "the value", "after").agg(*[F.count_if(k).alias(k) for k in kinds])
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_first("after"), F.col("the value").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumns({f"{k} upto": F.sum(k).over(w) for k in kinds})
+    match = F.lit(True)
+    for c in by:
+        match &= seen[c].eqNullSafe(marks[f"{c} of"])
+    return seen.join(marks, match).where("`the value` is not null").select(*[seen[c] for c in by], "the value", *[F.col(f"{k} upto") for k in kinds], *[F.col(f"{k} n") for k in kinds], "least", "largest")
 
 
 def at_place(kind: str, place: Column) -> Column:
@@ -42,7 +68,7 @@ def nearest_rank(kind: str, p: float) -> Column:
 def stage_latency(outcomes: DataFrame, stage: list[str], seconds: str, ok: str, wall: Column) -> DataFrame:
     """Per stage: requests, passed, rate of passed, error rate, interpolated percentiles of passed and of all, the largest."""
     grouped = outcomes.groupBy(*stage).agg(F.count("*").alias("requests"), F.count_if(ok).alias("passed"), F.max(seconds).alias("slowest"), wall.alias("wall"))
-    places = counted(outcomes, stage, seconds, {"ok": F.col(ok), "all": F.lit(True)}).groupBy(*[F.col(c).alias(f"{c} of") for c in stage]).agg(
+    places = counted(outcomes, stage, seconds, {"ok": F.col(ok), "all": F.lit(True)}, {"ok": [0.5, 0.95, 0.99], "all": [0.95]}).groupBy(*[F.col(c).alias(f"{c} of") for c in stage]).agg(
         *[interpolated("ok", p).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)], interpolated("all", 0.95).alias("all_p95"),
     )
     same = [F.col(c).eqNullSafe(F.col(f"{c} of")) for c in stage]
@@ -55,8 +81,8 @@ def stage_latency(outcomes: DataFrame, stage: list[str], seconds: str, ok: str,
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, median, nearest-rank 95th percentile, least and largest; nulls and NaN don't count."""
     good = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    ends = [F.min("the value").alias("least"), F.max("the value").alias("largest")]
-    return counted(good, by, value, {"all": F.lit(True)}).groupBy(*by).agg(F.max("all n").alias("n"), interpolated("all", 0.5).alias("median"), nearest_rank("all", 0.95).alias("p95"), *ends)
+    ends = [F.first("least").alias("least"), F.first("largest").alias("largest")]
+    return counted(good, by, value, {"all": F.lit(True)}, {"all": [0.5, 0.95]}).groupBy(*by).agg(F.max("all n").alias("n"), interpolated("all", 0.5).alias("median"), nearest_rank("all", 0.95).alias("p95"), *ends)
 
 
 def resource_summary(samples: DataFrame, by: list[str], at: str, available: str, counter: str) -> DataFrame:
@@ -75,18 +101,22 @@ def samples_in_stage(samples: DataFrame, stages: DataFrame, at: str, start: str,
 
 
 def throughput_deltas(samples: DataFrame, run: str, at: str, done: str, failed: str) -> DataFrame:
-    """Rates between one sample and the next of a run; the first has rate 0, and no time counts as a millionth of a second."""
-    w = Window.partitionBy(run).orderBy(at, done)
+    """Rates between one sample and the next of a run; the first has rate 0, and no time counts as a millionth of a second.
+
+    A run may lie in many ranges, each with the last sample before it.
+    """
+    w = Window.partitionBy("part", run).orderBy(at, done)
     seconds = F.greatest((F.unix_micros(at) - F.lag(F.unix_micros(at)).over(w)) / 1e6, F.lit(1e-6))
     rate = {f"{c}_rate": F.coalesce((F.col(c) - F.lag(c).over(w)) / seconds, F.lit(0.0)) for c in (done, failed)}
-    return samples.withColumns(rate)
+    return ordered.with_halo(samples, [run], [at, done], 1).withColumns(rate).where("not halo").drop("part", "halo")
 
 
 def rolling_health(results: DataFrame, run: str, order: list[str], seconds: str, flags: list[str], n: int = 32) -> DataFrame:
-    """Rates of the flags and mean duration of the last n results; null until there are n."""
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(1 - n, 0)
+    """Rates of the flags and mean duration of the last n results; null until there are n. A run may lie in many ranges, each with the n - 1 results before it."""
+    w = Window.partitionBy("part", run).orderBy(*order).rowsBetween(1 - n, 0)
     full = F.count("*").over(w) == n
-    return results.withColumns({f"{f}_rate": F.when(full, F.avg(F.col(f).cast("double")).over(w)) for f in flags} | {"mean_seconds": F.when(full, F.avg(seconds).over(w))})
+    told = {f"{f}_rate": F.when(full, F.avg(F.col(f).cast("double")).over(w)) for f in flags} | {"mean_seconds": F.when(full, F.avg(seconds).over(w))}
+    return ordered.with_halo(results, [run], order, n - 1).withColumns(told).where("not halo").drop("part", "halo")
 
 
 def in_turn(rows: DataFrame, keys: int, start: Callable[[], Callable], made: str) -> DataFrame:
@@ -164,24 +194,3 @@ def token_bucket(arrivals: DataFrame, key: str, at: str, order: str, rate: float
         return ask
 
     return admitted(arrivals, key, at, order, start)
-
-
-def batches_by_bytes(rows: DataFrame, bucket: str, id_: str, size: str, most_rows: int = 128, most_bytes: int = 1_048_576) -> DataFrame:
-    """(bucket, id, size, batch): greedy batches in id order within each bucket; a row over the limit fails, a null size is 0."""
-
-    def start() -> Callable:
-        batch, n, total = 0, 0, 0
-
-        def ask(_: object, b: int | None) -> int:
-            nonlocal batch, n, total
-            b = b or 0
-            if b > most_bytes:
-                raise ValueError("a row is larger than a batch may be")
-            if n == most_rows or total + b > most_bytes:
-                batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + b
-            return batch
-
-        return ask
-
-    return in_turn(rows.select(bucket, id_, size), 1, start, "batch int")

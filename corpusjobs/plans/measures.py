@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusjobs.operators import metrics as M
+from corpusjobs.operators import ordered
 from corpusjobs.plans.registry import query, table
 
 
@@ -88,9 +89,11 @@ def tcp_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that did well on both sides: the difference of their medians, and as a share."""
     side = F.col("event_id") % 2
-    seen = M.counted(events(spark, sf_dir), ["user_id"], "value", {"direct": side == 0, "proxy": side == 1})
-    well = [F.sum(F.when(F.col("the value") < 95, F.col(k))).alias(f"{k}_well") for k in ("direct", "proxy")]
-    node = seen.groupBy("user_id").agg(*[M.interpolated(k, 0.5).alias(f"{k}_median") for k in ("direct", "proxy")], *well)
+    kinds = {"direct": side == 0, "proxy": side == 1}
+    rows = events(spark, sf_dir)
+    well = rows.groupBy("user_id").agg(*[F.count_if(c & (F.col("value") < 95)).alias(f"{k}_well") for k, c in kinds.items()])
+    medians = M.counted(rows, ["user_id"], "value", kinds, {k: [0.5] for k in kinds}).groupBy("user_id").agg(*[M.interpolated(k, 0.5).alias(f"{k}_median") for k in kinds])
+    node = medians.join(well, "user_id")
     difference = F.col("direct_median") - F.col("proxy_median")
     return node.where("direct_well >= 3 and proxy_well >= 3").select("user_id", difference.alias("difference"), F.try_divide(100 * difference, F.col("proxy_median")).alias("percent"))
 
@@ -168,13 +171,11 @@ def oversize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes")).where("bytes >= 20000")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, strlen(text) AS bytes, row_number() OVER (ORDER BY doc_id) AS k FROM documents), g AS (SELECT k, bytes AS total, 1 AS n, 0 AS batch FROM d WHERE k = 1 UNION ALL SELECT d.k, CASE WHEN n = 128 OR total + bytes > 1048576 THEN bytes ELSE total + bytes END, CASE WHEN n = 128 OR total + bytes > 1048576 THEN 1 ELSE n + 1 END,
+CASE WHEN n = 128 OR total + bytes > 1048576 THEN batch + 1 ELSE batch END FROM g JOIN d ON d.k = g.k + 1) SELECT doc_id, bytes, CAST(batch AS BIGINT) AS batch FROM g JOIN d USING (k)""")
 def byte_bounded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of at most 128 rows and 1 MiB in each bucket of about 10,000 rows, 64 buckets at least; tested against a loop."""
-    docs = table(spark, sf_dir, "documents")
-    buckets = max(64, docs.count() // 10_000)
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", F.octet_length("text").cast("long").alias("bytes"))
-    return M.batches_by_bytes(rows, "bucket", "doc_id", "bytes")
+    """Batches of at most 128 rows and 1 MiB in the order of ids."""
+    return ordered.batches(table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes")), "doc_id", "bytes")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 100 AND event_type = 'purchase'")

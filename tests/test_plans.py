@@ -70,12 +70,6 @@ def test_budgets(spark, sf, duck):
     assert {r["event_id"]: r["admitted"] for r in QUERIES["token_bucket_replay"](spark, sf).collect()} == bucket
 
 
-def test_batches(spark, sf):
-    rows = QUERIES["byte_bounded_batches"](spark, sf).toPandas()
-    sums = rows.groupby(["bucket", "batch"])["bytes"].agg(["sum", "count"])
-    assert (sums["sum"] <= 1_048_576).all() and (sums["count"] <= 128).all()
-
-
 def test_whole_tables(spark, sf, duck):
     """Every document, sentence, source and language is in the queries named _all."""
     import collections
