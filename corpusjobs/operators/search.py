@@ -16,8 +16,8 @@ from corpusjobs.functions import scalars as S
 
 #: A UUID in its canonical form.
 UUID = r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
-#: Queries whose vectors travel with the tasks at once; more are searched in further blocks.
-QUERY_BLOCK = 4096
+#: Queries and points that meet in one task at once.
+QUERY_BLOCK, POINT_BLOCK = 4_096, 32_768
 #: Queries that approximate search also searches exactly, to learn how many cells it must look into.
 MEASURED = 512
 
@@ -73,39 +73,67 @@ def decode_base64_vectors(text: pd.Series) -> pd.Series:
 decode_base64_vector = F.pandas_udf(decode_base64_vectors, T.ArrayType(T.FloatType()))
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """(query_id, id, score, place): the k points of highest cosine for each query, ties by id.
+def first_k(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores of each row with their ids, highest first, ties by id."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        rows, columns = np.nonzero(scores >= least[:, None])
+    else:
+        rows, columns = (x.ravel() for x in np.indices(scores.shape))
+    found, named = scores[rows, columns], ids[rows, columns]
+    order = np.lexsort((named, -found, rows))
+    rows = rows[order]
+    kept = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+    return found[kept].reshape(len(scores), -1), named[kept].reshape(len(scores), -1)
 
-    Queries travel to the tasks in blocks of about a fixed size, dealt by hash, and the driver reads one block at
-    a time; each task keeps k points for a query, and only these are shuffled. Points or queries that can't be normalised are left out.
+
+def best_of_blocks(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a block of queries and a block of points (id, vector): the k points nearest to each query."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+        if not asked.num_rows or not held.num_rows:
+            return out.empty_table()
+
+        def unit(t: pa.Table) -> np.ndarray:
+            x = np.stack(t.column("vec").to_numpy()).astype(np.float64)
+            return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+
+        q, ids = unit(asked), asked.column("own").to_numpy()
+        best_s, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
+        for at in range(0, held.num_rows, 4096):
+            part = held.slice(at, 4096)
+            scores, names = q @ unit(part).T, part.column("own").to_numpy()
+            best_s, best_i = first_k(np.concatenate([best_s, scores], axis=1), np.concatenate([best_i, np.broadcast_to(names, scores.shape)], axis=1), k)
+        return pa.Table.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], schema=out)
+
+    return run
+
+
+def top_k(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", scope: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, score, place): the k points of highest cosine for each query, ties by id, of those that agree with it in the columns of `scope`.
+
+    Points and queries are dealt into blocks, scope by scope, and each block of queries meets each block of points of its scope
+    by one shuffle on their numbers. A meeting keeps k points for a query. So there is one scan of either side and one job, however many queries
+    there are, and a task holds two blocks. Points or queries that can't be normalised, and those with a null in their scope, are left out.
     """
-    spark = points.sparkSession
-    asked = queries.select(query_id, vector).where(vector_reason(F.col(vector)).isNull())
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block).toPandas()
-        ids, q = part[query_id].to_numpy(), np.stack(part[vector].to_list()).astype(np.float64) if len(part) else np.empty((0, 1))
-        sent = spark.sparkContext.broadcast((ids, q / np.sqrt((q**2).sum(axis=1, keepdims=True)) if len(part) else q))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            best_s, best_i = np.full((len(ids), 0), -2.0), np.full((len(ids), 0), 0)
-            for b in batches:
-                x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64) if b.num_rows else np.empty((0, q.shape[1]))
-                if not len(x) or not len(ids):
-                    continue
-                x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
-                s = np.concatenate([best_s, q @ x.T], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(b.column(0).to_numpy(), (len(ids), len(x)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(best_i.ravel(), pa.int64()), pa.array(best_s.ravel(), pa.float64())], names=["query_id", "id", "score"])
-
-        usable = points.select(F.col(id_).cast("long"), vector).where(vector_reason(F.col(vector)).isNull())
-        one = usable.mapInArrow(run, "query_id long, id long, score double")
-        found = one if found is None else found.unionAll(one)
+
+    of = {f"scope {k}": F.col(c).alias(f"scope {k}") for k, c in enumerate(scope)} | {"all": F.lit(0).alias("all")}
+
+    def dealt(df: DataFrame, own: str, rows: int, name: str) -> tuple[DataFrame, DataFrame]:
+        """The usable rows, and into how many blocks those of each scope are cut."""
+        usable = df.where(vector_reason(F.col(vector)).isNull()).select(F.col(own).cast("long").alias("own"), F.col(vector).alias("vec"), *of.values())
+        return usable, usable.groupBy(*of).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+
+    held, parts = dealt(points, id_, POINT_BLOCK, "parts")
+    asked, blocks = dealt(queries, query_id, QUERY_BLOCK, "blocks")
+    sizes = parts.join(blocks, [*of])  # a row for each scope that both sides have
+    number = lambda c: F.pmod(F.xxhash64("own"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    keys = [*of, "block", "part"]
+    left = asked.join(sizes, [*of]).withColumns({"block": number("blocks"), "part": every("parts")}).select("own", "vec", *keys)
+    right = held.join(sizes, [*of]).withColumns({"part": number("parts"), "block": every("blocks")}).select("own", "vec", *keys)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best_of_blocks(k), "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 

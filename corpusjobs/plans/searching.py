@@ -29,6 +29,15 @@ def vector_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 1).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@query("SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings p ON q.vec_id % 20 = 0 AND q.label = p.label AND p.vec_id % 2 = CASE WHEN q.vec_id % 40 = 0 THEN 1 ELSE 0 END)) WHERE k <= 3")
+def vector_top_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hits of each query among the points of its dataset (the label) and of the generation it asks for; half of the queries ask for each of two."""
+    generation = lambda odd: F.when(odd, "v1").otherwise("v2").alias("generation")
+    held = points(spark, sf_dir).select("vec_id", "embedding", F.col("label").alias("dataset"), generation(F.col("vec_id") % 2 == 1))
+    asking = points(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("dataset"), generation(F.col("vec_id") % 40 == 0))
+    return V.top_k(held, asking, 3, scope=("generation", "dataset")).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {SCORES} SELECT query_id, max(score) AS score, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM scores) WHERE k <= 5 GROUP BY query_id")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 5)

@@ -112,5 +112,29 @@ def test_top_k_in_blocks(spark, sf, monkeypatch):
     key = lambda df: sorted((r["query_id"], r["place"], r["id"]) for r in df.collect())
     whole = key(V.top_k(points, asked, 3))
     monkeypatch.setattr(V, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(V, "POINT_BLOCK", 60)
     assert key(V.top_k(points, asked, 3)) == whole and len(whole) == 3 * asked.count()
     assert key(V.top_k(points, asked.where("false"), 3)) == []
+
+
+def test_top_k_in_scopes(spark, monkeypatch):
+    """Points of other generations or datasets, or of none, are never hits; ties go by id; one scope has most points."""
+    import numpy as np
+
+    monkeypatch.setattr(V, "POINT_BLOCK", 50)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    x = np.random.default_rng(2).integers(-2, 3, size=(400, 3)).astype(np.float64)
+    rows = [(k, v.tolist(), "v1" if k % 3 else "v2", "big" if k % 10 else None if k % 20 else "small") for k, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "vec_id long, embedding array<double>, generation string, dataset string")
+    asked = points.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for r in V.top_k(points, asked, 4, scope=("generation", "dataset")).orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    unit = {k: v / np.linalg.norm(v) for k, v, _, _ in ((k, np.array(v), g, d) for k, v, g, d in rows) if np.linalg.norm(v)}
+    want = {}
+    for q, _, g, d in rows:
+        if q % 4 == 0 and q in unit and d:
+            near = [(-round(float(unit[q] @ unit[p]), 12), p) for p, _, h, e in rows if (h, e) == (g, d) and p in unit]
+            want[q] = [p for _, p in sorted(near)[:4]]
+    assert got.keys() == want.keys()
+    assert all(sorted(round(float(unit[q] @ unit[p]), 9) for p in got[q]) == sorted(round(float(unit[q] @ unit[p]), 9) for p in want[q]) for q in want)
