@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusjobs.operators import reconcile
+from corpusjobs.operators import known, reconcile
 from corpusjobs.plans.registry import query, table
+from corpusjobs.sources.shared import scratch
 
 
 def points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -22,11 +23,13 @@ TARGET = "s AS (SELECT doc_id, source, sha256(text) AS hash FROM documents), t A
 
 @query(f"WITH {TARGET} SELECT coalesce(s.doc_id, t.doc_id) AS doc_id, CASE WHEN t.doc_id IS NULL THEN 'missing' WHEN s.doc_id IS NULL THEN 'unknown' ELSE 'changed' END AS state FROM s FULL JOIN t ON s.doc_id = t.doc_id WHERE s.doc_id IS NULL OR t.doc_id IS NULL OR s.hash <> t.hash")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids that one side lacks, and those whose content differs; only hashes cross the shuffle."""
+    """Ids that one side lacks, and those whose content differs: both sides are written with trees of digests, and rows are read from leaves that differ."""
     a, b = points(spark, sf_dir)
-    both = a.select("doc_id", F.col("hash").alias("a")).join(b.select("doc_id", F.col("hash").alias("b")), "doc_id", "full_outer")
-    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "unknown").when(F.col("a") != F.col("b"), "changed")
-    return both.select("doc_id", state.alias("state")).where("state is not null")
+    place = scratch(spark, "snapshots")
+    for name, side in (("a", a), ("b", b)):
+        known.write_with_digests(side.select("doc_id", "hash"), f"{place}/{name}", "doc_id", "hash")
+    both = known.difference(spark, f"{place}/a", f"{place}/b", "doc_id", "hash")
+    return both.select("doc_id", F.when(~F.col("in b"), "missing").when(~F.col("in a"), "unknown").otherwise("changed").alias("state"))
 
 
 @query(f"WITH {TARGET} SELECT s.source AS dataset, count(*) AS canonical, count(t.doc_id) AS stored, count(*) FILTER (s.hash = t.hash) AS equal FROM s LEFT JOIN t USING (doc_id) GROUP BY s.source")
@@ -84,15 +87,14 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What isn't indexed yet."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    return docs.join(docs.where("doc_id % 4 = 1"), "doc_id", "left_anti")
+    return known.lacking(docs, docs.where("doc_id % 4 = 1"), "doc_id")
 
 
 @query(f"WITH {TARGET} SELECT doc_id, hash FROM t UNION ALL SELECT doc_id, hash FROM s WHERE doc_id NOT IN (SELECT doc_id FROM t)")
 def upsert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored points with the new ones in place of those with the same id; of repeated ids one stays."""
     old, new = points(spark, sf_dir)
-    new = new.dropDuplicates(["doc_id"])
-    return new.unionByName(old.join(new, "doc_id", "left_anti")).select("doc_id", "hash")
+    return known.upserted(old, new, "doc_id").select("doc_id", "hash")
 
 
 @query(f"WITH {TARGET} SELECT (SELECT count(*) FROM (SELECT doc_id FROM s EXCEPT SELECT doc_id FROM t)) AS missing, (SELECT count(*) FROM (SELECT doc_id FROM t EXCEPT SELECT doc_id FROM s)) AS extra, (SELECT count(*) FROM s) AS ours, (SELECT count(*) FROM t) AS theirs")
