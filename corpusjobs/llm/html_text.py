@@ -10,8 +10,10 @@ heading or list item with such a name is only in doubt.
 
 Each line's ratio of characters to tags is smoothed with a Gaussian over its neighbours; lines at or
 over a share of the standard deviation form clusters. The element that holds most of the clustered text
-is the content region: an article or main element where one holds a good part of it, else the innermost
-element with nearly all of it, from its first cluster to its last. In the region, a line that is in
+is the content region: an article or main element where one holds a good part of it (and others that lie beside
+it and do so too, in page order), else the innermost element with nearly all of it, or one around it if what that
+adds is mostly in clusters too. Such an element is taken whole, headings and short paragraphs with it; if only the body is left, or
+most of the element is in no cluster, it is taken from its first cluster to its last. In the region, a line that is in
 doubt, or that is one of several lines of links, stays only if it is in a cluster; of links in a row it
 is their own ratio that counts, since the text beside them would lift them.
 
@@ -115,7 +117,7 @@ class Lines(HTMLParser):
 
     def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         self.comments = False
-        if tag in DROPPED or tag == "header" and not any(t == "article" for t, _ in self.open):
+        if tag in DROPPED or tag == "header" and not any(t in ("article", "main") for t, _ in self.open):
             return True
         if tag in ("html", "body", "main", "header") or not attrs:
             return False
@@ -197,18 +199,27 @@ def extract(page: str | None) -> str:
     chosen &= ~row | clustered(own, smooth=False)
     stays = chosen | ~(row | np.array([line[3] for line in lines]))
     held: dict[int, float] = {}  # clustered characters in each sectioning element
-    for k in np.flatnonzero(chosen):
-        for n in lines[k][4]:
-            held[n] = held.get(n, 0.0) + sizes[k]
+    whole: dict[int, float] = {}  # all characters
+    around: dict[int, int | None] = {}  # the sectioning element around each
+    for k, line in enumerate(lines):
+        for outer, n in zip((None, *line[4]), line[4]):
+            held[n] = held.get(n, 0.0) + sizes[k] * chosen[k]
+            whole[n] = whole.get(n, 0.0) + sizes[k]
+            around[n] = outer
     most = float(sizes[chosen].sum())
     named = [n for n in held if parser.kinds[n] in ("article", "main") and held[n] >= 0.3 * most]
-    if named:  # the largest; of nested ones the innermost that has most of the outer one's text
+    if named:  # the largest, and others that lie beside it; of nested ones the innermost that has most of the outer one's text
         best = max(named, key=lambda n: held[n])
         for n in sorted(named):
             if n > best and held[n] >= 0.6 * held[best] and any(best in line[4] and n in line[4] for line in lines):
                 best = n
-        return "\n".join(line[0] for k, line in enumerate(lines) if best in line[4] and stays[k])
+        articles = {n for n in named if n == best or not any(n in line[4] and best in line[4] for line in lines)}
+        return "\n".join(line[0] for k, line in enumerate(lines) if articles & {*line[4]} and stays[k])
     best = max((n for n in held if held[n] >= 0.8 * most), default=None)  # the innermost with nearly all of it
+    while best is not None and (outer := around[best]) is not None and parser.kinds[outer] != "body" and held[outer] - held[best] >= 0.5 * (whole[outer] - whole[best]):
+        best = outer  # what lies around it is mostly content too
+    if best is not None and parser.kinds[best] != "body" and held[best] >= 0.5 * whole[best]:
+        return "\n".join(line[0] for k, line in enumerate(lines) if best in line[4] and stays[k])
     region = [k for k in range(len(lines)) if best is None or best in lines[k][4]]
     kept = [k for k in region if chosen[k]] or region
     return "\n".join(lines[k][0] for k in region if kept[0] <= k <= kept[-1] and stays[k])

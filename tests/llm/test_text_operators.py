@@ -1,13 +1,16 @@
 """SentencePiece, token records, language ID, HTML and the hidden Markov model against the libraries and brute force."""
 
 import hashlib
+import html
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,7 +46,6 @@ def test_pieces_equal_the_library(pieces):
 
 
 def test_pieces_of_documents_equal_the_library(pieces, sf):
-    import pyarrow.parquet as pq
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
@@ -208,16 +210,50 @@ def test_names_drop_no_paragraph_of_an_article():
     assert html_text.extract(page).split("\n") == [LONG.strip(), "We search for truth", "Soup", LONG.strip(), LONG.strip()]
 
 
-def test_main_text_of_pages_is_their_article(spark, sf):
-    import html
-    import re
+def article_of(page):
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = re.split(r"</?(?:p|h\d|ul|ol|li|div|table|tr|td|th|blockquote|pre)\b[^>]*>", re.sub(r"<!--.*?-->|<(script|style|form|aside|nav)\b.*?</\1>", "", body, flags=re.S))
+    plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br[^>]*>", " ", b))).split()) for b in blocks]
+    return [b for b in plain if b]
+
 
+def test_main_text_of_pages_is_their_article(spark, sf):
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect()}
     for r in html_text.main_texts(spark.createDataFrame(list(pages.values()))).collect():
-        body = re.search(r"<article>(.*?)</article>", pages[r["page_id"]]["html"], re.S)[1]
-        blocks = re.split(r"</?(?:p|h\d|ul|ol|li|div|table|tr|td|th|blockquote|pre)\b[^>]*>", re.sub(r"<!--.*?-->|<(script|style|form|aside|nav)\b.*?</\1>", "", body, flags=re.S))
-        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br[^>]*>", " ", b))).split()) for b in blocks]
-        assert r["text"] == "\n".join(b for b in plain if b) and r["n_chars"] == len(r["text"])
+        assert r["text"] == "\n".join(article_of(pages[r["page_id"]]["html"])) and r["n_chars"] == len(r["text"])
+
+
+def test_clusters_find_the_article_without_names(sf, monkeypatch):
+    """With article and main made div, and then menus, headers and footers too, it is ratios, smoothing and clusters that tell."""
+    pages = [r["html"] for r in pq.read_table(f"{sf.replace('0.001', '0.01')}/pages.parquet", columns=["html"]).to_pylist()]
+
+    def found(names):
+        """Pages with exactly their article, lines of articles that were lost, other lines."""
+        same = lost = other = 0
+        for page in pages:
+            want, got = article_of(page), html_text.extract(re.sub(rf"<(/?)({names})\b", r"<\1div", page)).split("\n")
+            same, lost, other = same + (want == got), lost + len(set(want) - set(got)), other + len(set(got) - set(want))
+        return same, lost, other
+
+    assert found("article|main") == (250, 0, 0)
+    every = "article|main|nav|header|footer|aside"
+    same, lost, other = found(every)
+    assert same >= 244 and lost == 0 and other <= 6
+    smoothed = html_text.smoothed
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios, sigma=1.0: ratios)
+    less, missing, _ = found(every)
+    assert less < same and missing > 0
+    monkeypatch.setattr(html_text, "smoothed", smoothed)
+    monkeypatch.setattr(html_text, "clustered", lambda ratios, smooth=True: np.ones(len(ratios), bool))
+    less, _, more = found(every)
+    assert less < same and more > 100
+
+
+def test_several_articles_and_headers_in_main():
+    page = f"<main><header><h1>Title</h1></header><article><p>{LONG}</p></article><aside>{LONG}</aside><article><p>{LONG}</p><p>Short.</p></article></main><article><p>teaser</p></article>"
+    assert html_text.extract(page).split("\n") == ["Title", LONG.strip(), LONG.strip(), "Short."]
+    page = f"<div><article><p>{LONG}</p></article><ul>{LINKS}</ul><article><p>{LONG}</p><p>Short.</p></article><article><p>teaser</p></article></div>"
+    assert html_text.extract(page).split("\n") == [LONG.strip(), LONG.strip(), "Short."]
 
 
 def test_main_text_of_a_very_long_page(spark):
