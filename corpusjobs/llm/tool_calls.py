@@ -7,9 +7,9 @@ string, integer, number, boolean, array, object.
 
 Calls and results meet in a hash join on (conv_id, call_id). A call's level is 0 if it waits for no known
 call, else one more than the highest level it waits for; calls in a circle have none (null). In
-conversations where each call waits for one other at most, levels come from doubled pointers; in others of
-up to IN_ROW calls from one pass over the calls by turn; what these leave (longer conversations, calls that
-wait for later turns, circles) from rounds in which calls whose parents all have levels get theirs. Arguments
+conversations where each call waits for one other at most, levels come from doubled pointers; in others from passes
+over blocks of calls within a row, whichever turns they wait for. Only where such a conversation has more than BLOCK
+calls are there further rounds, one each time that a chain of calls goes on in another block. Arguments
 that aren't a JSON object, lack a required parameter, have one of another type or one that the schema
 doesn't name, and calls of unknown tools, are invalid, with the reasons. Canonical JSON has its keys in
 order at every depth and no white space.
@@ -31,10 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusjobs.llm.common import checkpointed, let, small
+from corpusjobs.operators import ordered
 
 KEY = ["conv_id", "call_id"]
-#: Calls of a conversation that are ordered within one row; beyond it, and for what one pass leaves, rounds do it.
-IN_ROW = 1_000
+#: Calls of a conversation that are ordered within one row at most; it bounds a row, longer conversations have several.
+BLOCK = 1_000
 #: For each type of a schema, what a JSON value of it is called.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY<.*", "object": "OBJECT<.*"}
 
@@ -59,35 +60,74 @@ def levels(calls: DataFrame) -> DataFrame:
     several = nodes.where("most > 1")
     if not several.limit(1).count():
         return found
-    inside = several.where(F.col("calls") <= IN_ROW).select(*KEY, "turn")
-    beyond = several.where(F.col("calls") > IN_ROW).select(*KEY, F.when(F.col("waits").isNull(), 0).alias("level"))
-    state = checkpointed(row_levels(inside, edges).unionByName(beyond))
-    left = state.where("level is null").count()
-    while left:
-        parents = state.select("conv_id", F.col("call_id").alias("parent"), F.col("level").alias("above"))
-        waiting = edges.join(state.where("level is null").select(*KEY), KEY, "left_semi").join(parents, ["conv_id", "parent"])
-        ready = waiting.groupBy(*KEY).agg(F.max("above").alias("highest"), F.count_if(F.col("above").isNull()).alias("open")).where("open = 0")
-        state = checkpointed(state.join(ready, KEY, "left").select(*KEY, F.coalesce("level", F.col("highest") + 1).alias("level")))
-        before, left = left, state.where("level is null").count()
-        if left == before:
-            break
-    return found.unionByName(state)
+    return found.unionByName(block_levels(several.select(*KEY, "turn"), edges))
+
+
+def relaxed(calls: Column) -> Column:
+    """Levels of the calls of a block, in their order: of (call_id, parents in the block, highest level of parents elsewhere, whether one of these is open).
+
+    A call gets its level once all its parents have theirs; passes over the block go on until one changes nothing. What is then null
+    waits for a circle, or for a call elsewhere that is open. A pass goes through the calls forwards and then backwards.
+    """
+    names = F.transform(calls, lambda c: c["call_id"])
+    waits = let(names, lambda n: F.transform(calls, lambda c: F.struct(F.transform(c["parents"], lambda p: F.array_position(n, p).cast("int") - 1).alias("at"), c["high"].alias("high"), c["open"].alias("open"))))
+
+    def passed(w: Column, level: Column, last: Column | None) -> Column:
+        """One pass, in the order of the calls, or from the last one backwards; it sees what it has found on its way."""
+
+        def one(found: Column, k: Column) -> Column:
+            x = F.get(w, k)
+            mine = lambda p: F.get(found, p if last is None else last - p)
+            above = F.transform(x["at"], lambda p: F.coalesce(mine(p), F.get(level, p)))
+            ready = ~x["open"] & ~F.exists(above, lambda v: v.isNull())
+            return F.coalesce(F.get(level, k), F.when(ready, F.coalesce(F.greatest(F.array_max(above), x["high"]) + 1, F.lit(0))))
 
+        places = F.sequence(F.lit(0), F.size(w) - 1) if last is None else F.sequence(last, F.lit(0), F.lit(-1))
+        found = F.aggregate(places, F.array().cast("array<int>"), lambda f, k: F.concat(f, F.array(one(f, k))))
+        return found if last is None else F.reverse(found)
 
-def row_levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """Levels by one pass over the calls of a conversation by turn; null for calls that wait, at whatever remove, for a later one."""
-    parents = edges.groupBy(*KEY).agg(F.collect_list("parent").alias("parents"))
-    call = F.struct("turn", "call_id", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
-    rows = ids.join(parents, KEY, "left").groupBy("conv_id").agg(F.sort_array(F.collect_list(call)).alias("calls"))
-    names = rows.select("conv_id", "calls", F.transform("calls", lambda c: c["call_id"]).alias("names"))
-    waits = F.transform("calls", lambda c: F.transform(c["parents"], lambda p: F.array_position("names", p) - 1))
+    def step(w: Column) -> Column:
+        start = F.struct(F.transform(w, lambda _: F.lit(None).cast("int")).alias("level"), F.lit(True).alias("moved"))
 
-    def appended(found: Column, parents: Column) -> Column:
-        above = F.transform(parents, lambda k: F.get(found, k.cast("int")))
-        return F.concat(found, F.array(F.when(F.exists(above, lambda x: x.isNull()), F.lit(None).cast("int")).otherwise(F.coalesce(F.array_max(above) + 1, F.lit(0)))))
+        def again(a: Column, _: Column) -> Column:
+            def told(new: Column) -> Column:
+                left = lambda x: F.size(F.filter(x, lambda v: v.isNull()))
+                return F.struct(new.alias("level"), (left(new) < left(a["level"])).alias("moved"))
 
-    passed = let(waits, lambda w: F.aggregate(w, F.array().cast("array<int>"), appended))
-    return names.select("conv_id", F.explode(F.arrays_zip(F.col("names"), passed.alias("level"))).alias("of")).select("conv_id", F.col("of.names").alias("call_id"), "of.level")
+            both = let(passed(w, a["level"], None), lambda up: passed(w, up, F.size(w) - 1))
+            return F.when(a["moved"], let(both, told)).otherwise(a)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(w)), start, again, lambda a: a["level"])
+
+    return let(waits, step)
+
+
+def block_levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels where calls wait for several others: each block of up to BLOCK calls of a conversation, by turn, is ordered within one row.
+
+    Calls of other blocks are asked in rounds; there is one round if no conversation has more than one block, and else as many as chains of calls go from block to block.
+    """
+    placed = ordered.running(ids, ["conv_id"], ["turn", "call_id"], {"place": F.lit(1)}).select(*KEY, F.floor((F.col("place") - 1) / BLOCK).alias("block"))
+    placed = checkpointed(placed)
+    of = placed.select("conv_id", F.col("call_id").alias("parent"), F.col("block").alias("block of"))
+    joined = edges.join(placed, KEY).join(of, ["conv_id", "parent"])
+    inner = joined.where("block = `block of`").groupBy(*KEY).agg(F.collect_list("parent").alias("parents"))
+    outer = checkpointed(joined.where("block != `block of`").select(*KEY, "parent"))
+    nodes = checkpointed(placed.join(inner, KEY, "left").select(*KEY, "block", F.coalesce("parents", F.array().cast("array<string>")).alias("parents")))
+    several, state, left = not outer.isEmpty(), None, -1
+    while True:
+        if state is None:
+            beyond = outer.select(*KEY).distinct().select(*KEY, F.lit(None).cast("int").alias("high"), F.lit(True).alias("open"))
+        else:
+            above = state.select("conv_id", F.col("call_id").alias("parent"), "level")
+            beyond = outer.join(above, ["conv_id", "parent"]).groupBy(*KEY).agg(F.max("level").alias("high"), (F.count_if(F.col("level").isNull()) > 0).alias("open"))
+        call = F.struct("call_id", "parents", "high", F.coalesce("open", F.lit(False)).alias("open"))
+        blocks = nodes.join(beyond, KEY, "left").groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(call)).alias("calls"))
+        told = blocks.select("conv_id", F.explode(F.arrays_zip(F.transform("calls", lambda c: c["call_id"]).alias("call_id"), relaxed(F.col("calls")).alias("level"))).alias("of"))
+        state = checkpointed(told.select("conv_id", "of.call_id", "of.level"))
+        before, left = left, state.where("level is null").count() if several else 0
+        if not left or left == before:
+            return state
 
 
 def chain_levels(ids: DataFrame) -> DataFrame:

@@ -357,10 +357,10 @@ def plain_levels(after):
     return {c: done.get(c) for c in after}
 
 
-@pytest.mark.parametrize("in_row", [1000, 8])
-def test_levels_of_random_chats(spark, monkeypatch, in_row):
+@pytest.mark.parametrize("block", [1000, 3])
+def test_levels_of_random_chats(spark, monkeypatch, block):
     """Chains, several parents, calls that wait for later turns, circles and unknown ids, against a plain loop."""
-    monkeypatch.setattr(tool_calls, "IN_ROW", in_row)
+    monkeypatch.setattr(tool_calls, "BLOCK", block)
     pick = np.random.default_rng(9)
     rows = []
     for conv in range(60):
@@ -386,6 +386,18 @@ def test_levels_of_a_deep_chat_need_few_jobs(spark):
     assert jobs < 60
 
 
+@pytest.mark.parametrize("n, ahead, most", [(40, True, 60), (2000, False, 90), (2000, True, 90)])
+def test_levels_need_no_round_for_each(spark, n, ahead, most):
+    """Calls that each wait for the next two turns, or the two before, also in a chat of several blocks."""
+    at = lambda k: n - 1 - k if ahead else k
+    calls = spark.createDataFrame([(1, at(k), f"c{k}", [f"c{x}" for x in (k - 1, k - 2) if x >= 0]) for k in range(n)], "conv_id long, turn long, call_id string, after array<string>")
+    spark.sparkContext.setJobGroup(f"ahead {n} {ahead}", "")
+    assert {r["call_id"]: r["level"] for r in tool_calls.levels(calls).collect()} == {f"c{k}": k for k in range(n)}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ahead {n} {ahead}"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs < most
+
+
 def test_calls_with_long_arguments_and_clashing_columns(spark):
     long = '{"x":{"a":"' + "y" * 300_000 + '"},"y":1.5}'
     calls = spark.createDataFrame([(1, 0, "a", "add", long, None, 9, "?", True)], "conv_id long, turn long, call_id string, tool string, arguments string, after array<string>, level int, wrong string, linked boolean")
