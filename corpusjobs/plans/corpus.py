@@ -249,11 +249,14 @@ def lookup_hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def looked_up(spark: SparkSession, sf_dir: str, sentences: DataFrame) -> DataFrame:
-    """Hits of a search, looked up again in the rows: the pair at the normalised place must have the hit's raw place."""
-    hits = sentences.select("dataset", F.col("source_row_id").alias("id"), "raw_index", "normalized_index")
-    own = C.aligned(rows(spark, sf_dir)).where("reason is null").select("dataset", "id", "pairs")
-    joined = hits.join(own, ["dataset", "id"]).withColumn("pair", F.get("pairs", F.col("normalized_index").cast("int")))
-    return joined.where("pair.raw = raw_index").select("dataset", F.col("id").alias("source_row_id"), "raw_index", "normalized_index", F.sha2("pair.original", 256).alias("original_sha256"), F.concat(F.lit("doc "), F.col("id").cast("string")).alias("title"))
+    """Hits of a search, looked up again in the rows: the sentence at the normalised place must have the hit's raw place.
+
+    Rows are aligned once and meet the hits sentence by sentence, so that a long row costs no more than its sentences.
+    """
+    hits = sentences.select("dataset", "source_row_id", "raw_index", "normalized_index")
+    own = found(spark, sf_dir).select("dataset", "source_row_id", "normalized_index", F.col("raw_index").alias("raw"), F.sha2("original", 256).alias("original_sha256"))
+    joined = hits.join(own, ["dataset", "source_row_id", "normalized_index"]).where("raw = raw_index")
+    return joined.select("dataset", "source_row_id", "raw_index", "normalized_index", "original_sha256", F.concat(F.lit("doc "), F.col("source_row_id").cast("string")).alias("title"))
 
 
 @query(f"{SENTENCES}, keyed AS (SELECT work_id, source_row_id || ':' || raw_index || ':' || normalized_index AS k, original FROM found) SELECT work_id, k AS locator, sha256(original) AS original_sha256 FROM keyed")
@@ -271,10 +274,9 @@ def resolve_original_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved(s: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Originals of hits, by the locator maps of their works."""
-    key = S.locator_key(F.col("source_row_id"), F.col("raw_index"), F.col("normalized_index"))
-    hits = sentences.select("work_id", key.alias("locator"))
-    return hits.join(C.work_locators(s), "work_id").select("work_id", "locator", F.sha2(F.element_at("locators", F.col("locator")), 256).alias("original_sha256"))
+    """Originals of hits, by work and locator."""
+    key = S.locator_key(F.col("source_row_id"), F.col("raw_index"), F.col("normalized_index")).alias("locator")
+    return sentences.select("work_id", key).join(s.select("work_id", key, F.sha2("original", 256).alias("original_sha256")), ["work_id", "locator"])
 
 
 @query(f"{SENTENCES}, r AS (SELECT dataset || ':' || id AS work_id, kept FROM rows) SELECT f.work_id, count(*) AS locators, count(*) FILTER (list_contains(r.kept, f.original)) AS members FROM found f JOIN r USING (work_id) GROUP BY f.work_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusjobs.operators import known, reconcile
+from corpusjobs.operators import known, ranks, reconcile
 from corpusjobs.plans.registry import query, table
 from corpusjobs.sources.shared import scratch
 
@@ -153,6 +153,21 @@ def positional_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("complete", F.col("baidu").isNotNull() & F.col("google").isNotNull())
 
 
+#: SQL of the lists of four engines: some lack a place, some tell another author, and one file lacks an engine.
+RANKS = """e AS (SELECT * FROM (VALUES (0, 'baidu'), (1, 'so360'), (2, 'bing'), (3, 'google')) v(k, engine)), r AS (SELECT source AS file, doc_id AS pos, k, engine, CASE WHEN doc_id % 19 = 0 AND k = 3 THEN 'somebody' ELSE lang END AS author, 't' || doc_id AS title, (doc_id * (k + 2)) % 5 AS count FROM documents, e WHERE NOT (doc_id % 7 = 0 AND k = 2) AND NOT (source = 'src5' AND k = 1))"""
+
+
+@query(f"""WITH {RANKS}, f AS (SELECT file FROM r GROUP BY file HAVING count(DISTINCT engine) = 4) SELECT file, pos, arg_max(author, k) AS author, arg_max(title, k) AS title, max(count) FILTER (k = 0) AS baidu, max(count) FILTER (k = 1) AS so360, max(count) FILTER (k = 2) AS bing, max(count) FILTER (k = 3) AS google, count(DISTINCT (author, title)) > 1 AS bad_info, bool_or(count = 0) AS has_zero FROM r WHERE file IN (SELECT file FROM f) GROUP BY file, pos""")
+def merge_rank_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of four engines merged by place, for files that every engine has; places where they don't agree on author and title are told."""
+    i, engines = F.col("doc_id"), ["baidu", "so360", "bing", "google"]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.array(*map(F.lit, engines))).alias("k", "engine"))
+    docs = docs.where(~((i % 7 == 0) & (F.col("k") == 2)) & ~((F.col("source") == "src5") & (F.col("k") == 1)))
+    author = F.when((i % 19 == 0) & (F.col("k") == 3), "somebody").otherwise(F.col("lang"))
+    lists = docs.select(F.col("source").alias("file"), i.alias("pos"), "engine", author.alias("author"), F.concat(F.lit("t"), i.cast("string")).alias("title"), ((i * (F.col("k") + 2)) % 5).alias("count"))
+    return ranks.merge_lists(lists, engines)
+
+
 @query("SELECT o_orderkey AS pos, o_orderpriority AS title, list(l_linenumber ORDER BY l_linenumber) FILTER (l_linenumber IS NOT NULL) AS strains FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def attach_strains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tonal lists attached to the poems at their positions."""
