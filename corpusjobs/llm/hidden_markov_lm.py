@@ -15,7 +15,8 @@ over its symbols, and the words' shares.
 Counts of the `frequent` most frequent words travel with the tasks; the rest of the words of each text
 are joined with the count table. Null text counts as empty (its end is scored). A null id is never held
 out and teaches nothing. Repeated rows get repeated results. Texts of any length are one sequence. An
-empty table gives an empty result; columns other than doc_id and text aren't read.
+empty table gives an empty result; columns other than doc_id and text aren't read. Of words of equal counts at the edge of the
+`own` ones the first in byte order is in; at the edge of the `frequent` ones all are in or none.
 """
 
 from __future__ import annotations

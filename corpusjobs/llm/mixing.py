@@ -15,7 +15,8 @@ than half of one document.
 
 All chance comes from hashes of ids and texts: reruns agree, whatever the partitions. A null text has
 no words; documents without words are taken 0 words. Null and repeated ids are told apart by their
-text; rows that are equal in both are interchangeable.
+text; rows that are equal in both are interchangeable. Very long texts count whole, and a document larger than its source's
+target is rounded like others. An empty table gives an empty result; columns other than doc_id, source and text are kept whatever their names.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ exactly. A block of comparisons reports how many documents each class links to,
 classes connected; never all pairs.
 
 Nulls and texts without words link with nothing, nor do rows with a null id. Every row of the input
-gives one row. An empty table gives an empty result. Columns other than id and text aren't read.
+gives one row. Very long texts are one set each, read whole. An empty table gives an empty result. Columns other than id and text aren't read.
 """
 
 from __future__ import annotations

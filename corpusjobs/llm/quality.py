@@ -14,7 +14,9 @@ without enough evidence gets no cutoff and loses only what the base rules reject
 
 Nulls: a null text has no words (and fails the base rules); a null stratum is a stratum; labels with a
 null id or quality are left out; of several labels of a document the lowest counts. Repeated rows are
-measured alone, and their labels count once for each row. No row is dropped by `decide`.
+measured alone, and their labels count once for each row. No row is dropped by `decide`. Documents
+of equal badness are kept or rejected together. Very long texts are measured whole; an empty table of documents gives
+an empty result, an empty one of labels no cutoff. Columns whose names clash with the operator's own are kept as they are.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ Documents are dealt to shards by ranges of doc_id, so shard after shard holds th
 order (nulls first, repeated ids by a hash of their text). A task writes files under names of its own
 try; only those that the manifest names count, so a task may fail and be tried again.
 
-Null text counts as empty: its record holds the end id alone.
+Null text counts as empty: its record holds the end id alone. Rows with equal ids and texts have equal records, in either
+order. Texts of any length are one record. An empty table gives an empty result; columns other than doc_id
+and text aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -36,6 +37,49 @@ def measures(text):
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered))
 
 
+def plain_badness(text):
+    n, chars, symbols, dups, repeats = measures(text)
+    if not n:
+        return 0.0
+    text = text or ""
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    mean, found = chars / n, [symbols / max(chars, 1) / 0.1, repeats / n / 0.3]
+    if n >= 10:
+        capitals = sum(unicodedata.category(c) == "Lu" for c in text)
+        found += [capitals / chars / 0.5, text.count("!") / n / 0.5, mean / 15, 2 / mean]
+    if len(lines) >= 4:
+        found.append(dups / len(lines) / 0.5)
+    return max(found)
+
+
+def test_kept_documents_equal_the_plain_rules(spark, sf):
+    """Badness, proven cutoffs and what they keep, whole, against loops with exact binomial sums; half of the strata get a cutoff."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 5 < 3, "many").when(F.col("doc_id") % 5 == 3, "few").otherwise(None).alias("lang"))
+    labels = docs.where("doc_id % 7 != 1 or lang = 'few' and doc_id % 3 = 0").select("doc_id", F.when((F.col("lang") == "few") & (F.col("doc_id") % 10 != 3), 0).otherwise(1).alias("quality"))
+    graded = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows, cutoffs = docs.collect(), {}
+    told = {}
+    for r in rows:
+        n, *_, repeats = measures(r["text"])
+        told[r["doc_id"]] = (n < 20 or 100 * repeats > 30 * n, plain_badness(r["text"]), r["lang"])
+    strata = {lang for _, _, lang in told.values()}
+    for lang in strata:
+        good = [b for i, (failed, b, s) in told.items() if s == lang and graded.get(i) == 1 and not failed]
+        for c in quality.CUTOFFS:
+            rejected = sum(b >= c for b in good)
+            tail = sum(math.comb(len(good), k) * 0.03**k * 0.97 ** (len(good) - k) for k in range(rejected + 1))
+            if tail > 0.05 / len(strata):
+                break
+            cutoffs[lang] = c
+    got = quality.judged(docs, labels).collect()
+    assert len(got) == len(rows) and 0 < len(cutoffs) < len(strata)
+    for r in got:
+        failed, bad, lang = told[r["doc_id"]]
+        assert r["base_failed"] == failed and r["badness"] == pytest.approx(bad) and r["cutoff"] == cutoffs.get(lang)
+        assert r["kept"] == (not failed and bad < cutoffs.get(lang, math.inf))
+    assert 0 < sum(r["kept"] for r in got) < len(got)
+
+
 def test_quality_measures(spark, sf, odd, labels):
     for docs, graded in ((spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")), (odd, labels)):
         got = collections.Counter(tuple(r) for r in quality.judged(docs, graded).select("doc_id", *quality.MEASURES, "base_failed").collect())
