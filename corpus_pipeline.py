@@ -1,4 +1,11 @@
-"""From documents to token ids: language, quality, near copies, mixture, encoding; each stage is written and read again."""
+"""From documents to token ids: language, quality, near copies, mixture, encoding; each stage is written and read again.
+
+Nulls: a null text has no letters and goes in the first stage; a null language, source or id doesn't matter there. A null source is a
+source of its own in the mixture. Empty texts go like null ones; very long ones are read whole in every stage. Ties: of a group of
+near copies the smallest id stays, documents of equal badness stay or go together. Rows with a null id, and repeated rows of an
+id that stays, all stay; a row goes as a near copy if its id does. An empty table passes every stage and gives no row.
+Further columns of documents are passed on by all stages but the last.
+"""
 
 from __future__ import annotations
 

@@ -36,13 +36,16 @@ def low_count_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", low("p_size", "baidu").alias("low_baidu"), low("p_retailprice", "google").alias("low_google"))
 
 
-@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 100")
+WORDS = r"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 100"
+
+
+@query(WORDS)
 def frequency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hundred most frequent runs of a to z in all texts; frequency_topk_all counts words of all letters."""
-    return counted(table(spark, sf_dir, "documents"), "[^a-z]+")
+    """The hundred most frequent words of all texts, of letters of any script."""
+    return counted(table(spark, sf_dir, "documents"), r"[^\p{L}]+")
 
 
-@query()
+@query(WORDS)
 def frequency_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred most frequent words of all texts, of letters of any script."""
     return counted(table(spark, sf_dir, "documents"), r"[^\p{L}]+")
