@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusjobs.plans import corpus, measures, merging, ranking, searching, surviving, text, translation
+from corpusjobs.plans import checks, corpus, measures, merging, ranking, searching, surviving, text, translation
 from corpusjobs.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "corpus", "measures", "merging", "ranking", "searching", "surviving", "text", "translation"]
+__all__ = ["QUERIES", "SQL", "checks", "corpus", "measures", "merging", "ranking", "searching", "surviving", "text", "translation"]
