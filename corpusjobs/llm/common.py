@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusjobs.sources.shared import scratch, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "checkpointed", "let", "scratch", "shared_dir", "slices", "small", "table", "words"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "checkpointed", "held", "let", "scratch", "shared_dir", "slices", "small", "table", "words"]
 
 #: A word is a run of characters other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +45,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, one thing at a time: asking for another one lets the last one go.
+
+    So a worker that turns from one operator to the next doesn't hold the models of both.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts, so that a task turns only so many texts into Python objects at once."""
     for whole in batches:

@@ -18,6 +18,7 @@ results, an empty table none.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import slices, small
+from corpusjobs.llm.common import held, slices, small
 
 UNKNOWN = "und"
 #: N-grams of 4 characters down to 1; words are padded with a space on each side from 2 upwards.
@@ -154,10 +155,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang: st
     keep = [c for c in docs.columns if c not in (lang, score, text)]
     back = [] if drop_text else [text]
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").cast("string").alias(c) for c in back], F.lit("").alias(lang), F.lit(0.0).alias(score)).schema
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), ("languages", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = held(name, lambda: Scorer(sent.value))
         for batch in slices(batches):
             found = [scorer.predict(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + len(back)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, *back, lang, score])

@@ -8,7 +8,9 @@ neighbours decides the merge result, the walk gives what the library gives. Wher
 rank overlap (runs of spaces), the merge itself decides.
 
 Nulls count as the empty text, which has no ids and decodes to the empty text. Repeated rows give
-repeated results; columns other than the text are passed through whatever their names.
+repeated results; columns other than the text are passed through whatever their names, except that ones
+named like the new columns are replaced. Of merges of equal rank the leftmost goes first, as in the library. Very long texts are
+encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import slices
+from corpusjobs.llm.common import held, slices
 
 #: Words, and parts of words, whose ids a Python worker remembers before it forgets those not used lately.
 REMEMBERED = 110_000
@@ -245,13 +247,8 @@ def text_of(raw: bytearray) -> str:
         return good + "�" + text_of(raw[e.start + 1 :])
 
 
-_models: dict[str, PieceModel] = {}
-
-
 def model(path: str) -> PieceModel:
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+    return held(("pieces", path), lambda: PieceModel(path))
 
 
 def encode_texts(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
