@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusjobs.functions import scalars as S
 from corpusjobs.operators import corpus as C
-from corpusjobs.plans.registry import query, table
+from corpusjobs.plans.registry import SQL, query, table
 from corpusjobs.plans.text import CONTENT, TRIM
 
 #: SQL of `rows()`: content and translation arrays of each document, some of them not fitting.
@@ -327,3 +327,7 @@ def subset_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     ours, theirs = docs.groupBy("source", mark.alias("mark")).agg(F.count("*").alias("a")), copy.groupBy("source", mark.alias("mark")).agg(F.count("*").alias("b"))
     both = ours.join(theirs, ["source", "mark"], "full_outer").na.fill(0, ["a", "b"])
     return both.groupBy(F.col("source").alias("dataset")).agg(F.sum("a").alias("rows"), F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("missing"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("extra"))
+
+
+#: Names of the first round for what the queries beside them have done since.
+SQL |= {f"{name}_all": SQL[name] for name in ("body_extract", "lookup_hits", "resolve_original", "union_datasets")}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import scalars as S
-from corpusjobs.plans.registry import query, table
+from corpusjobs.plans.registry import SQL, query, table
 
 #: Lines of a document in SQL: its content array, with blank entries.
 CONTENT = r"string_split_regex(text, '[.\n]')"
@@ -87,6 +87,9 @@ def normalize_whole_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized(table(spark, sf_dir, "documents"), F.col("text"))
 
 
+SQL["normalize_whole_translation"] = SQL["normalize_translation"]
+
+
 def normalized(docs: DataFrame, text: Column) -> DataFrame:
     """Lines of answers given as a list, by number or in a wrong form."""
     i = F.col("doc_id")
