@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from corpusjobs.llm.common import held, slices
 
 #: Words, and parts of words, whose ids a Python worker remembers before it forgets those not used lately.
-REMEMBERED = 110_000
+REMEMBERED = 300_000
 #: Pairs of neighbours of which a worker remembers whether they fit.
-PAIRS = 60_000
+PAIRS = 200_000
 SPACE = "▁"
 #: A word with marks behind it.
 MARKED = re.compile(r"(▁?[^\W_]+)([^\w▁]+)")
