@@ -208,19 +208,18 @@ def normalize_translation(json: Column) -> Column:
 
     A line that is itself a map, as JSON or with single quotes, gives its values in their order.
     """
-    value = F.try_parse_json(json)
-    kind = F.schema_of_variant(value)
-    as_map = F.from_json(json, "map<string,string>")
-    entries = F.array_sort(F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].try_cast("int").alias("k"), e["value"].alias("v"))))
-    keyed = F.when(F.transform(entries, lambda e: e["k"]) == F.sequence(F.lit(1), F.greatest(F.size(entries), F.lit(1))), F.transform(entries, lambda e: e["v"]))
-    lines = F.when(kind.startswith("ARRAY"), F.from_json(json, "array<string>")).when(kind.startswith("OBJECT"), keyed).when(kind == "STRING", F.array(F.try_variant_get(value, "$", "string")))
+    def keyed(text: Column) -> Column:
+        entries = F.array_sort(F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.struct(e["key"].try_cast("int").alias("k"), e["value"].alias("v"))))
+        return let(entries, lambda es: F.when(F.transform(es, lambda e: e["k"]) == F.sequence(F.lit(1), F.greatest(F.size(es), F.lit(1))), F.transform(es, lambda e: e["v"])))
+
+    listed = let(F.schema_of_variant(F.try_parse_json(json)), lambda kind: F.when(kind.startswith("ARRAY"), F.from_json(json, "array<string>")).when(kind.startswith("OBJECT"), keyed(json)).when(kind == "STRING", F.array(F.try_variant_get(F.try_parse_json(json), "$", "string"))))
 
     def opened(line: Column) -> Column:
         inner = F.when(line.rlike(r"(?s)^\s*\{.*\}\s*$"), F.from_json(line, "map<string,string>"))
-        return F.when(F.size(inner) > 0, F.map_values(inner)).otherwise(F.array(line))
+        return let(inner, lambda m: F.when(F.size(m) > 0, F.map_values(m)).otherwise(F.array(line)))
 
-    kept = F.filter(F.transform(F.flatten(F.transform(lines, opened)), trim_all), lambda x: x != "")
-    return F.when(F.size(kept) > 0, kept)
+    kept = F.filter(F.transform(F.flatten(F.transform(listed, opened)), trim_all), lambda x: x != "")
+    return let(kept, lambda lines: F.when(F.size(lines) > 0, lines))
 
 
 def translation_quality(source: Column, translation: Column) -> Column:
@@ -242,22 +241,27 @@ def translation_quality(source: Column, translation: Column) -> Column:
 
 
 def parse_response(source: Column, payload: Column) -> Column:
-    """(status, translation, interpretation, reason) of a model's answer for lines of source; the first failing check counts."""
-    json = extract_json(payload)
-    interpretation = F.coalesce(trim_all(F.get_json_object(json, "$.interpretation")), F.lit(""))
-    answer = F.to_json(F.try_variant_get(F.try_parse_json(json), "$.translation", "variant"))
+    """(status, translation, interpretation, reason) of a model's answer for lines of source; the first failing check counts.
 
-    def judged(lines: Column) -> Column:
+    Each step is bound by let(), since a column named twice in an expression is computed twice.
+    """
+    def judged(found: Column) -> Column:
+        lines, interpretation = found["lines"], found["interpretation"]
         reason = (
-            F.when(json.isNull(), "no JSON")
+            F.when(~found["json"], "no JSON")
             .when(lines.isNull(), "no translation")
             .when(refuses(lines), "refusal")
             .otherwise(F.coalesce(translation_quality(source, lines), F.when(interpretation == "", "no interpretation").when(interpretation_refuses(interpretation), "interpretation refused")))
         )
-        good = reason.isNull()
-        return F.struct(F.when(good, "done").otherwise("failed").alias("status"), F.when(good, lines).alias("translation"), F.when(good, interpretation).alias("interpretation"), reason.alias("reason"))
+        told = lambda why: F.struct(F.when(why.isNull(), "done").otherwise("failed").alias("status"), F.when(why.isNull(), lines).alias("translation"), F.when(why.isNull(), interpretation).alias("interpretation"), why.alias("reason"))
+        return let(reason, told)
+
+    def read(json: Column) -> Column:
+        answer = F.to_json(F.try_variant_get(F.try_parse_json(json), "$.translation", "variant"))
+        interpretation = F.coalesce(trim_all(F.get_json_object(json, "$.interpretation")), F.lit(""))
+        return F.struct(json.isNotNull().alias("json"), let(answer, normalize_translation).alias("lines"), interpretation.alias("interpretation"))
 
-    return let(normalize_translation(answer), judged)
+    return let(let(extract_json(payload), read), judged)
 
 
 def build_prompt(lines: Column, keys: Column) -> Column:

@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: What a call gets: (key, attempt, request, why the last answer was refused or null) of a few requests. What it gives: an answer for each.
 Call = Callable[[list[tuple[str, int, str, str | None]]], list]
@@ -40,13 +42,21 @@ def backoff(error: Exception, attempt: int, most: int = 3) -> float | None:
     return (30.0 if status == 429 else 1.0) * 2**attempt
 
 
-def read_ledger(spark: SparkSession, path: str, answer: str) -> DataFrame:
-    """The facts (key, attempt, answer, message, status, due): due is when a failed call may be tried again, null if never or if answered."""
+def read_facts(spark: SparkSession, path: str, answer: str) -> DataFrame:
+    """The facts (key, attempt, answer, message, status, due): due is when a failed call may be tried again, null if never or if answered.
+
+    A task that was lost may have told its facts twice; last_facts takes one of them.
+    """
     schema = f"key string, attempt int, answer {answer}, message string, status int, due double"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).dropDuplicates(["key", "attempt"])
+        return spark.range(0).select(F.from_json(F.lit(None).cast("string"), schema).alias("f")).select("f.*")
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str, answer: str) -> DataFrame:
+    """The facts, one for each key and attempt."""
+    return read_facts(spark, path, answer).dropDuplicates(["key", "attempt"])
 
 
 def ask(requests: DataFrame, call: Call, path: str, answer: str, schedule: Callable[[Exception, int], float | None] = backoff, batch: int = 64, per_task: int = 1024, wait: Callable[[float], None] = time.sleep) -> int:
@@ -56,7 +66,7 @@ def ask(requests: DataFrame, call: Call, path: str, answer: str, schedule: Calla
     Requests that aren't due yet are waited for.
     """
     schema = f"key string, attempt int, answer {answer}, message string, status int, due double"
-    fields = requests.sparkSession.createDataFrame([], schema).toArrow().schema
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def facts_of(rows: list[dict]) -> list[dict]:
         try:
@@ -72,13 +82,14 @@ def ask(requests: DataFrame, call: Call, path: str, answer: str, schedule: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            facts: list[dict] = []
             for at in range(0, whole.num_rows, batch):
                 rows = whole.slice(at, batch).to_pylist()
                 early = max((r["due"] for r in rows if r["due"] is not None), default=0.0) - time.time()
                 if early > 0:
                     wait(early)
-                facts = facts_of(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([f.get(c.name) for f in facts], c.type) for c in fields], schema=fields)
+                facts += facts_of(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([f.get(c.name) for f in facts], c.type) for c in fields], schema=fields)
 
     n = requests.count()
     if n:

@@ -10,12 +10,14 @@ Every round reads the ledger of calls (see calls), so that a job that starts aga
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import scalars as S
 from corpusjobs.operators import calls
-from corpusjobs.sources.shared import shared_dir
+from corpusjobs.sources.shared import scratch
 
 #: Reasons of a refused answer after which single lines are tried.
 BY_LINE = ("no translation", "refusal", "line count", "placeholder not explained", "identical", "too short", "interpretation refused")
@@ -29,26 +31,43 @@ def pause(error: Exception, attempt: int) -> float:
 def judged(pieces: DataFrame, facts: DataFrame, retries: int) -> DataFrame:
     """pieces (key, lines) with what the ledger says of them: state (done, skipped, failed, open), reason, attempts, translation, interpretation, due."""
     last = calls.last_facts(facts).select("key", F.col("attempt").alias("last"), "answer", "message", "status", "due")
-    own = pieces.join(last, "key", "left").withColumn("parsed", F.when(F.col("answer").isNotNull(), S.parse_response(F.col("lines"), F.col("answer"))))
+    parsed = F.when(F.col("answer").isNotNull(), S.parse_response(F.col("lines"), F.col("answer")))
     refused = F.col("message").isNotNull() & (S.classify_failure(F.col("message"), F.col("status")) == "skip")
-    state = F.when(F.col("last").isNull(), "open").when(F.col("parsed.status") == "done", "done").when(refused, "skipped").when(F.col("last") >= retries, "failed").otherwise("open")
-    reason = F.when(F.col("parsed.status") == "done", None).otherwise(F.coalesce("parsed.reason", "message"))
-    return own.select(*pieces.columns, state.alias("state"), reason.alias("reason"), F.coalesce(F.col("last") + 1, F.lit(0)).alias("attempts"), "parsed.translation", "parsed.interpretation", "due")
+
+    def told(p: Column) -> Column:
+        done = p["status"] == "done"
+        state = F.when(F.col("last").isNull(), "open").when(done, "done").when(refused, "skipped").when(F.col("last") >= retries, "failed").otherwise("open")
+        reason = F.when(done, None).otherwise(F.coalesce(p["reason"], "message"))
+        return F.struct(state.alias("state"), reason.alias("reason"), p["translation"].alias("translation"), p["interpretation"].alias("interpretation"))
+
+    found = pieces.join(last, "key", "left").withColumn("told", S.let(parsed, told))
+    return found.select(*pieces.columns, "told.state", "told.reason", F.coalesce(F.col("last") + 1, F.lit(0)).alias("attempts"), "told.translation", "told.interpretation", "due")
 
 
 def settled(pieces: DataFrame, call: calls.Call, path: str, retries: int, **how) -> DataFrame:
-    """pieces judged after as many rounds as they need, kept as a checkpoint.
+    """pieces judged after as many rounds as they need, kept in files of the shared folder.
 
+    A round judges only the pieces that the one before left open, by the answers that it got, so that each answer is parsed once.
     Scans of one folder count as equal in a plan although files were added between them, so no plan may hold the ledger of two times.
     """
     spark = pieces.sparkSession
-    shared_dir(spark)
+
+    def kept(df: DataFrame) -> DataFrame:
+        place = scratch(spark, "pieces")
+        df.write.parquet(place)
+        return spark.read.schema(df.schema).parquet(place)
+
+    now = kept(judged(pieces, calls.read_facts(spark, path, "string"), retries))
+    rounds = [now.where("state != 'open'")]
     for _ in range(retries + 1):
-        now = judged(pieces, calls.read_ledger(spark, path, "string"), retries).where("state = 'open'")
+        left = now.where("state = 'open'")
         request = F.to_json("lines")
-        if not calls.ask(now.select("key", F.col("attempts").alias("attempt"), request.alias("request"), F.col("reason").alias("hint"), "due"), call, path, "string", schedule=pause, batch=1, **how):
+        if not calls.ask(left.select("key", F.col("attempts").alias("attempt"), request.alias("request"), F.col("reason").alias("hint"), "due"), call, path, "string", schedule=pause, batch=1, **how):
             break
-    return judged(pieces, calls.read_ledger(spark, path, "string"), retries).checkpoint()
+        told = calls.read_facts(spark, path, "string").join(left.select("key", F.col("attempts").alias("attempt")), ["key", "attempt"], "left_semi")
+        now = kept(judged(left.select(*pieces.columns), told, retries))
+        rounds.append(now.where("state != 'open'"))
+    return reduce(DataFrame.union, [*rounds, now.where("state = 'open'")])
 
 
 def first_open(states: Column) -> Column:

@@ -301,3 +301,13 @@ def test_translation_outcomes(spark, tmp_path):
     assert said[14][0] == "failed" and "connection error" in said[14][1] and said[14][2] == 3  # transport isn't mended by single lines
     again = job()
     assert again == got and len(asked(seen)) == len(made)  # a job run again reads its ledger
+
+
+def test_each_answer_is_judged_once(spark, tmp_path, monkeypatch):
+    """A round judges only what the one before left open."""
+    sizes, judged = [], translation.judged
+    monkeypatch.setattr(translation, "judged", lambda pieces, facts, retries: sizes.append(pieces.count()) or judged(pieces, facts, retries))
+    answer = lambda requests: ["no JSON" if r[1] == 0 and "3" in r[2] else json.dumps({"translation": {"1": f"en: {json.loads(r[2])[0]}"}, "interpretation": "said"}) for r in requests]
+    rows = spark.createDataFrame([(k, [f"line {k}"]) for k in range(9)], "id long, lines array<string>")
+    got = {r["id"]: (r["outcome"], r["attempts"]) for r in translation.translate(rows, answer, str(tmp_path / "ledger"), retries=2).collect()}
+    assert got == {k: ("done", 2 if k == 3 else 1) for k in range(9)} and sizes[:3] == [9, 9, 1] and sum(sizes[3:]) == 0
