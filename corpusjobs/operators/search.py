@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,8 @@ from corpusjobs.functions import scalars as S
 UUID = r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 #: Queries and points that meet in one task at once.
 QUERY_BLOCK, POINT_BLOCK = 4_096, 32_768
+#: Of these, so many are scored at once: a tile of scores has 8 MB, however large the blocks are.
+QUERY_TILE, POINT_TILE = 256, 4_096
 #: Queries that approximate search also searches exactly, to learn how many cells it must look into.
 MEASURED = 512
 
@@ -73,22 +76,32 @@ def decode_base64_vectors(text: pd.Series) -> pd.Series:
 decode_base64_vector = F.pandas_udf(decode_base64_vectors, T.ArrayType(T.FloatType()))
 
 
-def first_k(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores of each row with their ids, highest first, ties by id."""
+def matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of equally many numbers as rows of doubles, without an object for each."""
+    lists = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = pc.unique(pc.list_value_length(lists))
+    if len(sizes) != 1:
+        raise ValueError(f"vectors of several dimensions: {sizes.to_pylist()}")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def first_k(scores: np.ndarray, ids: np.ndarray, k: int, digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores of each row with their ids, highest first, ties by id; scores count as rounded to so many digits."""
     if scores.shape[1] > k:
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] - (0 if digits is None else 10.0**-digits)
         rows, columns = np.nonzero(scores >= least[:, None])
     else:
         rows, columns = (x.ravel() for x in np.indices(scores.shape))
     found, named = scores[rows, columns], ids[rows, columns]
+    found = found if digits is None else np.round(found, digits)
     order = np.lexsort((named, -found, rows))
     rows = rows[order]
     kept = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
     return found[kept].reshape(len(scores), -1), named[kept].reshape(len(scores), -1)
 
 
-def best_of_blocks(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """For a block of queries and a block of points (id, vector): the k points nearest to each query."""
+def best_of_blocks(k: int, digits: int | None = None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a block of queries and a block of points (id, vector): the k points nearest to each query, by tiles of QUERY_TILE queries and POINT_TILE points."""
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
@@ -96,26 +109,32 @@ def best_of_blocks(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             return out.empty_table()
 
         def unit(t: pa.Table) -> np.ndarray:
-            x = np.stack(t.column("vec").to_numpy()).astype(np.float64)
+            x = matrix(t.column("vec"))
             return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
         q, ids = unit(asked), asked.column("own").to_numpy()
-        best_s, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
-        for at in range(0, held.num_rows, 4096):
-            part = held.slice(at, 4096)
-            scores, names = q @ unit(part).T, part.column("own").to_numpy()
-            best_s, best_i = first_k(np.concatenate([best_s, scores], axis=1), np.concatenate([best_i, np.broadcast_to(names, scores.shape)], axis=1), k)
+        starts = range(0, len(q), QUERY_TILE)
+        best = [(np.empty((len(q[at : at + QUERY_TILE]), 0)), np.empty((len(q[at : at + QUERY_TILE]), 0), np.int64)) for at in starts]
+        for low in range(0, held.num_rows, POINT_TILE):
+            part = held.slice(low, POINT_TILE)
+            x, names = unit(part).T, part.column("own").to_numpy()
+            for j, at in enumerate(starts):
+                scores = q[at : at + QUERY_TILE] @ x
+                s, i = first_k(scores, np.broadcast_to(names, scores.shape), k, digits)
+                best[j] = first_k(np.concatenate([best[j][0], s], axis=1), np.concatenate([best[j][1], i], axis=1), k, digits)
+        best_s, best_i = (np.concatenate([b[c] for b in best]) for c in (0, 1))
         return pa.Table.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], schema=out)
 
     return run
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", scope: tuple[str, ...] = ()) -> DataFrame:
+def top_k(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", scope: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
     """(query_id, id, score, place): the k points of highest cosine for each query, ties by id, of those that agree with it in the columns of `scope`.
 
     Points and queries are dealt into blocks, scope by scope, and each block of queries meets each block of points of its scope
     by one shuffle on their numbers. A meeting keeps k points for a query. So there is one scan of either side and one job, however many queries
-    there are, and a task holds two blocks. Points or queries that can't be normalised, and those with a null in their scope, are left out.
+    there are, and a task holds two blocks and one tile of scores. With `digits`, points rank by their rounded scores, so that ids and not
+    the last bits of a sum order the copies of a vector. Points or queries that can't be normalised, and those with a null in their scope, are left out.
     """
 
     of = {f"scope {k}": F.col(c).alias(f"scope {k}") for k, c in enumerate(scope)} | {"all": F.lit(0).alias("all")}
@@ -133,7 +152,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", ve
     keys = [*of, "block", "part"]
     left = asked.join(sizes, [*of]).withColumns({"block": number("blocks"), "part": every("parts")}).select("own", "vec", *keys)
     right = held.join(sizes, [*of]).withColumns({"part": number("parts"), "block": every("blocks")}).select("own", "vec", *keys)
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best_of_blocks(k), "query_id long, id long, score double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best_of_blocks(k, digits), "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 

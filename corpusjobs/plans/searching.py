@@ -15,6 +15,9 @@ from corpusjobs.sources.shared import scratch
 #: Cosines of the queries (ids divisible by 20) with all points, in SQL.
 SCORES = "scores AS (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score, q.label = p.label AS same FROM embeddings q JOIN embeddings p ON q.vec_id % 20 = 0)"
 
+#: Scores rank as the SQL rounds them.
+DIGITS = 6
+
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
@@ -26,7 +29,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORES} SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM scores) WHERE k = 1")
 def vector_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 1).select("query_id", "id", F.round("score", 6).alias("score"))
+    return V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 1, digits=DIGITS).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM (SELECT q.vec_id AS query_id, p.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings p ON q.vec_id % 20 = 0 AND q.label = p.label AND p.vec_id % 2 = CASE WHEN q.vec_id % 40 = 0 THEN 1 ELSE 0 END)) WHERE k <= 3")
@@ -35,12 +38,12 @@ def vector_top_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     generation = lambda odd: F.when(odd, "v1").otherwise("v2").alias("generation")
     held = points(spark, sf_dir).select("vec_id", "embedding", F.col("label").alias("dataset"), generation(F.col("vec_id") % 2 == 1))
     asking = points(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("dataset"), generation(F.col("vec_id") % 40 == 0))
-    return V.top_k(held, asking, 3, scope=("generation", "dataset")).select("query_id", "id", F.round("score", 6).alias("score"))
+    return V.top_k(held, asking, 3, scope=("generation", "dataset"), digits=DIGITS).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {SCORES} SELECT query_id, max(score) AS score, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM scores) WHERE k <= 5 GROUP BY query_id")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 5)
+    found = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 5, digits=DIGITS)
     return found.groupBy("query_id").agg(F.max(F.round("score", 6)).alias("score"), F.count("*").alias("n"))
 
 
@@ -51,7 +54,7 @@ def vector_topk_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     def scorer(q: pd.Series, text: pd.Series) -> pd.Series:
         return text.astype("float64")
 
-    found = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 5)
+    found = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 5, digits=DIGITS)
     texts = points(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("text"))
     named = found.join(texts, "id").withColumn("query", F.col("query_id").cast("string"))
     return V.rerank(named, scorer).select("query_id", "id")
@@ -98,7 +101,7 @@ def search_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The second index has every vector scaled, which a cosine doesn't see, and has lost every 40th.
     """
-    hits = lambda df, id_, score: V.top_k(df, asked(spark, sf_dir), 1).select("query_id", F.col("id").alias(id_), F.round("score", 6).alias(score))
+    hits = lambda df, id_, score: V.top_k(df, asked(spark, sf_dir), 1, digits=DIGITS).select("query_id", F.col("id").alias(id_), F.round("score", 6).alias(score))
     scaled = points(spark, sf_dir).where("vec_id % 40 != 0").withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
     changed = F.col("a") != F.col("b")
     return hits(points(spark, sf_dir), "a", "s").join(hits(scaled, "b", "t"), "query_id").agg(F.count("*").alias("queries"), F.count_if(changed).alias("changed"), F.count_if(changed & (F.col("s") - F.col("t") < 1e-6)).alias("tied"))
@@ -135,7 +138,7 @@ def validate_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SCORES}, one AS (SELECT query_id, arg_min(id, (-score, id)) AS a FROM scores GROUP BY 1) SELECT count(*) AS queries, avg(CASE WHEN a % 40 <> 0 THEN 1.0 ELSE 0.0 END) AS recall FROM one")
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the approximate search finds the exact first hit; its index has lost every 40th vector."""
-    exact = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("a"))
+    exact = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 1, digits=DIGITS).select("query_id", F.col("id").alias("a"))
     near = V.ann_top_k(points(spark, sf_dir).where("vec_id % 40 != 0"), asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("b"))
     return exact.join(near, "query_id", "left").agg(F.count("*").alias("queries"), F.avg((F.col("a") == F.coalesce("b", F.lit(-1))).cast("double")).alias("recall"))
 
@@ -149,7 +152,7 @@ def others(found: DataFrame, k: int) -> DataFrame:
 @query()
 def ann_recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of the ten nearest other points, by exact search, that the approximate search finds."""
-    exact = others(V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 11), 10).select("query_id", "id")
+    exact = others(V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 11, digits=DIGITS), 10).select("query_id", "id")
     near = V.ann_top_k(points(spark, sf_dir), asked(spark, sf_dir), 10, others=True).select("query_id", "id", F.lit(1.0).alias("hit"))
     return exact.join(near, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
 
@@ -157,7 +160,7 @@ def ann_recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def search_parity_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest other points in two indexes, of which the second has every vector scaled."""
-    hits = lambda df: others(V.top_k(df, asked(spark, sf_dir), 11), 10).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "id")))["id"].alias("ids"))
+    hits = lambda df: others(V.top_k(df, asked(spark, sf_dir), 11, digits=DIGITS), 10).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "id")))["id"].alias("ids"))
     scaled = points(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
     one, two = hits(points(spark, sf_dir)), hits(scaled).withColumnRenamed("ids", "other")
     return one.join(two, "query_id", "full_outer").agg(F.count("*").alias("queries"), F.count_if(~F.col("ids").eqNullSafe(F.col("other"))).alias("changed"))

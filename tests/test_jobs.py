@@ -138,3 +138,21 @@ def test_top_k_in_scopes(spark, monkeypatch):
             want[q] = [p for _, p in sorted(near)[:4]]
     assert got.keys() == want.keys()
     assert all(sorted(round(float(unit[q] @ unit[p]), 9) for p in got[q]) == sorted(round(float(unit[q] @ unit[p]), 9) for p in want[q]) for q in want)
+
+
+def test_scores_by_tiles(spark):
+    """Memory of two large blocks is that of a tile; copies of a vector rank by id, wherever they stand in a tile."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    x = np.random.default_rng(5).normal(size=(500, 16)).astype(np.float32)
+    held = pa.table({"own": np.arange(20_000)[::-1].copy(), "vec": pa.FixedSizeListArray.from_arrays(pa.array(np.tile(x, (40, 1)).ravel()), 16).cast(pa.list_(pa.float32()))})
+    tracemalloc.start()
+    found = V.best_of_blocks(40, 6)(held.slice(0, 2_000), held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 2**20
+    ids, asked = found.column("id").to_numpy().reshape(2_000, 40), held.column("own").to_numpy()[:2_000]
+    assert (ids == asked[:, None] % 500 + np.arange(0, 20_000, 500)[None, :]).all()
