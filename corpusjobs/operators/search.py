@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusjobs.functions import scalars as S
+from corpusjobs.sources.shared import scratch
 
 #: A UUID in its canonical form.
 UUID = r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
@@ -49,9 +50,10 @@ def point_reason(point_id: Column, vector: Column, dimensions: int, dataset: Col
 
 def normalize_vector(vector: Column, dimensions: int | None = None) -> Column:
     """The unit vector in float32, scaled by its largest component first; null where there is a reason against it; never -0."""
-    scaled = F.transform(vector.cast("array<double>"), lambda x: x / F.array_max(F.transform(vector.cast("array<double>"), F.abs)))
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    one = F.transform(F.array(F.struct(scaled.alias("v"), norm.alias("n"))), lambda p: F.transform(p["v"], lambda x: (x / p["n"] + F.lit(0.0)).cast("float")))[0]
+    numbers = vector.cast("array<double>")
+    scaled = S.let(F.struct(numbers.alias("v"), F.array_max(F.transform(numbers, F.abs)).alias("most")), lambda p: F.transform(p["v"], lambda x: x / p["most"]))
+    with_norm = S.let(scaled, lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
+    one = S.let(with_norm, lambda p: F.transform(p["v"], lambda x: (x / p["n"] + F.lit(0.0)).cast("float")))
     return F.when(vector_reason(vector, dimensions).isNull(), one)
 
 
@@ -179,7 +181,7 @@ def vector_drift(a: Column, b: Column) -> Column:
     return F.struct(delta.alias("max_delta"), cosine.alias("cosine"), ((delta > 0) & (F.abs(cosine - 1) < 1e-6)).alias("candidate"))
 
 
-def ann_top_k(points: DataFrame, queries: DataFrame, k: int, recall: float = 0.95, others: bool = False, cells: int | None = None, probes: int | None = None, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
+def ann_top_k(points: DataFrame, queries: DataFrame, k: int, recall: float = 0.95, others: bool = False, cells: int | None = None, probes: int | None = None, id_: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", digits: int | None = None) -> DataFrame:
     """(query_id, id, score, place) as top_k(), looking only into the cells nearest to each query.
 
     There are about as many cells as the root of the count of points; their centres come from a bounded
@@ -188,7 +190,14 @@ def ann_top_k(points: DataFrame, queries: DataFrame, k: int, recall: float = 0.9
     `recall` of what these find besides themselves. others leaves out the point of the query's own id.
     """
     unit = lambda df, i, name: df.select(F.col(i).cast("long").alias(name), normalize_vector(F.col(vector)).alias("v")).where("v is not null")
-    listed, asked = unit(points, id_, "id"), unit(queries, query_id, "query_id")
+    spark = points.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        place = scratch(spark, "vectors")
+        df.write.parquet(place)
+        return spark.read.schema(df.schema).parquet(place)
+
+    listed, asked = kept(unit(points, id_, "id")), kept(unit(queries, query_id, "query_id"))
     n = listed.count()
     if not n:
         return asked.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)
@@ -200,22 +209,24 @@ def ann_top_k(points: DataFrame, queries: DataFrame, k: int, recall: float = 0.9
         own = np.concatenate([(seen[at : at + 4096] @ centres.T).argmax(axis=1) for at in range(0, len(seen), 4096)])
         centres = np.stack([seen[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    sent = points.sparkSession.sparkContext.broadcast(centres)
+    sent = spark.sparkContext.broadcast(centres)
 
     def nearest(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = sent.value
             m = min(most, len(c))
-            for b in batches:
-                if b.num_rows:
-                    order = np.argsort(-np.stack(b.column(1).to_numpy(zero_copy_only=False)) @ c.T, axis=1, kind="stable")[:, :m]
+            for whole in batches:
+                for low in range(0, whole.num_rows, 2048):
+                    b = whole.slice(low, 2048)
+                    near = matrix(b.column(1)) @ c.T
+                    order = near.argmax(axis=1)[:, None] if m == 1 else first_k(near, np.broadcast_to(np.arange(len(c)), near.shape), m)[1]
                     at = pa.array(np.repeat(np.arange(b.num_rows), m))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(order.ravel(), pa.int32())], names=["i", "v", "cell"])
 
         return run
 
     kind = "i long, v array<float>, cell int"
-    homes = listed.mapInArrow(nearest(1), kind)
+    homes = kept(listed.mapInArrow(nearest(1), kind))
     if not probes:
         probes = measured_probes(listed, asked, homes, centres, k, recall)
     probing = asked.mapInArrow(nearest(probes), kind)
@@ -234,15 +245,14 @@ def ann_top_k(points: DataFrame, queries: DataFrame, k: int, recall: float = 0.9
         out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
         if not ours.num_rows or not theirs.num_rows:
             return out.empty_table()
-        q, x = (np.stack(t.column("v").to_numpy()).astype(np.float64) for t in (ours, theirs))
+        q, x = (matrix(t.column("v")) for t in (ours, theirs))
         asking, ids = ours.column("i").to_numpy(), theirs.column("i").to_numpy()
         scores = q @ x.T
         if others:
             scores[asking[:, None] == ids[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-        score = np.take_along_axis(scores, order, 1).ravel()
-        use = score > -np.inf
-        return pa.Table.from_arrays([pa.array(c[use]) for c in (np.repeat(asking, order.shape[1]), ids[order].ravel(), score)], schema=out)
+        score, named = first_k(scores, np.broadcast_to(ids, scores.shape), k, digits)
+        use = score.ravel() > -np.inf
+        return pa.Table.from_arrays([pa.array(c[use]) for c in (np.repeat(asking, score.shape[1]), named.ravel(), score.ravel())], schema=out)
 
     p, q = dealt(homes, 2048, "block"), dealt(probing, 512, "part")
     keys = ["cell", "block", "part"]

@@ -139,7 +139,7 @@ def validate_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the approximate search finds the exact first hit; its index has lost every 40th vector."""
     exact = V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 1, digits=DIGITS).select("query_id", F.col("id").alias("a"))
-    near = V.ann_top_k(points(spark, sf_dir).where("vec_id % 40 != 0"), asked(spark, sf_dir), 1).select("query_id", F.col("id").alias("b"))
+    near = V.ann_top_k(points(spark, sf_dir).where("vec_id % 40 != 0"), asked(spark, sf_dir), 1, digits=DIGITS).select("query_id", F.col("id").alias("b"))
     return exact.join(near, "query_id", "left").agg(F.count("*").alias("queries"), F.avg((F.col("a") == F.coalesce("b", F.lit(-1))).cast("double")).alias("recall"))
 
 
@@ -153,7 +153,7 @@ def others(found: DataFrame, k: int) -> DataFrame:
 def ann_recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of the ten nearest other points, by exact search, that the approximate search finds."""
     exact = others(V.top_k(points(spark, sf_dir), asked(spark, sf_dir), 11, digits=DIGITS), 10).select("query_id", "id")
-    near = V.ann_top_k(points(spark, sf_dir), asked(spark, sf_dir), 10, others=True).select("query_id", "id", F.lit(1.0).alias("hit"))
+    near = V.ann_top_k(points(spark, sf_dir), asked(spark, sf_dir), 10, others=True, digits=DIGITS).select("query_id", "id", F.lit(1.0).alias("hit"))
     return exact.join(near, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
 
 

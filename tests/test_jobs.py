@@ -156,3 +156,13 @@ def test_scores_by_tiles(spark):
     assert peak < 60 * 2**20
     ids, asked = found.column("id").to_numpy().reshape(2_000, 40), held.column("own").to_numpy()[:2_000]
     assert (ids == asked[:, None] % 500 + np.arange(0, 20_000, 500)[None, :]).all()
+
+
+def test_long_vectors_are_normalised_in_one_pass(spark):
+    """The largest component is found once for a vector, and not once for each of its components."""
+    import time
+
+    wide = spark.range(100, numPartitions=1).select(F.transform(F.sequence(F.lit(1), F.lit(4_000)), lambda k: (k + F.col("id")).cast("double")).alias("v"))
+    start = time.time()
+    (got,) = wide.select(V.normalize_vector(F.col("v")).alias("u")).agg(F.sum(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)).alias("s")).collect()
+    assert abs(got["s"] - 100) < 1e-3 and time.time() - start < 15
