@@ -6,6 +6,8 @@ callers raise on it (`require`).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,15 +134,21 @@ def sentences(rows: DataFrame, first_row: Column | None = None) -> DataFrame:
 
 def validate_split(rows: DataFrame, identity: list[str]) -> DataFrame:
     """(dataset, first_id, rows, reason) of each work of several parts; reason is null for whole works."""
-    grouped = rows.groupBy("dataset", (F.col("id") - F.col("part") + 1).alias("first_id")).agg(
-        F.count("*").alias("rows"), F.countDistinct("part").alias("parts"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("part_count").alias("least"), F.max("part_count").alias("most"),
-        F.count_if(F.coalesce("translation_status", F.lit("")) != "done").alias("open"), F.countDistinct(F.struct(*identity)).alias("identities"),
+    n = len(identity)
+    own = rows.select("dataset", (F.col("id") - F.col("part") + 1).alias("first_id"), "part", "part_count", F.coalesce("translation_status", F.lit("")).alias("status"), *[F.col(c).alias(f"i{k}") for k, c in enumerate(identity)])
+    spread = lambda low, high, known: [f(c(k)).alias(f"{name}{k}") for k in range(n) for name, f, c in (("low", F.min, low), ("high", F.max, high), ("known", *known))]
+    # Copies of a part are brought together first: distinct counts would make a row of each for every one of them.
+    by_part = own.groupBy("dataset", "first_id", "part").agg(F.count("*").alias("rows"), F.min("part_count").alias("least"), F.max("part_count").alias("most"), F.count_if(F.col("status") != "done").alias("open"), *spread(lambda k: f"i{k}", lambda k: f"i{k}", (F.count, lambda k: f"i{k}")))
+    grouped = by_part.groupBy("dataset", "first_id").agg(
+        F.sum("rows").alias("rows"), F.count("part").alias("parts"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.sum("open").alias("open"), *spread(lambda k: f"low{k}", lambda k: f"high{k}", (F.sum, lambda k: f"known{k}")),
     )
+    differs = [~F.col(f"low{k}").eqNullSafe(F.col(f"high{k}")) | F.col(f"known{k}").between(1, F.col("rows") - 1) for k in range(n)]
     reason = (
         F.when(F.col("least") != F.col("most"), "counts differ")
         .when((F.col("rows") != F.col("most")) | (F.col("parts") != F.col("rows")) | (F.col("low") != 1) | (F.col("high") != F.col("rows")), "parts missing")
         .when(F.col("open") > 0, "not done")
-        .when(F.col("identities") > 1, "identity differs")
+        .when(reduce(Column.__or__, differs, F.lit(False)), "identity differs")
     )
     return grouped.select("dataset", "first_id", "rows", reason.alias("reason"))
 

@@ -166,3 +166,13 @@ def test_long_vectors_are_normalised_in_one_pass(spark):
     start = time.time()
     (got,) = wide.select(V.normalize_vector(F.col("v")).alias("u")).agg(F.sum(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)).alias("s")).collect()
     assert abs(got["s"] - 100) < 1e-3 and time.time() - start < 15
+
+
+def test_split_works_without_distinct_counts(spark):
+    """No row is made for each distinct count; reasons as before, also of nulls among identities and of parts that come twice."""
+    rows = [(1, 1, 2, "x", None), (2, 2, 2, "x", None), (11, 1, 2, "x", None), (12, 2, 2, "x", "a"), (21, 1, 3, "x", "a"), (21, 1, 3, "x", "a"), (23, 3, 3, "x", "a"), (31, 1, 2, "x", "a"), (32, 2, 2, "y", "a"), (41, 1, 1, "x", "a"), (51, 1, 2, "x", "a"), (52, 2, 3, "x", "a")]
+    df = spark.createDataFrame(rows, "id long, part long, part_count long, who string, title string").withColumns({"dataset": F.lit("d"), "translation_status": F.lit("done")})
+    found = C.validate_split(df, ["who", "title"])
+    want = {1: None, 11: "identity differs", 21: "parts missing", 31: "identity differs", 41: None, 51: "counts differ"}
+    assert {r["first_id"]: r["reason"] for r in found.collect()} == want
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
