@@ -31,14 +31,20 @@ def write_dataset_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.read_table(spark, path).select("doc_id", "dataset", "hash", "late")
 
 
+def stream_files(rows: int) -> int:
+    """Into how many files rows to stream are dealt: an even number, four at least, of about 10,000 rows each, so that a task's share doesn't grow with the table."""
+    return max(4, 2 * -(-rows // 20_000))
+
+
 @query(f"{SENTENCES} SELECT dataset, count(*) AS points, count(DISTINCT work_id) AS works, sum(CAST(('0x' || sha256(translation)[:8]) AS BIGINT)) AS hashes FROM found GROUP BY dataset")
 def stream_index_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows streamed into a table of points, twice from the start: the second run finds every point there."""
     rows = corpus.rows(spark, sf_dir).withColumn("translation_status", F.lit("done"))
     place = scratch(spark, "stream")
-    rows.repartition(4).write.parquet(f"{place}/rows")
+    files = stream_files(rows.count())
+    rows.repartition(files).write.parquet(f"{place}/rows")
     for k in range(2):
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/rows")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files // 2).parquet(f"{place}/rows")
         jobs.stream_points(stream, f"{place}/points", f"{place}/checkpoint {k}", "v1").awaitTermination()
     found = versions.read_table(spark, f"{place}/points")
     number = F.conv(F.left("translation_hash", F.lit(8)), 16, 10).cast("decimal(38,0)")

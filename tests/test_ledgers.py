@@ -311,3 +311,18 @@ def test_each_answer_is_judged_once(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([(k, [f"line {k}"]) for k in range(9)], "id long, lines array<string>")
     got = {r["id"]: (r["outcome"], r["attempts"]) for r in translation.translate(rows, answer, str(tmp_path / "ledger"), retries=2).collect()}
     assert got == {k: ("done", 2 if k == 3 else 1) for k in range(9)} and sizes[:3] == [9, 9, 1] and sum(sizes[3:]) == 0
+
+
+def test_streamed_files_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    """More rows make more files, and still two batches."""
+    from corpusjobs.plans import corpus, surviving
+
+    assert [surviving.stream_files(n) for n in (0, 40_000, 40_001, 3_000_000)] == [4, 4, 6, 300]
+    texts = spark.range(90_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(surviving, "scratch", lambda spark, name: str(tmp_path / name))
+    batches, upsert = [], jobs.upsert
+    monkeypatch.setattr(jobs, "upsert", lambda new, path, batch=None: batches.append(batch) or upsert(new, path, batch))
+    (got,) = surviving.stream_index_sentences(spark, str(tmp_path)).collect()
+    assert got["works"] == 90_000 - sum((k + 1) % 7 == 0 for k in range(90_000)) and batches == ["v1:0", "v1:1"] * 2
+    assert len([f for f in os.listdir(tmp_path / "stream" / "rows") if f.endswith(".parquet")]) == 10
