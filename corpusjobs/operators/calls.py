@@ -110,11 +110,11 @@ def answers(tasks: DataFrame, call: Call, path: str, answer: str, rounds: int =
     """The last fact of each of tasks (key, request), asked for until answered or given up; an earlier run's ledger is gone on with."""
     spark = tasks.sparkSession
     for _ in range(rounds):
-        last = last_facts(read_ledger(spark, path, answer)).select("key", "attempt", "due", F.lit(True).alias("known"))
+        last = last_facts(read_facts(spark, path, answer)).select("key", "attempt", "due", F.lit(True).alias("known"))
         open_ = tasks.join(last, "key", "left").where("known is null or due is not null")
         if not ask(open_.select("key", F.coalesce(F.col("attempt") + 1, F.lit(0)).alias("attempt"), "request", F.lit(None).cast("string").alias("hint"), "due"), call, path, answer, **how):
             break
-    return last_facts(read_ledger(spark, path, answer))
+    return last_facts(read_facts(spark, path, answer))
 
 
 def embed(rows: DataFrame, embedder: Call, text: str, dimensions: int, path: str, rounds: int = 4, **how) -> DataFrame:

@@ -326,3 +326,15 @@ def test_streamed_files_grow_in_number_and_not_in_size(spark, tmp_path, monkeypa
     (got,) = surviving.stream_index_sentences(spark, str(tmp_path)).collect()
     assert got["works"] == 90_000 - sum((k + 1) % 7 == 0 for k in range(90_000)) and batches == ["v1:0", "v1:1"] * 2
     assert len([f for f in os.listdir(tmp_path / "stream" / "rows") if f.endswith(".parquet")]) == 10
+
+
+def test_answers_are_grouped_once(spark, tmp_path):
+    """Facts told twice by a lost task need no shuffle of their own."""
+    tasks = spark.createDataFrame([(str(k), f"text {k}") for k in range(5)], "key string, request string")
+    call = lambda requests: [r[2].upper() for r in requests]
+    found = calls.answers(tasks, call, str(tmp_path / "ledger"), "string")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    calls.read_facts(spark, str(tmp_path / "ledger"), "string").write.mode("append").parquet(str(tmp_path / "twice"))
+    calls.read_facts(spark, str(tmp_path / "ledger"), "string").write.mode("append").parquet(str(tmp_path / "twice"))
+    again = calls.answers(tasks, call, str(tmp_path / "twice"), "string").collect()
+    assert {r["key"]: r["answer"] for r in again} == {str(k): f"TEXT {k}" for k in range(5)} and len(again) == 5
