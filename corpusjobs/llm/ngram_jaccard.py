@@ -295,7 +295,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, target_recall: fl
                 yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["key", "runs"])
 
         found = again(who, keys, "key binary, runs array<long>").select("class", F.explode(F.array_distinct("runs")).alias("path"))
-        return checkpointed(counted(found.join(who.select("class", "size"), "class")))
+        return checkpointed(counted(checkpointed(found.join(who.select("class", "size"), "class"))))  # both sides read the paths, which are made once
 
     first = counted(classes.select("class", "size", F.explode("pool").alias("path")))
     tokens = first.groupBy("class").agg(F.collect_list(F.when(F.col("held") <= BUCKET, F.struct("path", "held", "weight"))).alias("light"), F.count_if(F.col("held") > BUCKET).alias("heavy"))

@@ -261,6 +261,34 @@ def test_ngram_join_recurses(spark, monkeypatch):
     assert got == {i: (count[i], names[i]) for i in sets} and len(asked) > 1
 
 
+def rows_made(spark, first, node):
+    """Output rows of the plan nodes whose text begins so, over all executions from `first` on."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    for k in range(store.executionsList().size()):
+        of = store.executionsList().apply(k).executionId()
+        nodes = store.planGraph(of).allNodes()
+        for n in (nodes.apply(j) for j in range(nodes.size())):
+            if of >= first and n.desc().startswith(node):
+                values = store.executionMetrics(of).get(n.metrics().apply(0).accumulatorId())
+                made += int(values.get().replace(",", "")) if values.isDefined() else 0
+    return made
+
+
+def test_ngram_paths_are_made_once(spark, monkeypatch):
+    """A crowd makes a row for each class and run of paths at most, not one for each side of the join that counts them."""
+    monkeypatch.setattr(ngram_jaccard, "BUCKET", 8)
+    asked = []
+    plain = ngram_jaccard.hashes
+    monkeypatch.setattr(ngram_jaccard, "hashes", lambda runs, depth: asked.append(runs) or plain(runs, depth))
+    rows = [(k, " ".join([f"d{w}" for w in range(60)] + [f"e{k}"])) for k in range(100)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.range(1).collect()
+    first = 1 + max(store.executionsList().apply(k).executionId() for k in range(store.executionsList().size()))
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in ngram_jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (99, 0) for k in range(100)}
+    assert 0 < rows_made(spark, first, "Generate explode(array_distinct(runs") <= 100 * sum(asked)
+
+
 def test_ngram_join_of_documents(spark, sf):
     """Recall, measured over the documents of sf0.01: no link is missed and none is added."""
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").collect()]
