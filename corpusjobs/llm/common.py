@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -51,10 +53,14 @@ _held: dict[object, object] = {}
 def held(key: object, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps from task to task, one thing at a time: asking for another one lets the last one go.
 
-    So a worker that turns from one operator to the next doesn't hold the models of both.
+    So a worker that turns from one operator to the next doesn't hold the models of both. What the last one leaves, and the batches that Arrow
+    keeps for reuse, go back to the system first; else they would stay beside the next one for as long as the worker lives.
     """
     if key not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)  # glibc has it
         _held[key] = make()
     return _held[key]
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import checkpointed, slices, small
+from corpusjobs.llm.common import checkpointed, held, slices, small
 from corpusjobs.llm.components import components
 
 WIDTH = 5
@@ -57,23 +57,22 @@ TRIED = 2
 #: Words whose hashes a Python worker remembers before it starts anew.
 REMEMBERED = 80_000
 
-_words: dict[str, int] = {}
-
 
 def shingles(text: str | None) -> tuple[bytes, np.ndarray]:
     """A digest of the words, and the distinct shingles as sorted 63-bit hashes."""
     words = (text or "").lower().split()
     if not words:
         return b"", np.empty(0, np.int64)
+    known: dict[str, int] = held("hashes of words", dict)
     try:
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(_words) > REMEMBERED:
-            _words.clear()
+        if len(known) > REMEMBERED:
+            known.clear()
         for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     key = hashlib.md5(h.tobytes()).digest()
     n = max(1, len(h) - WIDTH + 1)
     x = np.full(n, 0x9E3779B97F4A7C15, np.uint64)

@@ -69,8 +69,8 @@ class PieceModel:
         self.hard = np.array([self.value.get(i, 0) >= 128 or sp.is_control(i) for i in range(n)])
         self.fits: dict[tuple[str, str], bool] = {}
         self.fits_before: dict[tuple[str, str], bool] = {}
-        #: Pieces that come back whole when merged from their characters.
-        self.whole = {p for p in self.ids if self.merge(p) == [p]}
+        #: Pieces that come back whole when merged from their characters; pairs are remembered with these strings, not with parts of a text.
+        self.whole = {p: p for p in self.ids if self.merge(p) == [p]}
         self.longest = ahocorasick.Automaton()
         for p in self.whole:
             self.longest.add_word(p, len(p))
@@ -103,11 +103,11 @@ class PieceModel:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether two pieces stay as they are when their characters are merged again."""
-        if (found := self.fits_before.get((left, right))) is None:
+        if (found := self.fits_before.pop((left, right), None)) is None:
             found = self.merge(left + right) == [left, right]
         if len(self.fits) >= PAIRS:
             self.fits_before, self.fits = self.fits, {}
-        self.fits[left, right] = found
+        self.fits[self.whole.get(left, left), self.whole.get(right, right)] = found
         return found
 
     def walk(self, text: str) -> list[str]:
@@ -173,7 +173,7 @@ class PieceModel:
         out = b""
         for part in self.cut(word):
             if (ids := self.parts.get(part)) is None:
-                if (ids := self.parts_before.get(part)) is None:
+                if (ids := self.parts_before.pop(part, None)) is None:
                     ids = self.part_ids(part)
                 if len(self.parts) >= REMEMBERED // 2:
                     self.parts_before, self.parts = self.parts, {}
@@ -207,7 +207,7 @@ class PieceModel:
             known = self.words
         before = self.words_before
         for p in set(parts).difference(known):
-            known[p] = before[p] if p in before else self.word_ids(SPACE + p.replace(" ", SPACE))
+            known[p] = before.pop(p) if p in before else self.word_ids(SPACE + p.replace(" ", SPACE))
         return b"".join(map(known.__getitem__, parts))
 
     def decode(self, ids: list[int]) -> str:

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusjobs.llm import hidden_markov_lm as H
-from corpusjobs.llm import html_text, language_id, sentencepiece_bpe, token_records
+from corpusjobs.llm import common, html_text, language_id, ngram_jaccard, sentencepiece_bpe, token_records
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", " ", "a  b ", "a\tb\nc", "▁x ▁▁", "🦄 <s> <0x0A>", "\x00é ", "the " * 3000, "ß" * 500, "Ein Haus.\nzwei"]
@@ -55,6 +55,34 @@ def test_pieces_of_documents_equal_the_library(pieces, sf):
         assert pieces.decode(ids) == sp.decode(ids)
 
 
+def test_remembered_pairs_are_the_models_own_strings():
+    """A pair remembered with parts of a text would keep two strings of its own."""
+    own, pick = sentencepiece_bpe.PieceModel(PIECES), random.Random(2)
+    for _ in range(300):
+        own.encode("".join(pick.choice("abcdeinorst") for _ in range(20)))
+    kept = [p for pair in own.fits for p in pair if p in own.ids]
+    assert len(kept) > 1000
+    assert len({id(p) for p in kept}) == len(set(kept))
+
+
+def test_a_worker_holds_the_memory_of_one_operator():
+    """The hashes of words let a model go, and what Arrow kept for reuse goes back to the system with it."""
+    import pyarrow as pa
+
+    def mb():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+    common.held(("pieces", "none"), lambda: ["a model"])
+    ngram_jaccard.shingles("one two three four five six")  # whatever the other tests left has gone
+    common.held(("pieces", "none"), lambda: bytearray(b"x" * 200_000_000))
+    batches = [pa.array(np.full(100_000, k)).cast(pa.int32()) for k in range(200)]
+    before = mb()
+    del batches
+    ngram_jaccard.shingles("one two three four five six")
+    assert list(common._held) == ["hashes of words"]
+    assert mb() < before - 250
+
+
 def test_encoding_of_odd_rows(spark, odd):
     import sentencepiece
 
