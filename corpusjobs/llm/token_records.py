@@ -19,16 +19,18 @@ and text aren't read, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +40,16 @@ from corpusjobs.llm.common import scratch
 
 MAGIC = b"CJTOKEN1"
 NO_ID = -(2**63)
-#: New words, and new stems, in a turn of a Python worker's memory; those not used in the last two turns are forgotten.
-WORDS, STEMS = 200_000, 120_000
-#: A word whose letters and ASCII marks the vocabulary's split takes apart.
-LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-#: Documents that are written with one call.
+#: New stems, and new other words, in a turn of a Python worker's memory; those not used in the last two turns are forgotten.
+STEMS, WORDS = 250_000, 50_000
+#: Code points of a word that is worth remembering.
+LONG = 64
+#: What the vocabulary's split takes apart: letters, and the ASCII marks behind them.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "ªµº")
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Documents, and bytes of their texts, that are encoded and written with one call; a longer text comes alone.
+ROWS, BYTES = 4_096, 4_000_000
+#: Records that are read with one call.
 TOGETHER = 256
 
 
@@ -78,8 +85,9 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, which is asked once for each stem that isn't remembered.
 
     The vocabulary's own steps (NFC, lower case, a split that drops white space) never reach across
-    ASCII white space, so a text's ids are those of its words, one after the other. A word of Latin
-    letters, with marks behind it or not, has the ids of its letters in lower case and of the marks.
+    ASCII white space, so a text's ids are those of its words, one after the other. Arrow splits many texts
+    at once and finds their different words. A word of Latin letters, with marks behind it or not, has the
+    ids of its letters in lower case (its stem) and of the marks; only different stems come to Python.
     A text that holds one of the vocabulary's special tokens goes to the library as a whole.
     """
 
@@ -91,14 +99,14 @@ class WordEncoder:
         self.kind = "<u2" if self.library.get_vocab_size() <= 65536 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
         self.model = self.library.model
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
         self.letters = [byte_letter(b) for b in range(256)]
         # Lower-case letters pass all steps before the model unchanged, but for the spelling of their bytes.
         self.direct = all(self.model_ids(x) == self.text_ids(x) for x in ("the", "straße", "été", "niño", "a", "internationalisation"))
-        self.words: dict[str, bytes] = {}
-        self.words_before: dict[str, bytes] = {}  # those of the turn before
         self.stems: dict[str, bytes] = {}
-        self.stems_before: dict[str, bytes] = {}
+        self.stems_before: dict[str, bytes] = {}  # those of the turn before
+        self.words: dict[str, bytes] = {}  # whole words of other kinds, and marks
+        self.words_before: dict[str, bytes] = {}
 
     def text_ids(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -107,48 +115,55 @@ class WordEncoder:
         spelled = stem if stem.isascii() else "".join([self.letters[b] for b in stem.encode()])
         return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Puts the ids of new words into the memory."""
-        if len(self.stems) >= STEMS:
-            self.stems_before, self.stems = self.stems, {}
-        known, before, stems, stems_before = self.words, self.words_before, self.stems, self.stems_before
-        made = self.model_ids if self.direct else self.text_ids
-        for word in words:
-            if (ids := before.get(word)) is None:
-                if (m := LATIN.fullmatch(word)) is None:
-                    ids = self.text_ids(word)
-                else:
-                    stem, marks = m[1].lower(), m[2]
-                    if (ids := stems.get(stem)) is None:
-                        if (ids := stems_before.get(stem)) is None:
-                            ids = made(stem)
-                        stems[stem] = ids
-                    if marks:
-                        if (end := stems.get(marks)) is None:
-                            end = stems[marks] = self.text_ids(marks)
-                        ids = ids + end
-            known[word] = ids
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for t in texts:
-            if t and any(x in t for x in self.special):
-                out.append(self.text_ids(t))
-                continue
-            parts = ascii_split(t or "")
-            try:
-                out.append(b"".join(map(self.words.__getitem__, parts)))
-            except KeyError:
+    def whole(self, word: str) -> bytes:
+        """Ids of a word that is taken as it stands."""
+        if (ids := self.words.get(word)) is None:
+            if (ids := self.words_before.get(word)) is None:
+                ids = self.text_ids(word)
+            if len(word) <= LONG:
                 if len(self.words) >= WORDS:
                     self.words_before, self.words = self.words, {}
-                self.learn(set(parts).difference(self.words))
-                out.append(b"".join(map(self.words.__getitem__, parts)))
-        return out
-
-
-def ascii_split(text: str) -> list[str]:
-    """Parts between white space; the four separators that only Python counts as such stay."""
-    return re.split(r"[\x20\t-\r]+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+                self.words[word] = ids
+        return ids
+
+    def stem(self, low: str) -> bytes:
+        """Ids of Latin letters in lower case."""
+        if (ids := self.stems.get(low)) is None:
+            if (ids := self.stems_before.get(low)) is None:
+                ids = self.model_ids(low) if self.direct else self.text_ids(low)
+            if len(low) <= LONG:
+                if len(self.stems) >= STEMS:
+                    self.stems_before, self.stems = self.stems, {}
+                self.stems[low] = ids
+        return ids
+
+    def word_ids(self, words: pa.Array) -> pa.Array:
+        letters, marks = pc.utf8_rtrim(words, MARKS), pc.utf8_ltrim(words, LETTERS)
+        # What is left by one and what is left by the other make up a word only if nothing else is in it.
+        plain = pc.equal(pc.add(pc.binary_length(letters), pc.binary_length(marks)), pc.binary_length(words))
+        stems, marks = each(self.stem, pc.utf8_lower(pc.if_else(plain, letters, ""))), each(self.whole, pc.if_else(plain, marks, ""))
+        ids, other = pc.binary_join_element_wise(stems, marks, pa.scalar(b"", pa.large_binary())), pc.invert(plain)
+        return pc.replace_with_mask(ids, other, each(self.whole, words.filter(other)))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        special = pc.match_substring_regex(texts, self.special).to_pylist() if self.special else [False] * len(texts)
+        plain = pc.if_else(pa.array(special), "", texts) if any(special) else texts
+        # Only Arrow and Python count the four separators as white space; where they occur, ASCII white space alone splits.
+        split = pc.ascii_split_whitespace if pc.any(pc.match_substring_regex(plain, "[\x1c-\x1f]")).as_py() else pc.utf8_split_whitespace
+        parts = split(plain)
+        words = parts.flatten().dictionary_encode()
+        # Taken by the words' places, the ids lie one after the other, those of a text from its first word to the next text's.
+        ids = self.word_ids(words.dictionary).take(words.indices)
+        data = memoryview(ids.buffers()[2] or b"")
+        starts = np.frombuffer(ids.buffers()[1], "<i8")[: len(ids) + 1][parts.offsets.to_numpy()].tolist()
+        return [self.text_ids(texts[k].as_py()) if special[k] else bytes(data[a:b]) for k, (a, b) in enumerate(itertools.pairwise(starts))]
+
+
+def each(ids: Callable[[str], bytes], values: pa.Array) -> pa.Array:
+    """The ids of all values; those of equal ones are asked for once."""
+    found = values.dictionary_encode()
+    return pa.array([*map(ids, found.dictionary.to_numpy(zero_copy_only=False))], pa.large_binary()).take(found.indices)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -160,6 +175,16 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def together(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ROWS rows and BYTES of text, of one row at least."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False), dtype="i8"), 0
+    while at < len(ends):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right"))
+        stop = max(at + 1, min(at + ROWS, stop))
+        yield whole.slice(at, stop - at)
+        at = stop
+
+
 def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes the texts, writes them as shards in folder, and returns the manifest: shard, path, n_docs, n_ids.
 
@@ -174,13 +199,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         name, n_docs, n_ids, at = f"shard-{shard:06d}-{uuid.uuid4().hex}", 0, 0, len(MAGIC)
         out = index = None
         for whole in batches:
-            for k in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(k, TOGETHER)
+            for batch in together(whole):
                 if out is None:
                     out, index = store.open_output_stream(f"{root}/{name}"), store.open_output_stream(f"{root}/{name}.idx")
                     out.write(MAGIC)
                 records, places = [], []
-                for i, ids in zip(batch.column(0).to_pylist(), code.encode(batch.column(1).to_pylist())):
+                for i, ids in zip(batch.column(0).to_pylist(), code.encode(batch.column(1))):
                     record = frame(struct.pack("<qB", NO_ID if i is None else i, width) + ids + end)
                     places.append(struct.pack("<QQ", at, n_ids))
                     records.append(record)

@@ -126,6 +126,56 @@ def test_token_ids_of_documents_equal_the_library(sf):
         assert np.frombuffer(ids, code.kind).tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_python_sees_only_different_stems(monkeypatch):
+    """However often words come, in upper case or with marks behind them, each stem is looked up once for many texts."""
+    import pyarrow as pa
+
+    code, seen = token_records.WordEncoder(WORDS), []
+    monkeypatch.setattr(code, "stem", lambda low, stem=code.stem: seen.append(low) or stem(low))
+    texts = ["The cat, THE CAT! été. Été?\n", None, " the  cat... "] * 1000
+    got = code.encode(pa.array(texts))
+    assert sorted(x for x in seen if x) == ["cat", "the", "été"]
+    assert len(seen) <= 4
+    want = {t: np.array(code.library.encode(t or "", add_special_tokens=False).ids, code.kind).tobytes() for t in texts}
+    assert got == [want[t] for t in texts]
+
+
+def test_token_ids_of_odd_characters_equal_the_library(monkeypatch):
+    """All characters of the first blocks, and those that become Latin letters in lower case; also while memories are turned over."""
+    code = token_records.WordEncoder(WORDS)
+    odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x700 or all(x in token_records.LETTERS for x in chr(c).lower()))]
+    texts = [f"Ab{c}Cd {c} {c}! x{c} {c}y É{c}. '{c}" for c in odd]
+    want = [np.array(code.library.encode(t, add_special_tokens=False).ids, code.kind).tobytes() for t in texts]
+    assert code.encode(texts) == want
+    for name in ("STEMS", "WORDS", "LONG"):
+        monkeypatch.setattr(token_records, name, 3)
+    assert code.encode(texts) == want
+    assert code.encode([]) == []
+
+
+def test_words_between_any_white_space_are_remembered():
+    """Words between no-break or wide spaces, too, go to the library once, not with all words beside them."""
+    code = token_records.WordEncoder(WORDS)
+    pick, letters = random.Random(3), ["été", "Haus", "x1"]
+    texts = ["".join(pick.choice(letters) + pick.choice("\xa0\u3000\u2009\x85 ") for _ in range(20)) for _ in range(200)]
+    want = [np.array(code.library.encode(t, add_special_tokens=False).ids, code.kind).tobytes() for t in texts]
+    assert code.encode(texts) == want
+    assert len(code.words) <= 2 and len(code.stems) <= 3
+    apart = [f"{t}\x1c{t} \x1f" for t in texts[:20]]
+    assert code.encode(apart + texts) == [np.array(code.library.encode(t, add_special_tokens=False).ids, code.kind).tobytes() for t in apart] + want
+
+
+def test_batches_are_encoded_in_bounded_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_records, "ROWS", 3)
+    monkeypatch.setattr(token_records, "BYTES", 10)
+    texts = ["a" * 4, "b" * 6, "c", None, "", None, "d" * 50, "", "é" * 5, "e"]
+    parts = [b.column(1).to_pylist() for b in token_records.together(pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": texts}).slice(0))]
+    assert parts == [texts[:2], texts[2:5], texts[5:6], texts[6:7], texts[7:9], texts[9:]]
+    assert [t for p in parts for t in p] == texts
+
+
 def test_records_are_read_in_any_order(spark, odd, tmp_path):
     """A reader that jumps to shuffled places of the index finds each record there."""
     folder = f"file://{tmp_path}/records"
